@@ -8,37 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def append_by_day(df: DataFrame, path: str, time: str, day: str) -> None:
-    """Append rows to a table partitioned by the day of ``time``.
+def append_by_date(df: DataFrame, path: str, time: str, target: str, grain: str = "day") -> None:
+    """Append rows to a table partitioned by the day or month of ``time``.
 
-    Rows of one day are brought together first, spread over several tasks by
-    hash, so that a large append does not write one small file per task and day.
+    The rebalance hint brings rows of one date together, splits a date that is
+    larger than the advisory partition size over several tasks and merges small
+    ones, so neither a hot date nor many tiny files result.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))
     (
-        df.withColumn(day, F.to_date(time))
-        .repartition(F.col(day), spread)
+        df.withColumn(target, F.to_date(F.date_trunc(grain, time)))
+        .hint("rebalance", F.col(target))
         .write.mode("append")
-        .partitionBy(day)
+        .partitionBy(target)
         .parquet(path)
     )
 
 
 def append_history(history: DataFrame, path: str) -> None:
-    append_by_day(history, path, "executed_at", "executed_date")
+    append_by_date(history, path, "executed_at", "executed_date")
 
 
 def append_anomalies(anomalies: DataFrame, path: str) -> None:
-    append_by_day(anomalies, path, "detected_at", "detected_date")
+    append_by_date(anomalies, path, "detected_at", "detected_date")
 
 
 def append_detections(detections: DataFrame, path: str) -> None:
-    """Scan results with every counter kept."""
-    append_by_day(detections, path, "detected_at", "detected_date")
+    """Scan results with every counter kept; few rows per table, hence by month."""
+    append_by_date(detections, path, "detected_at", "detected_month", "month")
 
 
 def write_cards(cards: DataFrame, path: str) -> None:
-    """Table cards as JSON lines, partitioned by schema."""
+    """Table cards as JSON lines."""
     cards.write.mode("overwrite").json(path)
 
 
