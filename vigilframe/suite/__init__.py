@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "history", "evaluation", "registry")
+AREAS = ("quality", "history", "evaluation", "registry", "workload")
 
 
 def load():
