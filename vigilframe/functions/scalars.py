@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Reason texts for scores from 0.8, from 0.6, from 0.4 and below.
+BANDS = [
+    "매우 관련성 높음 - 핵심 테이블",
+    "관련성 높음 - 주요 테이블",
+    "관련성 보통 - 참고 테이블",
+    "관련성 낮음 - 선택적 테이블",
+]
+
 
 def ntz(value: str) -> Column:
     """Zone-free timestamp literal; the clock of every checked query is a parameter."""
@@ -51,16 +59,16 @@ def term_list(terms: Column) -> Column:
 def marked_list(content: Column, marker: str) -> Column:
     """Blank-free items of the ``|`` list that follows ``marker`` on its line."""
     tail = F.regexp_extract(content, marker + r"([^\n]*)", 1)
-    return F.filter(F.transform(F.split(tail, r"\|"), F.trim), lambda q: q != "")
+    return F.filter(F.transform(F.split(tail, r"\|"), lambda q: F.trim(q)), lambda q: q != "")
 
 
 def score_band(score: Column) -> Column:
     """Reason text for a relevance score."""
     return (
-        F.when(score >= 0.8, "very relevant - core table")
-        .when(score >= 0.6, "relevant - main table")
-        .when(score >= 0.4, "moderately relevant - related table")
-        .otherwise("weakly relevant - optional table")
+        F.when(score >= 0.8, BANDS[0])
+        .when(score >= 0.6, BANDS[1])
+        .when(score >= 0.4, BANDS[2])
+        .otherwise(BANDS[3])
     )
 
 
