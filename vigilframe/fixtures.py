@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilframe.session import new_table_path
+
 NOW = "2024-01-31 00:00:00"
 TODAY = "2024-01-30"
 
@@ -338,8 +340,22 @@ class Lake:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, *names: str) -> Lake:
+        """Write derived tables to the shared folder once; later uses scan them.
+
+        For tables many parts of one query read, as a catalog is read.
+        """
+        for name in names:
+            path = new_table_path(self.spark, name)
+            getattr(self, name).write.parquet(path)
+            self._kept[name] = self.spark.read.parquet(path)
+        return self
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in self._kept:
+            return self._kept[name]
         if name in TABLE_COLUMNS:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in DERIVED:

@@ -46,8 +46,14 @@ def tokens(text: Column) -> Column:
 
 
 def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (doc_id, doc_len, term, tf); repeated words are combined map-side."""
-    words = documents.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_w"))
+    """Postings (doc_id, doc_len, term, tf).
+
+    Documents are spread by id before they are cut into words, so the one
+    shuffle moves texts rather than the longer list of (document, word) pairs,
+    and the count per document needs no further exchange.
+    """
+    spread = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).repartition("doc_id")
+    words = spread.select("doc_id", tokens(F.col("_t")).alias("_w"))
     return (
         words.select("doc_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
         .groupBy("doc_id", "doc_len", "term")
@@ -153,7 +159,7 @@ def recommend(index: DataFrame, queries: DataFrame, max_tables: int = 5, min_sco
 
 
 def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
@@ -161,12 +167,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def unit(v: Column) -> Column:
-    """Vector of length 1; a zero vector becomes NULLs."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), length))
-
-
 def dimension_check(vectors: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Adds the number of dimensions and whether it is the expected one."""
     n = F.coalesce(F.size(vector), F.lit(0))
@@ -195,19 +195,22 @@ def vector_search(
     more than ``max_queries`` is an error, to be split into several batches.
     Vectors stay where they are; each map task keeps its own best ``k``.
     """
-    batch = queries.select(F.struct("query_id", unit(F.col(vector)).alias("v")).alias("q")).agg(
-        F.collect_list("q").alias("qs")
-    )
+    batch = queries.select(
+        F.struct("query_id", F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("q")
+    ).agg(F.collect_list("q").alias("qs"))
     checked = batch.select(
         F.when(F.size("qs") <= max_queries, F.col("qs"))
         .otherwise(F.raise_error(F.lit("too many query vectors for one batch")))
         .alias("qs")
     )
+    # The length of a stored vector is computed once, below the pairing with the batch.
+    measured = vectors.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_v")).withColumn(
+        "_n", norm(F.col("_v"))
+    )
+    cosine = F.try_divide(dot(F.col("_v"), F.col("_q.v")), F.col("_n") * F.col("_q.n"))
     scored = (
-        vectors.select(
-            F.col(doc_id).alias("doc_id"), unit(F.col(vector)).alias("_u"), F.explode(checked.scalar()).alias("_q")
-        )
-        .select("doc_id", F.col("_q.query_id").alias("query_id"), F.round(dot(F.col("_u"), F.col("_q.v")), DIGITS).alias("score"))
+        measured.select("doc_id", "_v", "_n", F.explode(checked.scalar()).alias("_q"))
+        .select("doc_id", F.col("_q.query_id").alias("query_id"), F.round(cosine, DIGITS).alias("score"))
         .where(F.col("score").isNotNull())
     )
     return top_k(scored, k)

@@ -115,6 +115,7 @@ def _(t):
 
 
 def cards(t):
+    t.keep("pg_attribute")
     return C.cards(tables(t), columns(t), primary_keys(t), foreign_keys(t), indexes(t))
 
 
