@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Reason texts for scores from 0.8, from 0.6, from 0.4 and below.
-BANDS = [
-    "매우 관련성 높음 - 핵심 테이블",
-    "관련성 높음 - 주요 테이블",
-    "관련성 보통 - 참고 테이블",
-    "관련성 낮음 - 선택적 테이블",
-]
+from vigilframe.functions.messages import BANDS
 
 
 def ntz(value: str) -> Column:
@@ -108,3 +104,13 @@ def sample_queries(qualified: Column, primary_key: Column, foreign_keys: Column)
         ),
     )
     return F.concat(preview, lookup, joins)
+
+
+def filled(text: str, **values: Column) -> Column:
+    """Text with its ``{name}`` places filled from columns."""
+    parts = [
+        values[piece[1:-1]].cast("string") if piece.startswith("{") else F.lit(piece)
+        for piece in re.split(r"(\{\w+\})", text)
+        if piece
+    ]
+    return F.concat(*parts)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.functions import messages as msg
+from vigilframe.functions.scalars import filled
 from vigilframe.plans.skew import lookup_join
 
 # Comparison operators of a threshold.
@@ -155,9 +157,8 @@ def change_alert(change_rate: Column, latest: Column) -> Column:
     The rate is compared after rounding to one decimal, as it is displayed.
     """
     shown = F.round(change_rate, 1)
-    # Fixed value: the alarm text a metric may return.
     return (
-        F.when(latest.cast("string") == "이상", "error")
+        F.when(latest.cast("string") == msg.ALARM, "error")
         .when((shown < -20) | (shown > 50), "warning")
         .otherwise("normal")
     )
@@ -167,7 +168,7 @@ def latest_category_share(categories: DataFrame, metric: str, run: str, time: st
     """Whole-percent share of each category within the newest run of its metric.
 
     ``time`` is the run's own time on every row. A missing label becomes
-    ``item n`` by position, a missing value counts as 0.
+    a numbered item by position, a missing value counts as 0.
     """
     rows = categories.withColumn("_label", label).withColumn("_value", F.coalesce(value, F.lit(0.0)))
     last = rows.groupBy(metric).agg(F.max_by(run, F.struct(time, run)).alias(run))
@@ -192,5 +193,5 @@ def picked_label(position: str, *columns: str) -> Column:
     """First non-empty label, else the position."""
     return F.coalesce(
         *[F.nullif(F.col(c), F.lit("")) for c in columns],
-        F.concat(F.lit("item "), F.col(position).cast("string")),
+        filled(msg.ITEM, n=F.col(position)),
     )

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilframe.functions import messages as msg
+from vigilframe.functions.scalars import filled
+
 COUNTERS = ["total_records", "null_count", "duplicate_count", "distribution_count"]
 LONG_TEXT = 64
 
@@ -91,10 +94,10 @@ def null_details(df: DataFrame, not_null: Sequence[str] = ()) -> DataFrame:
         .otherwise("low")
     )
     label = (
-        F.when(F.col("declared_not_null"), "NULL in NOT NULL column")
-        .when(n * 100 < total, "very few NULLs")
-        .when(n * 20 < total, "few NULLs")
-        .otherwise("many NULLs")
+        F.when(F.col("declared_not_null"), msg.NULL_IN_NOT_NULL)
+        .when(n * 100 < total, msg.VERY_FEW_NULLS)
+        .when(n * 20 < total, msg.FEW_NULLS)
+        .otherwise(msg.MANY_NULLS)
     )
     return (
         null_profile(df, not_null)
@@ -167,11 +170,9 @@ def duplicate_rows(df: DataFrame, top: int = 5) -> DataFrame:
 def category_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, value, cnt) for all text columns in one pass."""
     columns = list(text_columns(df) if columns is None else columns)
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
-    )
     return (
-        df.select(F.inline(cells))
+        df.select(*columns)
+        .unpivot([], columns, "column_name", "value")
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
@@ -243,10 +244,7 @@ def distribution_details(df: DataFrame, columns: Sequence[str] | None = None, ra
             F.col("cnt").alias("finding_count"),
             pct(F.col("cnt"), total, 2).alias("percentage"),
             F.when(F.col("cnt") * 100 < total, "high").otherwise("medium").alias("severity"),
-            F.concat(
-                F.lit("'"), "value", F.lit("' occurs "), F.col("cnt").cast("string"),
-                F.lit(" times ("), share, F.lit("%)"),
-            ).alias("description"),
+            filled(msg.RARE_VALUE, value=F.col("value"), n=F.col("cnt"), share=share).alias("description"),
         )
     )
 
@@ -315,8 +313,7 @@ def findings(
     )
     repeated = duplicate_rows(df).select(
         F.lit("duplicates").alias("finding_type"), "finding_count", "severity",
-        F.concat(F.lit("identical row occurs "), F.col("finding_count").cast("string"), F.lit(" times"))
-        .alias("description"),
+        filled(msg.DUPLICATE, n=F.col("finding_count")).alias("description"),
     )
     rare = distribution_details(df, columns).withColumn("finding_type", F.lit("distribution_anomaly"))
     return nulls.unionByName(repeated, allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.functions.scalars import hours, last_name_part
+from vigilframe.functions.messages import ADVICE, UNKNOWN_METRIC
+from vigilframe.functions.scalars import filled, hours, last_name_part
 from vigilframe.operators.history import KEYS, latest_and_previous, newest
 from vigilframe.plans.skew import lookup_join, newest_per_key
 
@@ -81,7 +82,7 @@ def anomaly_feed(anomalies: DataFrame, metrics: DataFrame) -> DataFrame:
     """Anomalies with the metric name, a message and a level."""
     names = metrics.select("metric_id", "name")
     joined = lookup_join(anomalies, names, ["metric_id"], ["anomaly_id"])
-    metric_name = F.coalesce("name", F.lit("unknown metric"))
+    metric_name = F.coalesce("name", F.lit(UNKNOWN_METRIC))
     verb = F.when(F.col("anomaly_type") == "threshold_below", " is below ").otherwise(" exceeds ")
     return joined.select(
         "tenant_id",
@@ -203,23 +204,29 @@ def registry_health(
         )
     )
 
-    def rule(no: int, kind: str, priority: str, count: str, holds: Column) -> Column:
+    def rule(no: int, count: str, holds: Column) -> Column:
+        row_id, kind, priority, title, text, link = ADVICE[no - 1]
+        n = F.col(count)
         return F.when(
             holds,
             F.struct(
                 F.lit(no).alias("rule_no"),
-                F.lit(kind).alias("finding_type"),
+                filled(row_id, n=n).alias("advice_id"),
+                F.lit(kind).alias("advice_type"),
                 F.lit(priority).alias("priority"),
-                F.col(count).alias("finding_count"),
+                F.lit(title).alias("title"),
+                filled(text, n=n).alias("description"),
+                F.lit(link).alias("action_url"),
+                n.alias("advice_count"),
             ),
         )
 
     rules = F.array_compact(
         F.array(
-            rule(1, "optimization", "high", "recent", F.col("recent") >= 3),
-            rule(2, "alert_setup", "medium", "no_alert", F.col("no_alert") > 0),
-            rule(3, "maintenance", "medium", "stale", F.col("stale") > 0),
-            rule(4, "alert_setup", "low", "n", F.col("n") < 3),
+            rule(1, "recent", F.col("recent") >= 3),
+            rule(2, "no_alert", F.col("no_alert") > 0),
+            rule(3, "stale", F.col("stale") > 0),
+            rule(4, "n", F.col("n") < 3),
         )
     )
     return base.select("tenant_id", F.inline(F.slice(rules, 1, limit)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,20 +112,92 @@ def database_table(
     return reader.load()
 
 
+# What each catalog table is read from; names and types as the catalog operators expect.
+CATALOG_QUERIES = {
+    "pg_namespace": "SELECT oid::bigint AS oid, nspname::text FROM pg_namespace",
+    "pg_class": (
+        "SELECT oid::bigint AS oid, relname::text, relnamespace::bigint, relkind::text FROM pg_class"
+    ),
+    "pg_attribute": (
+        "SELECT attrelid::bigint, attname::text, attnum::int FROM pg_attribute WHERE attnum > 0"
+    ),
+    "pg_description": "SELECT objoid::bigint, objsubid::int, description FROM pg_description",
+    "pg_index": (
+        "SELECT i.relname::text AS indexname, x.indrelid::bigint, x.indisunique, "
+        "string_to_array(x.indkey::text, ' ')::int[] AS indkey "
+        "FROM pg_index x JOIN pg_class i ON i.oid = x.indexrelid"
+    ),
+    "info_columns": (
+        "SELECT table_schema::text, table_name::text, column_name::text, udt_name::text, "
+        "is_nullable::text, column_default::text, ordinal_position::int FROM information_schema.columns"
+    ),
+    "table_constraints": (
+        "SELECT constraint_name::text, table_schema::text, table_name::text, constraint_type::text "
+        "FROM information_schema.table_constraints"
+    ),
+    "key_column_usage": (
+        "SELECT constraint_name::text, table_schema::text, table_name::text, column_name::text, "
+        "ordinal_position::int FROM information_schema.key_column_usage"
+    ),
+    "constraint_column_usage": (
+        "SELECT constraint_name::text, constraint_schema::text, table_name::text, column_name::text "
+        "FROM information_schema.constraint_column_usage"
+    ),
+}
+
+
 def database_catalog(spark: SparkSession, url: str, user: str, password: str) -> dict[str, DataFrame]:
     """System catalog tables over JDBC, ready for the catalog operators."""
-    sources = {
-        "pg_namespace": "pg_catalog.pg_namespace",
-        "pg_class": "pg_catalog.pg_class",
-        "pg_attribute": "pg_catalog.pg_attribute",
-        "pg_description": "pg_catalog.pg_description",
-        "pg_index": "pg_catalog.pg_index",
-        "info_columns": "information_schema.columns",
-        "table_constraints": "information_schema.table_constraints",
-        "key_column_usage": "information_schema.key_column_usage",
-        "constraint_column_usage": "information_schema.constraint_column_usage",
+    reader = spark.read.format("jdbc").option("url", url).option("user", user).option("password", password)
+    return {name: reader.option("query", sql).load() for name, sql in CATALOG_QUERIES.items()}
+
+
+def lake_catalog(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    keys: Mapping[str, Sequence[str]],
+    references: Mapping[str, Sequence[tuple[str, str, str]]] | None = None,
+    not_null: Mapping[str, Sequence[str]] | None = None,
+    schema: str = "lake",
+) -> dict[str, DataFrame]:
+    """Catalog of a folder of tables, from their schemas and declared constraints.
+
+    Only metadata passes through the driver: one row per column or constraint.
+    Returns the inputs of :func:`vigilframe.operators.catalog.cards`.
+    """
+    references, not_null = references or {}, not_null or {}
+    cols = [
+        (
+            schema, name, f.name, f.dataType.simpleString(), f.name not in set(not_null.get(name, ())),
+            None, "", i,
+        )
+        for name, df in tables.items()
+        for i, f in enumerate(df.schema.fields, start=1)
+    ]
+    pks = [(schema, name, c, i) for name, key in keys.items() for i, c in enumerate(key, start=1)]
+    fks = [
+        (schema, name, column, f"{schema}.{table}", target, f"fk_{name}_{column}")
+        for name, found in references.items()
+        for column, table, target in found
+    ]
+    table = "table_schema string, table_name string"
+    return {
+        "tabs": spark.createDataFrame([(schema, n, "") for n in tables], f"{table}, table_comment string"),
+        "cols": spark.createDataFrame(
+            cols,
+            f"{table}, column_name string, data_type string, is_nullable boolean, column_default string, "
+            "column_comment string, ordinal_position int",
+        ),
+        "pks": spark.createDataFrame(pks, f"{table}, column_name string, ordinal_position int"),
+        "fks": spark.createDataFrame(
+            fks,
+            f"{table}, column_name string, referenced_table string, referenced_column string, "
+            "constraint_name string",
+        ),
+        "idx": spark.createDataFrame(
+            [], f"{table}, indexname string, columns array<string>, is_unique boolean"
+        ),
     }
-    return {name: database_table(spark, url, table, user, password) for name, table in sources.items()}
 
 
 def cards(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
@@ -142,20 +215,3 @@ def business_context(spark: SparkSession, yaml_path: str) -> DataFrame:
     fields = [f.name for f in CONTEXT.fields if f.name != "name"]
     rows = [(name, *[entry.get(f) for f in fields]) for name, entry in mapping.items()]
     return spark.createDataFrame(rows, CONTEXT)
-
-
-def schema_catalog(df: DataFrame, table_name: str, not_null: list[str] | None = None) -> Column:
-    """Column list of a DataFrame as catalog structs, for lakes without a system catalog."""
-    closed = set(not_null or [])
-    return F.array(
-        *[
-            F.struct(
-                F.lit(table_name).alias("table_name"),
-                F.lit(i).alias("ordinal_position"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.lit(f.name not in closed).alias("is_nullable"),
-            )
-            for i, f in enumerate(df.schema.fields, start=1)
-        ]
-    )

@@ -36,9 +36,9 @@ DETAILS = """
       round(null_count * 100.0E0 / total_records, 2) AS percentage,
       CASE WHEN declared_not_null OR null_count * 100 < total_records THEN 'high'
            WHEN null_count * 20 < total_records THEN 'medium' ELSE 'low' END AS severity,
-      CASE WHEN declared_not_null THEN 'NULL in NOT NULL column'
-           WHEN null_count * 100 < total_records THEN 'very few NULLs'
-           WHEN null_count * 20 < total_records THEN 'few NULLs' ELSE 'many NULLs' END
+      CASE WHEN declared_not_null THEN 'NOT NULL 컬럼에 NULL 값 존재'
+           WHEN null_count * 100 < total_records THEN '극소 NULL 감지'
+           WHEN null_count * 20 < total_records THEN '소수 NULL 감지' ELSE '다수 NULL 감지' END
         || ' (' || CAST(round(null_count * 100.0E0 / total_records, 1) AS STRING) || '%)'
         AS description"""
 
@@ -257,8 +257,8 @@ def _rarest(table: str, columns: list[str]) -> str:
       SELECT column_name, value, cnt AS finding_count,
         round(cnt * 100.0E0 / {total}, 2) AS percentage,
         CASE WHEN cnt * 100 < {total} THEN 'high' ELSE 'medium' END AS severity,
-        '''' || value || ''' occurs ' || CAST(cnt AS STRING) || ' times ('
-          || CAST(round(cnt * 100.0E0 / {total}, 1) AS STRING) || '%)' AS description
+        '''' || value || ''' 값이 ' || CAST(cnt AS STRING) || '개('
+          || CAST(round(cnt * 100.0E0 / {total}, 1) AS STRING) || '%)로 소수 카테고리' AS description
       FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt, value) AS rarity
             FROM ({_counts(table, columns)}) c WHERE value IS NOT NULL)
       WHERE rarity <= 10 AND cnt * 20 < {total}"""
@@ -286,7 +286,7 @@ _DOC = "(SELECT lang, source, quality, toxic FROM {fx_label_nulls})"
         UNION ALL
         SELECT * FROM (SELECT 'duplicates', CAST(NULL AS STRING), CAST(NULL AS STRING), count(*) AS c,
                CAST(NULL AS DOUBLE), CASE WHEN count(*) <= 3 THEN 'medium' ELSE 'high' END,
-               'identical row occurs ' || CAST(count(*) AS STRING) || ' times'
+               '동일한 레코드가 ' || CAST(count(*) AS STRING) || '번 중복됨'
         FROM {_DOC} GROUP BY ALL HAVING count(*) > 1 ORDER BY c DESC LIMIT 5)
         UNION ALL
         SELECT 'distribution_anomaly', column_name, value, finding_count, percentage, severity, description

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.fixtures import NOW
 from vigilframe.functions import scalars
+from vigilframe.functions.messages import ADVICE
 from vigilframe.functions.sql_audit import audit
 from vigilframe.operators import registry as R
 from vigilframe.operators.history import KEYS
@@ -264,8 +265,8 @@ def _(t):
 
 @query(
     "c1_anomaly_feed",
-    """SELECT a.tenant_id, a.anomaly_id, a.metric_id, coalesce(m.name, 'unknown metric') AS metric_name,
-         a.detected_at, coalesce(m.name, 'unknown metric') || ': ' || CAST(a.actual_value AS STRING)
+    """SELECT a.tenant_id, a.anomaly_id, a.metric_id, coalesce(m.name, '알 수 없는 지표') AS metric_name,
+         a.detected_at, coalesce(m.name, '알 수 없는 지표') || ': ' || CAST(a.actual_value AS STRING)
            || CASE WHEN a.anomaly_type = 'threshold_below' THEN ' is below ' ELSE ' exceeds ' END
            || CAST(a.threshold_value AS STRING) AS message,
          CASE WHEN a.anomaly_type = 'threshold_exceeded' THEN 'error' ELSE 'warning' END AS level, a.resolved
@@ -409,6 +410,20 @@ def _(t):
     return R.stale_metrics(t.fx_metrics, t.fx_history, scalars.ntz(NOW)).select(*KEYS, "last_run")
 
 
+_RULES = " UNION ALL ".join(
+    f"""SELECT tenant_id, {no} AS rule_no, replace('{row_id}', '{{n}}', CAST({n} AS STRING)) AS advice_id,
+      '{kind}' AS advice_type, '{priority}' AS priority, '{title}' AS title,
+      replace('{text}', '{{n}}', CAST({n} AS STRING)) AS description, '{link}' AS action_url,
+      {n} AS advice_count FROM base WHERE {test}"""
+    for no, (n, test, (row_id, kind, priority, title, text, link)) in enumerate(
+        zip(
+            ["recent", "no_alert", "stale", "n"],
+            ["recent >= 3", "no_alert > 0", "stale > 0", "n < 3"],
+            ADVICE,
+        ),
+        start=1,
+    )
+).replace("{n}", "#n#")
 _HEALTH = f"""
     WITH base AS (
       SELECT m.tenant_id, m.n, m.no_alert, coalesce(s.n, 0) AS stale, least(coalesce(o.n, 0), 5) AS recent
@@ -417,12 +432,8 @@ _HEALTH = f"""
       LEFT JOIN (SELECT tenant_id, count(*) AS n FROM ({_STALE}) GROUP BY 1) s ON m.tenant_id = s.tenant_id
       LEFT JOIN (SELECT tenant_id, count(*) AS n FROM {{fx_anomalies}} WHERE NOT resolved GROUP BY 1) o
         ON m.tenant_id = o.tenant_id)
-    SELECT tenant_id, rule_no, finding_type, priority, finding_count FROM (
-      SELECT tenant_id, 1 AS rule_no, 'optimization' AS finding_type, 'high' AS priority,
-             recent AS finding_count FROM base WHERE recent >= 3
-      UNION ALL SELECT tenant_id, 2, 'alert_setup', 'medium', no_alert FROM base WHERE no_alert > 0
-      UNION ALL SELECT tenant_id, 3, 'maintenance', 'medium', stale FROM base WHERE stale > 0
-      UNION ALL SELECT tenant_id, 4, 'alert_setup', 'low', n FROM base WHERE n < 3)
+    SELECT tenant_id, rule_no, advice_id, advice_type, priority, title, description, action_url, advice_count
+    FROM ({_RULES})
     QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY rule_no) <= 3"""
 
 
