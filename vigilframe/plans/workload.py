@@ -17,8 +17,14 @@ from vigilframe.plans.skew import (
     newest_per_key,
 )
 
-ONE = F.lit(1)
-REVENUE = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+
+
+def rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def revenue() -> Column:
+    return F.sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
 
 
 def between(ts: str, start: str, end: str) -> Column:
@@ -40,7 +46,7 @@ def active_categories(part):
 def category_structure(region, nation):
     """Children of each parent, in name order; a parent has few children."""
     children = nation.groupBy("n_regionkey").agg(
-        F.count(ONE).alias("children"), F.sort_array(F.collect_list("n_name")).alias("names")
+        rows().alias("children"), F.sort_array(F.collect_list("n_name")).alias("names")
     )
     return region.join(children, region.r_regionkey == children.n_regionkey, "left").select(
         "r_name",
@@ -71,7 +77,7 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
 def products_per_category(part):
     return part.groupBy("p_type").agg(
-        F.count(ONE).alias("products"), F.min("p_size").alias("min_size"), F.max("p_size").alias("max_size")
+        rows().alias("products"), F.min("p_size").alias("min_size"), F.max("p_size").alias("max_size")
     )
 
 
@@ -103,25 +109,25 @@ def units_sold(lineitem, start, end):
 
 
 def order_revenue(lineitem):
-    return lineitem.groupBy("l_orderkey").agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    return lineitem.groupBy("l_orderkey").agg(F.round(revenue(), 4).alias("revenue"))
 
 
 def unit_price_trend(lineitem):
     """Mean unit price per part and month; unit prices are summed as exact decimals."""
     price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(18,8)")
     return lineitem.groupBy("l_partkey", F.date_trunc("month", "l_shipdate").alias("month")).agg(
-        (F.sum(price).cast("double") / F.count(ONE)).alias("unit_price")
+        (F.sum(price).cast("double") / rows()).alias("unit_price")
     )
 
 
 def monthly_orders(orders):
     return orders.groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(
-        F.count(ONE).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue")
+        rows().alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue")
     )
 
 
 def orders_by_status(orders):
-    return orders.groupBy("o_orderstatus").agg(F.count(ONE).alias("count"))
+    return orders.groupBy("o_orderstatus").agg(rows().alias("count"))
 
 
 def revenue_share_by_method(orders):
@@ -136,13 +142,13 @@ def completed_total(orders, start, end):
 
 
 def payment_share(lineitem):
-    groups = lineitem.groupBy("l_returnflag").agg(F.sum(REVENUE).alias("_r"))
-    return share_of_all(groups, "_r", lineitem.agg(F.sum(REVENUE))).drop("_r")
+    groups = lineitem.groupBy("l_returnflag").agg(revenue().alias("_r"))
+    return share_of_all(groups, "_r", lineitem.agg(revenue())).drop("_r")
 
 
 def failure_causes(events):
     return events.groupBy(F.get_json_object("props", "$.k").alias("cause")).agg(
-        F.count_if(F.col("event_type") == "error").alias("failures"), F.count(ONE).alias("attempts")
+        F.count_if(F.col("event_type") == "error").alias("failures"), rows().alias("attempts")
     )
 
 
@@ -180,7 +186,7 @@ def stock_by_state(part, lineitem):
 def rating_per_product(documents, labels):
     rated = documents.select("doc_id", "source").join(labels, "doc_id")
     return rated.groupBy("source").agg(
-        F.round(F.avg("quality"), 6).alias("rating"), F.count(ONE).alias("reviews")
+        F.round(F.avg("quality"), 6).alias("rating"), rows().alias("reviews")
     )
 
 
@@ -199,7 +205,7 @@ def activity_frequency(events, start, end):
     return (
         events.where(between("ts", start, end))
         .groupBy("user_id", "event_type")
-        .agg(F.count(ONE).alias("activities"))
+        .agg(rows().alias("activities"))
     )
 
 
@@ -211,7 +217,7 @@ def activity_pivot(events, types: list[str]):
 def popular_products(events, k: int = 10):
     return (
         events.groupBy(F.get_json_object("props", "$.k").cast("bigint").alias("product"))
-        .agg(F.count(ONE).alias("activities"))
+        .agg(rows().alias("activities"))
         .orderBy(F.desc("activities"), "product")
         .limit(k)
     )
@@ -225,8 +231,8 @@ def session_steps(events, gap_minutes: int = 30):
     """
     day = F.date_trunc("day", "ts")
     order = ["ts", "event_id"]
-    rows = events.select("user_id", "event_id", "ts", "event_type")
-    lagged = lag_in_buckets(rows, ["user_id"], order, day, {"ts": "_ts", "event_type": "_type"})
+    steps = events.select("user_id", "event_id", "ts", "event_type")
+    lagged = lag_in_buckets(steps, ["user_id"], order, day, {"ts": "_ts", "event_type": "_type"})
     new = F.col("_ts").isNull() | (F.col("ts") - F.col("_ts") > F.make_dt_interval(mins=F.lit(gap_minutes)))
     marked = lagged.withColumn("is_start", new)
     placed = last_flagged_in_buckets(marked, ["user_id"], order, day, "is_start", "ts", "session_start")
@@ -239,7 +245,7 @@ def session_steps(events, gap_minutes: int = 30):
 def session_summary(events, gap_minutes: int = 30):
     return session_steps(events, gap_minutes).groupBy("user_id", "session_start").agg(
         F.max("ts").alias("session_end"),
-        F.count(ONE).alias("steps"),
+        rows().alias("steps"),
         F.min_by("event_type", F.struct("ts", "event_id")).alias("entry_type"),
         F.max_by("event_type", F.struct("ts", "event_id")).alias("exit_type"),
     )
@@ -250,7 +256,7 @@ def session_transitions(events, gap_minutes: int = 30):
         session_steps(events, gap_minutes)
         .where(F.col("previous_type").isNotNull())
         .groupBy("previous_type", "event_type")
-        .agg(F.count(ONE).alias("transitions"))
+        .agg(rows().alias("transitions"))
     )
 
 
@@ -263,13 +269,13 @@ def latest_order(orders):
 
 
 def address_distribution(customer, nation, region):
-    per_nation = customer.groupBy("c_nationkey").agg(F.count(ONE).alias("customers"))
+    per_nation = customer.groupBy("c_nationkey").agg(rows().alias("customers"))
     placed = (
         per_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("r_name", "n_name", "customers")
     )
-    return share_of_all(placed, "customers", customer.agg(F.count(ONE)))
+    return share_of_all(placed, "customers", customer.agg(rows()))
 
 
 def change_history(events):
@@ -283,8 +289,8 @@ def change_history(events):
 
 def user_counts(customer, orders, since):
     recent = orders.where(F.col("o_orderdate") >= ntz(since)).select(F.col("o_custkey").alias("c_custkey"))
-    active = customer.join(recent, "c_custkey", "left_semi").agg(F.count(ONE)).scalar()
-    return customer.agg(F.count(ONE).alias("users")).withColumn("active_users", active)
+    active = customer.join(recent, "c_custkey", "left_semi").agg(rows()).scalar()
+    return customer.agg(rows().alias("users")).withColumn("active_users", active)
 
 
 def signup_trend(events, days: int = 7):
@@ -292,7 +298,7 @@ def signup_trend(events, days: int = 7):
     daily = (
         events.where(F.col("event_type") == "signup")
         .groupBy("event_type", F.to_date("ts").alias("day"))
-        .agg(F.count(ONE).alias("signups"))
+        .agg(rows().alias("signups"))
     )
     w = Window.partitionBy("event_type").orderBy("day").rowsBetween(-(days - 1), 0)
     return daily.select("day", "signups", F.round(F.avg("signups").over(w), 6).alias("moving_mean"))
@@ -307,14 +313,14 @@ def users_in_state(customer):
 
 def signups_on(events, day: str):
     return events.where((F.col("event_type") == "signup") & on_day(F.col("ts"), day)).agg(
-        F.count(ONE).alias("signups")
+        rows().alias("signups")
     )
 
 
 def recent_orders(events, now: str, minutes: int = 60):
     cutoff = ntz(now) - F.make_dt_interval(mins=F.lit(minutes))
     recent = (F.col("ts") >= cutoff) & (F.col("ts") < ntz(now))
-    return events.where((F.col("event_type") == "purchase") & recent).agg(F.count(ONE).alias("orders"))
+    return events.where((F.col("event_type") == "purchase") & recent).agg(rows().alias("orders"))
 
 
 def mean_response(events):
