@@ -9,6 +9,8 @@ or salts, and stitch the pieces with tables that hold one row per piece.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,68 +160,59 @@ def exact_percentiles(
     """Continuous percentiles per key, exact, without one task holding a whole key.
 
     A mergeable sketch gives a narrow bracket around each percentile. Rows
-    below and above the bracket are only counted (map-side combined); rows
-    inside it, about ``6 / accuracy`` of the key, are ranked exactly.
-    Output: keys plus ``p0, p1, ...`` in the order of ``fractions``.
+    outside all brackets are only counted per gap between brackets (map-side
+    combined); rows inside one, about ``6 / accuracy`` of the key and
+    percentile, are ranked exactly. Output: keys plus ``p0, p1, ...`` in the
+    order of ``fractions``.
     """
     margin = 3.0 / accuracy
     points: list[float] = []
     for p in fractions:
         points += [max(p - margin, 0.0), min(p + margin, 1.0)]
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", points, accuracy).alias("_q"),
     )
-    brackets = sketch.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.col("_q")[2 * i].alias("lo"),
-                    F.col("_q")[2 * i + 1].alias("hi"),
-                    (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"),
-                )
-                for i, p in enumerate(fractions)
-            ]
-        ).alias("_b"),
-    )
-    zoned = lookup_join(rows, brackets, keys, ["_v"], "inner").select(
-        *keys, "_v", F.explode("_b").alias("_b")
-    )
-    zone = F.when(F.col("_v") < F.col("_b.lo"), 0).when(F.col("_v") > F.col("_b.hi"), 2).otherwise(1)
+    lows = [F.col("_q")[2 * i] for i in range(len(fractions))]
+    highs = [F.col("_q")[2 * i + 1] for i in range(len(fractions))]
+    inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)])
+    gap = reduce(add, [(F.col("_v") > hi).cast("int") for hi in highs])
     counted = (
-        zoned.withColumn("_zone", zone)
+        lookup_join(rows, sketch, keys, ["_v"], "inner")
         .groupBy(
-            *keys,
-            F.col("_b.i").alias("_i"),
-            F.col("_b.pos").alias("_pos"),
-            "_zone",
-            F.when(F.col("_zone") == 1, F.col("_v")).alias("_at"),
+            *keys, "_n", F.when(inside, F.col("_v")).alias("_at"), F.when(~inside, gap).alias("_gap")
         )
         .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    order = Window.partitionBy(*keys, "_i").orderBy("_zone", "_at")
-    ranked = counted.withColumn("_end", F.sum("_c").over(order) - 1).withColumn(
-        "_start", F.col("_end") - F.col("_c") + 1
-    )
+    # Groups do not overlap: ordered by their smallest value, counts add up to ranks.
+    ranked = counted.withColumn(
+        "_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_min")) - 1
+    ).withColumn("_start", F.col("_end") - F.col("_c") + 1)
 
     def value_at(rank: Column) -> Column:
-        hit = (F.col("_start") <= rank) & (rank <= F.col("_end"))
         known = (
-            F.when(F.col("_zone") == 1, F.col("_at"))
-            .when((F.col("_zone") == 0) & (rank == F.col("_end")), F.col("_max"))
-            .when((F.col("_zone") == 2) & (rank == F.col("_start")), F.col("_min"))
+            F.when(F.col("_min") == F.col("_max"), F.col("_min"))
+            .when(rank == F.col("_start"), F.col("_min"))
+            .when(rank == F.col("_end"), F.col("_max"))
             .otherwise(F.raise_error(F.lit("percentile bracket missed; raise accuracy")).cast("double"))
         )
-        return F.max(F.when(hit, known))
+        return F.max(F.when((F.col("_start") <= rank) & (rank <= F.col("_end")), known))
+
+    def position(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("_n") - 1)
 
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    per_point = ranked.groupBy(*keys, "_i", "_pos").agg(
-        value_at(low).alias("_lo"), value_at(high).alias("_hi")
+    ends = ranked.groupBy(*keys, "_n").agg(
+        *[value_at(F.floor(position(p))).alias(f"_lo{i}") for i, p in enumerate(fractions)],
+        *[value_at(F.ceil(position(p))).alias(f"_hi{i}") for i, p in enumerate(fractions)],
     )
-    blended = F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo"))
-    return per_point.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, blended)).alias(f"p{i}") for i in range(len(fractions))]
+    return ends.select(
+        *keys,
+        *[
+            (
+                F.col(f"_lo{i}")
+                + (position(p) - F.floor(position(p))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+            ).alias(f"p{i}")
+            for i, p in enumerate(fractions)
+        ],
     )
