@@ -112,8 +112,7 @@ for _range, _hours in H.RANGES.items():
         def _(t):
             return H.in_range(t.fx_history, name, ntz(NOW))
 
-    if _range in ("24h", "7d", "30d"):
-        _register()
+    _register()
 
 
 @query(
