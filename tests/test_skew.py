@@ -47,15 +47,6 @@ def test_lag_across_buckets(df, data):
     pd.testing.assert_series_equal(got, want, check_names=False)
 
 
-def test_last_flagged_across_buckets(df, data):
-    flagged = df.withColumn("f", F.col("v") > 140)
-    got = by_id(skew.last_flagged_in_buckets(flagged, ["key"], ["ts", "id"], day(), "f", "id", "mark"), "mark")
-    marks = data["id"].where(data["v"] > 140)
-    want = marks.groupby(data["key"]).ffill()
-    want.index = data["id"]
-    pd.testing.assert_series_equal(got.astype("float64"), want.sort_index(), check_names=False)
-
-
 def test_index_and_previous_rows(df, data):
     indexed = skew.index_in_buckets(df, ["key"], ["ts", "id"], day(), "i")
     position = data.groupby("key").cumcount()
@@ -99,6 +90,22 @@ def test_shares_add_up(df):
     assert shares.where(F.abs(F.col("s") - 100) > 1e-6).count() == 0
 
 
+@pytest.mark.parametrize("minutes", [0, 60, 60 * 30])
+def test_session_starts_across_buckets(df, data, minutes):
+    gap = F.make_dt_interval(mins=F.lit(minutes))
+    got = skew.sessions_in_buckets(df, ["key"], ["ts", "id"], gap, day(), {"id": "prev_id"})
+    assert got.count() == len(data)
+    pause = data.groupby("key")["ts"].diff()
+    start = pause.isna() | (pause > pd.Timedelta(minutes=minutes))
+    opened = data["ts"].where(start).groupby(data["key"]).ffill()
+    before = data.groupby("key")["id"].shift().where(~start)
+    opened.index = before.index = data["id"]
+    assert by_id(got, "session_start").tolist() == opened.sort_index().tolist()
+    pd.testing.assert_series_equal(
+        by_id(got, "prev_id").astype("float64"), before.sort_index(), check_names=False
+    )
+
+
 def test_sessions_against_pandas(df, data):
     events = df.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "ts", F.lit("x").alias("event_type"))
     got = workload.session_summary(events, 90).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).toPandas()

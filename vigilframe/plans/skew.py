@@ -78,29 +78,64 @@ def lag_in_buckets(
     return joined.drop("_bucket", "_rn", "_carry")
 
 
-def last_flagged_in_buckets(
+def sessions_in_buckets(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    gap: Column,
     bucket: Column,
-    flag: str,
-    value: str,
-    target: str,
+    values: dict[str, str],
 ) -> DataFrame:
-    """``value`` of the latest row so far whose ``flag`` is true, per key."""
-    parts = [*keys, "_bucket"]
-    rows = df.withColumn("_bucket", bucket).withColumn("_mark", F.when(F.col(flag), F.col(value)))
-    running = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.withColumn("_here", F.last("_mark", ignorenulls=True).over(running))
-    tails = rows.groupBy(*parts).agg(
-        F.max_by("_mark", F.when(F.col(flag), F.struct(*order))).alias("_tail")
+    """Session of each row: rows of a key no further apart than ``gap``.
+
+    ``order`` starts with the time column. Adds ``is_start`` and
+    ``session_start``, and lagged copies of ``values`` (NULL at a start). Rows
+    are numbered within (key, bucket); one row per bucket tells whether its
+    first row continues the session left open before it.
+    """
+    time, parts = order[0], [*keys, "_bucket"]
+    w = Window.partitionBy(*parts).orderBy(*order)
+    until_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    inner = (
+        df.withColumn("_bucket", bucket)
+        .withColumn("_rn", F.row_number().over(w))
+        .withColumn("_mark", F.when(F.col(time) - F.lag(time).over(w) > gap, F.col(time)))
+        .withColumn("_open", F.last("_mark", ignorenulls=True).over(until_here))
     )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select(*parts, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-    joined = inner.join(carried, parts, "left")
-    return joined.withColumn(target, F.coalesce("_here", "_carry")).drop(
-        "_bucket", "_mark", "_here", "_carry"
+    for source, target in values.items():
+        inner = inner.withColumn(target, F.lag(source).over(w))
+    ends = inner.groupBy(*parts).agg(
+        F.min(time).alias("_first"),
+        F.max(time).alias("_last"),
+        F.max("_mark").alias("_last_mark"),
+        F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"),
+    )
+    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ends.withColumn(
+            "_opens", F.coalesce(F.col("_first") - F.lag("_last").over(by_bucket) > gap, F.lit(True))
+        )
+        .withColumn("_newest", F.coalesce("_last_mark", F.when(F.col("_opens"), F.col("_first"))))
+        .select(
+            *parts,
+            "_opens",
+            F.when(F.col("_opens"), F.col("_first"))
+            .otherwise(F.last("_newest", ignorenulls=True).over(before))
+            .alias("_carry"),
+            F.lag("_tail").over(by_bucket).alias("_before"),
+        )
     )
+    head = F.col("_rn") == 1
+    joined = (
+        inner.join(carried, parts, "left")
+        .withColumn("is_start", F.when(head, F.col("_opens")).otherwise(F.col("_mark").isNotNull()))
+        .withColumn("session_start", F.coalesce("_open", "_carry"))
+    )
+    for source, target in values.items():
+        previous = F.when(head, F.col("_before")[source]).otherwise(F.col(target))
+        joined = joined.withColumn(target, F.when(~F.col("is_start"), previous))
+    return joined.drop("_bucket", "_rn", "_mark", "_open", "_opens", "_carry", "_before")
 
 
 def index_in_buckets(

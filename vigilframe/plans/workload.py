@@ -13,8 +13,8 @@ from vigilframe.functions.scalars import ntz, on_day
 from vigilframe.plans.skew import (
     exact_percentiles,
     lag_in_buckets,
-    last_flagged_in_buckets,
     newest_per_key,
+    sessions_in_buckets,
 )
 
 
@@ -229,17 +229,15 @@ def session_steps(events, gap_minutes: int = 30):
     A session ends after a pause longer than the gap. Works per user and day
     and carries the open session across days, so no user is held in one task.
     """
-    day = F.date_trunc("day", "ts")
-    order = ["ts", "event_id"]
-    steps = events.select("user_id", "event_id", "ts", "event_type")
-    lagged = lag_in_buckets(steps, ["user_id"], order, day, {"ts": "_ts", "event_type": "_type"})
-    new = F.col("_ts").isNull() | (F.col("ts") - F.col("_ts") > F.make_dt_interval(mins=F.lit(gap_minutes)))
-    marked = lagged.withColumn("is_start", new)
-    placed = last_flagged_in_buckets(marked, ["user_id"], order, day, "is_start", "ts", "session_start")
-    return placed.select(
-        "user_id", "session_start", "ts", "event_id", "event_type",
-        F.when(~F.col("is_start"), F.col("_type")).alias("previous_type"),
+    placed = sessions_in_buckets(
+        events.select("user_id", "event_id", "ts", "event_type"),
+        ["user_id"],
+        ["ts", "event_id"],
+        F.make_dt_interval(mins=F.lit(gap_minutes)),
+        F.date_trunc("day", "ts"),
+        {"event_type": "previous_type"},
     )
+    return placed.select("user_id", "session_start", "ts", "event_id", "event_type", "previous_type")
 
 
 def session_summary(events, gap_minutes: int = 30):
