@@ -75,15 +75,48 @@ def test_percentiles_of_tiny_and_constant_groups(spark):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-9)
 
 
-def test_lookup_join_keeps_every_row_once(df, data):
-    totals = df.groupBy("key").agg(F.sum("v").alias("t"))
-    joined = skew.lookup_join(df, totals, ["key"], ["id"])
+@pytest.mark.parametrize("rows_per_task", [50, 10**6])
+@pytest.mark.parametrize("counted", [True, False])
+def test_lookup_join_keeps_every_row_once(df, data, rows_per_task, counted):
+    totals = df.groupBy("key").agg(F.sum("v").alias("t"), F.count(F.lit(1)).alias("n"))
+    rows = "n" if counted else None
+    joined = skew.lookup_join(df, totals, ["key"], ["id"], rows=rows, rows_per_task=rows_per_task)
     assert joined.count() == len(data)
     want = data.groupby("key")["v"].transform("sum")
     want.index = data["id"]
     np.testing.assert_allclose(by_id(joined, "t").to_numpy(), want.sort_index().to_numpy())
 
 
+def test_lookup_join_with_missing_keys_and_several_rows(spark):
+    left = spark.createDataFrame([(i % 3 if i % 4 else None, i) for i in range(200)], "k int, id int")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k int, v string")
+    got = skew.lookup_join(left, right, ["k"], ["id"], rows_per_task=10)
+    want = left.join(right, "k", "left")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_keys_are_split(spark):
+    """With a small limit the rows of one key meet the join in many partitions."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        left = spark.range(20000).select(F.lit(1).alias("k"), F.col("id"))
+        right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+        joined = skew.lookup_join(left, right, ["k"], ["id"], rows_per_task=500)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 20000 and len(sizes) > 10
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_time_bucket_gets_finer_for_hot_keys(df):
+    assert "day" in str(skew.time_bucket(df, ["key"], "ts"))
+    assert "hour" in str(skew.time_bucket(df, ["key"], "ts", rows_per_task=60))
+
+
 def test_shares_add_up(df):
     counts = df.groupBy("key", F.floor("v").alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
     shares = history.with_share(counts, ["key"], "cnt", digits=10).groupBy("key").agg(F.sum("share_pct").alias("s"))

@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilframe.session import new_table_path
+from vigilframe.session import written
 
 NOW = "2024-01-31 00:00:00"
 TODAY = "2024-01-30"
@@ -348,9 +348,7 @@ class Lake:
         For tables many parts of one query read, as a catalog is read.
         """
         for name in names:
-            path = new_table_path(self.spark, name)
-            getattr(self, name).write.parquet(path)
-            self._kept[name] = self.spark.read.parquet(path)
+            self._kept[name] = written(getattr(self, name), name)
         return self
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -96,7 +96,7 @@ def detector(enabled: Column, result_type: Column, raw: Column) -> Column:
 
 
 def with_thresholds(history: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Runs with the threshold settings of their metric; a hot metric is salted."""
+    """Runs with the threshold settings of their metric; a hot metric is split."""
     settings = metrics.select("metric_id", "threshold_enabled", "threshold_operator", "threshold_value")
     return lookup_join(history, settings, ["metric_id"], ["history_id"], "inner")
 
@@ -120,11 +120,12 @@ def threshold_anomalies(history: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def categorical_rarity(categories: DataFrame, run: str = "run_id", count: str = "count") -> DataFrame:
     """Rare categories of each run: below 1 % high, below 5 % medium, zero counts skipped."""
-    totals = categories.groupBy(run).agg(F.sum(count).alias("run_total"))
+    totals = categories.groupBy(run).agg(F.sum(count).alias("run_total"), F.count(F.lit(1)).alias("_n"))
     spread = [c for c in categories.columns if c != run]
     n, total = F.col(count), F.col("run_total")
     return (
-        lookup_join(categories, totals, [run], spread)
+        lookup_join(categories, totals, [run], spread, rows="_n")
+        .drop("_n")
         .where((n >= 1) & (n * 20 < total))
         .withColumn("finding", F.when(n * 100 < total, "rare_category").otherwise("minority_category"))
         .withColumn("severity", F.when(n * 100 < total, "high").otherwise("medium"))
@@ -173,9 +174,9 @@ def latest_category_share(categories: DataFrame, metric: str, run: str, time: st
     rows = categories.withColumn("_label", label).withColumn("_value", F.coalesce(value, F.lit(0.0)))
     last = rows.groupBy(metric).agg(F.max_by(run, F.struct(time, run)).alias(run))
     current = lookup_join(rows, last, [metric, run], ["_label", "_value"], "inner")
-    totals = current.groupBy(metric).agg(F.sum("_value").alias("_total"))
+    totals = current.groupBy(metric).agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_total") > 0, F.floor(F.col("_value") * 100 / F.col("_total") + 0.5)).otherwise(0)
-    return lookup_join(current, totals, [metric], ["_label", "_value"]).select(
+    return lookup_join(current, totals, [metric], ["_label", "_value"], rows="_n").select(
         metric,
         run,
         F.col("_label").alias("label"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import percent_change, signed_percent, to_korea_time
-from vigilframe.plans.skew import lag_in_buckets, newest_per_key
+from vigilframe.plans.skew import lag_in_buckets, lookup_join, newest_per_key, time_bucket
 
 KEYS = ["tenant_id", "metric_id"]
 
@@ -16,10 +16,6 @@ KEYS = ["tenant_id", "metric_id"]
 RANGES = {"1h": 1, "6h": 6, "24h": 24, "7d": 24 * 7, "30d": 24 * 30}
 
 
-def day(ts: str = "executed_at") -> Column:
-    return F.date_trunc("day", F.col(ts))
-
-
 def in_range(history: DataFrame, time_range: str | None, now: Column) -> DataFrame:
     """Runs not older than the range; an unknown range keeps all."""
     if time_range not in RANGES:
@@ -77,7 +73,7 @@ def run_gaps(history: DataFrame, keys: Sequence[str] = KEYS, bucket: Column | No
         history.select(*keys, "history_id", "executed_at"),
         keys,
         ["executed_at", "history_id"],
-        day() if bucket is None else bucket,
+        time_bucket(history, keys, "executed_at") if bucket is None else bucket,
         {"executed_at": "previous_executed_at"},
     )
     gap = F.timestamp_diff("SECOND", F.col("previous_executed_at"), F.col("executed_at"))
@@ -112,11 +108,10 @@ def chart_points(history: DataFrame, value: str = "result_raw") -> DataFrame:
 def with_share(df: DataFrame, keys: Sequence[str], count: str, target: str = "share_pct", digits: int = 4):
     """Share of each row's count in the total of its key.
 
-    Totals are one combined row per key; the join splits a hot key over salts.
+    Totals are one combined row per key; the join splits a hot key.
     """
-    from vigilframe.plans.skew import lookup_join
-
-    totals = df.groupBy(*keys).agg(F.sum(count).alias("_total"))
+    totals = df.groupBy(*keys).agg(F.sum(count).alias("_total"), F.count(F.lit(1)).alias("_n"))
     spread = [c for c in df.columns if c not in keys] or list(keys)
     share = F.round(F.try_divide(F.col(count) * F.lit(100.0), F.col("_total").cast("double")), digits)
-    return lookup_join(df, totals, keys, spread).withColumn(target, share).drop("_total")
+    joined = lookup_join(df, totals, keys, spread, rows="_n")
+    return joined.withColumn(target, share).drop("_total", "_n")

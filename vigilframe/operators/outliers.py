@@ -13,6 +13,7 @@ from vigilframe.plans.skew import (
     lookup_join,
     newest_per_key,
     previous_rows_stats,
+    time_bucket,
 )
 
 
@@ -20,14 +21,12 @@ def zscore_outliers(
     df: DataFrame, keys: Sequence[str], row_id: str, value: str, limit: float = 3.0
 ) -> DataFrame:
     """Rows further than ``limit`` sample deviations from the mean of their key."""
-    stats = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    stats = df.groupBy(*keys).agg(
+        F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count(F.lit(1)).alias("_n")
     )
     z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
     return (
-        lookup_join(df, stats, keys, [row_id], "inner")
+        lookup_join(df, stats, keys, [row_id], "inner", rows="_n")
         .withColumn("z_score", z)
         .where(F.abs("z_score") > limit)
         .select(*keys, row_id, value, F.round("z_score", 6).alias("z_score"))
@@ -91,13 +90,15 @@ def adaptive_threshold(
     history: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
     value: str,
     n: int = 24,
     k: float = 3.0,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Runs outside mean +- ``k`` deviations of the ``n`` runs before them."""
     known = history.where(F.col(value).isNotNull())
+    if bucket is None:
+        bucket = time_bucket(known, keys, order[0])
     indexed = index_in_buckets(known, keys, order, bucket, "run_index")
     scored = previous_rows_stats(indexed, keys, "run_index", value, n)
     far = F.abs(F.col(value) - F.col("prev_mean")) > k * F.col("prev_sd")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import score_band
 from vigilframe.plans.skew import lookup_join
+from vigilframe.session import written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -70,23 +71,25 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
 def keyword_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """BM25 score of every document that shares a term with a query.
 
-    Document frequencies are needed for query terms only. A term held by most
-    documents is spread over salts when it meets the queries.
+    Document frequencies are needed for query terms only; they are also the
+    row counts by which a term held by very many documents is split.
     """
     terms = query_terms(queries)
-    n_docs = index.agg(F.count_distinct("doc_id")).scalar()
-    total_len = index.agg(F.sum("tf")).scalar()
-    df = (
+    stats = index.agg(
+        F.struct(F.count_distinct("doc_id").alias("docs"), F.sum("tf").alias("words"))
+    ).scalar()
+    df = written(
         index.join(terms.select("term").distinct(), "term", "left_semi")
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df")),
+        "document-frequency",
     )
-    idf = F.ln(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.ln(1 + (stats["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    norm = 1 - B + B * F.col("doc_len") / (total_len / n_docs)
+    norm = 1 - B + B * F.col("doc_len") / (stats["words"] / stats["docs"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
     return (
-        lookup_join(index, weighted, ["term"], ["doc_id"], "inner")
+        lookup_join(index, weighted, ["term"], ["doc_id"], "inner", rows="df", sized=df)
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(part), DIGITS).alias("score"))
     )

@@ -15,7 +15,11 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+# A key with more rows than this is split; so is one with more than its part of
+# all rows when all rows are shared out to MAX_HOT_KEYS keys.
+ROWS_PER_TASK = 2_000_000
+MAX_HOT_KEYS = 20_000
+NULL_SALTS = 1024
 
 
 def lookup_join(
@@ -24,16 +28,61 @@ def lookup_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    rows: str | None = None,
+    sized: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join ``left`` to one-row-per-key data; a hot key is split over ``salts`` tasks.
+    """Join ``left`` to data with one or few rows per key; keys with many rows are split.
 
-    ``spread`` names the left columns whose hash picks the salt, so a task that
-    is run again picks the same one.
+    One small aggregate measures the largest key; nearly always it is small and
+    the plain join is returned. A hot key gets as many salts as it needs to
+    keep tasks near ``rows_per_task`` rows, and its rows of ``per_key`` are
+    repeated that often; other keys stay as they are. ``rows`` names a column
+    with the key's row count in ``left``, held by ``sized`` (one row per key)
+    or else by ``per_key`` itself; it saves counting. The list of hot keys is
+    broadcast: by its limit it cannot exceed ``MAX_HOT_KEYS`` rows. ``spread``
+    names the left columns whose hash picks the salt, so a task that is run
+    again picks the same one. Rows without a key match nothing and are spread.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if rows is None:
+        sized = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    elif sized is None:
+        sized = per_key
+    n = F.col(rows or "_rows")
+    measured = sized.agg(F.sum(n).alias("total"), F.max(n).alias("top")).first()
+    limit = max(rows_per_task, (measured["total"] or 0) / MAX_HOT_KEYS)
+    if (measured["top"] or 0) <= limit:
+        return left.join(per_key, list(on), how)
+    hot = F.broadcast(sized.where(n > limit).select(*on, F.ceil(n / limit).cast("int").alias("_salts")))
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
+    salts = F.coalesce("_salts", F.when(no_key, F.lit(NULL_SALTS)), F.lit(1))
+    salted = left.join(hot, list(on), "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")
+    )
+    copies = per_key.join(hot, list(on), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    )
+    return salted.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
+# Time units a key is cut into, coarse to fine.
+UNITS = ["day", "hour", "minute", "second"]
+
+
+def time_bucket(
+    df: DataFrame, keys: Sequence[str], time: str, rows_per_task: int = ROWS_PER_TASK
+) -> Column:
+    """Coarsest time unit in which no key has more than ``rows_per_task`` rows.
+
+    Measured with one small aggregate per unit tried; the day nearly always
+    does. The choice affects speed only, never results.
+    """
+    for unit in UNITS[:-1]:
+        groups = df.groupBy(*keys, F.date_trunc(unit, time)).agg(F.count(F.lit(1)).alias("_n"))
+        largest = groups.agg(F.max("_n")).first()[0] or 0
+        if largest <= rows_per_task:
+            return F.date_trunc(unit, time)
+    return F.date_trunc(UNITS[-1], time)
 
 
 def newest_per_key(
@@ -214,7 +263,7 @@ def exact_percentiles(
     inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)])
     gap = reduce(add, [(F.col("_v") > hi).cast("int") for hi in highs])
     counted = (
-        lookup_join(rows, sketch, keys, ["_v"], "inner")
+        lookup_join(rows, sketch, keys, ["_v"], "inner", rows="_n")
         .groupBy(
             *keys, "_n", F.when(inside, F.col("_v")).alias("_at"), F.when(~inside, gap).alias("_gap")
         )

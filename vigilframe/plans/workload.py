@@ -15,6 +15,7 @@ from vigilframe.plans.skew import (
     lag_in_buckets,
     newest_per_key,
     sessions_in_buckets,
+    time_bucket,
 )
 
 
@@ -226,15 +227,15 @@ def popular_products(events, k: int = 10):
 def session_steps(events, gap_minutes: int = 30):
     """Every event with the start of its session and the step before it.
 
-    A session ends after a pause longer than the gap. Works per user and day
-    and carries the open session across days, so no user is held in one task.
+    A session ends after a pause longer than the gap. Works per user and time
+    bucket and carries the open session on, so no user is held in one task.
     """
     placed = sessions_in_buckets(
         events.select("user_id", "event_id", "ts", "event_type"),
         ["user_id"],
         ["ts", "event_id"],
         F.make_dt_interval(mins=F.lit(gap_minutes)),
-        F.date_trunc("day", "ts"),
+        time_bucket(events, ["user_id"], "ts"),
         {"event_type": "previous_type"},
     )
     return placed.select("user_id", "session_start", "ts", "event_id", "event_type", "previous_type")
@@ -280,7 +281,7 @@ def change_history(events):
     """Events whose type differs from the one before of the same user."""
     lagged = lag_in_buckets(
         events.select("user_id", "event_id", "ts", "event_type"),
-        ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), {"event_type": "previous_type"},
+        ["user_id"], ["ts", "event_id"], time_bucket(events, ["user_id"], "ts"), {"event_type": "previous_type"},
     )
     return lagged.where(F.col("previous_type") != F.col("event_type"))
 

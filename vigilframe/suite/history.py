@@ -167,9 +167,7 @@ def _(t):
        WHERE n = 24 AND abs(value - m) > 3 * s""",
 )
 def _(t):
-    hits = outliers.adaptive_threshold(
-        t.events, ["event_type"], ["ts", "event_id"], H.day("ts"), "value"
-    )
+    hits = outliers.adaptive_threshold(t.events, ["event_type"], ["ts", "event_id"], "value")
     return hits.select(
         "event_type", "event_id", "value", F.round("prev_mean", 6).alias("prev_mean"),
         F.round("prev_sd", 6).alias("prev_sd"),
