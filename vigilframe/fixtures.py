@@ -109,7 +109,6 @@ DERIVED: dict[str, str] = {
     "fx_label_nulls": """
         SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
-    "fx_dup_rows": "SELECT text, lang FROM {documents}",
     "fx_null_keys": """
         SELECT CASE WHEN l_linestatus = 'F' THEN l_orderkey END AS a,
                CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS b

@@ -8,9 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Adaptive execution re-plans joins from measured sizes, so no join in this
-# package carries a broadcast hint: a side is broadcast only when Spark has
-# checked it against spark.sql.autoBroadcastJoinThreshold.
+# Adaptive execution re-plans joins from measured sizes: a side is broadcast
+# only when Spark has checked it against spark.sql.autoBroadcastJoinThreshold.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
