@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import __spark_entry__ as entry
 from tools.check_oracle import compare, duck
+from vigilframe import suite
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # Empty at the smallest scale because no row qualifies.
@@ -20,14 +21,15 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(suite.load()[0]))
 def test_query_equals_sql(spark, con, name):
     problem = compare(spark, con, FOLDER, name)
     assert problem is None or problem in MAY_BE_EMPTY
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    queries, twins = suite.load()
+    assert set(queries) == set(twins)
 
 
 def test_flagship(spark):
