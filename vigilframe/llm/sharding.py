@@ -86,8 +86,11 @@ def write_shards(
     return path
 
 
-def shard_table(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
-    """Rows of written shards with ``slot``, the gapless position within the shard."""
+def shard_table(docs: DataFrame, path: str, *wanted: F.Column) -> DataFrame:
+    """Rows of written shards with ``slot``, the gapless position within the shard.
+
+    ``wanted``: expressions over ``record``; by default ``record`` itself.
+    """
     spark = docs.sparkSession
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = f"bucket int, place int, size long, record struct<{fields.replace('` ', '`: ')}>, shard_no int"
@@ -99,8 +102,11 @@ def shard_table(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select("shard_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    return rows.join(offsets, ["shard_no", "bucket"]).select(
-        "record", "size", F.col("shard_no").alias("shard"), (F.col("offset") + F.col("place")).alias("slot")
+    wanted = wanted or (F.col("record"),)
+    # Only what is asked for moves with the join.
+    lean = rows.select("shard_no", "bucket", "place", "size", F.struct(*wanted).alias("wanted"))
+    return lean.join(offsets, ["shard_no", "bucket"]).select(
+        "wanted.*", "size", F.col("shard_no").alias("shard"), (F.col("offset") + F.col("place")).alias("slot")
     )
 
 
@@ -108,13 +114,13 @@ def shard_table(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
 def op1_sharding(spark, folder):
     """All documents in 40 shards under the ``key`` law, derived from the written shards."""
     docs = table(spark, folder, "documents")
-    rows = shard_table(docs, write_shards(docs))
-    return rows.select(
+    rows = shard_table(
+        docs,
+        write_shards(docs),
         F.col("record.doc_id").alias("doc_id"),
-        "size",
         F.crc32(F.coalesce("record.text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        shard_of(F.col("record.doc_id"), SHARDS + 1).alias("grown_shard"),
     )
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"),
+    )
