@@ -21,7 +21,7 @@ from vigilframe.llm.common import id_bucket, query, small_batches, table, text_g
 ORDER = 3
 # The trees of all languages together keep the most frequent paths; this bounds the
 # model that is sent to workers, whatever the corpus. Rarer ones fall back by escape.
-MAX_PATHS = 400_000
+MAX_PATHS = 200_000
 UNKNOWN = "und"
 
 

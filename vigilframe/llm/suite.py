@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("sharding", "pii", "language_id", "simhash", "toxicity")
+AREAS = ("sharding", "pii", "decontaminate", "language_id", "simhash", "toxicity")
 
 
 def load():
