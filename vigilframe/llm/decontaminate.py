@@ -24,11 +24,13 @@ from vigilframe.llm.words import mix, word_hashes
 SIMILARITY = 0.8
 MIN_WORDS = 5
 TARGET_RECALL = 0.95
-SAMPLED = 5
-TABLES_PER_WALK = 8
+SAMPLED = 4
+TABLES_PER_WALK = 16
 # Items travel to the workers in blocks of at most about this many bytes of text;
 # a larger benchmark takes more passes over the documents.
 BLOCK_BYTES = 4 << 20
+# Texts are searched in groups of about this size; larger ones cost memory, smaller ones time.
+GROUP_BYTES = 4 << 20
 SEED = 11
 # Fields of a hit; places are word numbers, end exclusive.
 HIT = {"item_id": "long", "start": "int", "end": "int", "distance": "int", "words": "int"}
@@ -40,15 +42,18 @@ def allowed(words: int, similarity: float = SIMILARITY) -> int:
 
 
 def walk(windows: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings, one row per window: the place in the window read at each step."""
+    """CGK embeddings, one column per window: the word read at each step."""
     n, width = windows.shape
     padded = np.concatenate([windows, np.full((n, 1), np.uint64(2**64 - 1))], 1)
     place, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, steps), np.uint64)
+    flips = mix(np.arange(2 * steps, dtype=np.uint64) + np.uint64(seed << 32))
+    out = np.empty((steps, n), np.uint64)
     for step in range(steps):
-        out[:, step] = word = padded[rows, place]
-        coin = mix(word ^ mix(np.array([seed * 1_000_003 + step], np.uint64))) & np.uint64(1)
-        place = np.minimum(place + coin.astype(np.int64), width)
+        out[step] = word = padded[rows, place]
+        # Words are mixed hashes already: one multiplication gives a fresh coin per step.
+        coin = ((word ^ flips[step]) * (flips[steps + step] | np.uint64(1))) >> np.uint64(63)
+        place += coin.view(np.int64)
+        np.minimum(place, width, out=place)
     return out
 
 
@@ -58,7 +63,9 @@ class _Class:
     def __init__(self, width: int, items: list[tuple[int, np.ndarray]], target: float, similarity: float):
         self.width, self.items = width, items
         self.edits = max(allowed(len(words), similarity) for _, words in items)
-        self.steps = 3 * width
+        # The walk leaves a window after about two steps a word; later places say nothing.
+        self.steps = 2 * width - width // 4
+        self.places: dict[int, np.ndarray] = {}
         self.heads = np.stack([words[:width] for _, words in items])
         self.tables = self._enough(target, similarity)
         keys = self.keys(self.heads)
@@ -66,8 +73,11 @@ class _Class:
         self.sorted = np.take_along_axis(keys, self.order, 1)
 
     def _places(self, number: int) -> np.ndarray:
-        random = np.random.default_rng([SEED, self.width, number])
-        return np.sort(random.choice(self.steps, min(SAMPLED, self.steps), replace=False))
+        """Places that a table samples."""
+        if number not in self.places:
+            random = np.random.default_rng([SEED, self.width, number])
+            self.places[number] = random.choice(self.steps, min(SAMPLED, self.steps), replace=False)
+        return self.places[number]
 
     def keys(self, windows: np.ndarray, tables: int | None = None) -> np.ndarray:
         """Hashes of the sampled places, one row per table."""
@@ -78,7 +88,8 @@ class _Class:
             for t in range(first, min(first + TABLES_PER_WALK, tables)):
                 key = np.full(len(windows), np.uint64(t))
                 for place in self._places(t):
-                    key = mix(key ^ seen[:, place])
+                    key = (key ^ seen[place]) * np.uint64(0xD6E8FEB86659FD93)
+                    key ^= key >> np.uint64(32)
                 out[t] = key
         return out
 
@@ -229,7 +240,7 @@ def with_hits(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             hits: list[list[dict]] = [[] for _ in range(len(batch))]
             texts = [t or "" for t in batch["text"]]
-            for first, group in text_groups([t.lower().encode() for t in texts]):
+            for first, group in text_groups([t.lower().encode() for t in texts], GROUP_BYTES):
                 for text, item, start, end, distance in block.find(*word_hashes(group, marks=True)):
                     rest = (start, end, distance, len(block.words[item]))
                     hits[first + text] += [dict(zip(HIT, (i, *rest))) for i in block.ids[item]]
