@@ -145,8 +145,9 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     """
     small_batches(docs.sparkSession)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    inputs = docs.select(*keep, F.when(has_letter, F.col("text")).alias("_text"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
+    kept = [F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
+    inputs = docs.select(*kept, F.when(has_letter, F.col("text")).alias("_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
     schema = ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"])
 
     if trees is None:
@@ -175,6 +176,20 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     return inputs.mapInPandas(score, schema)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose text is no language: no letter, or costlier than plain bytes.
+
+    The trees are learned from all rows with text and ``lang``. A text that needs over
+    eight bits a byte under every language looks like none of them. If nothing could be
+    learned, only rows without a letter go.
+    """
+    judged = predict(docs, train(docs), docs.columns)
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    cost = F.nanvl("bits_per_byte", F.lit(0.0))
+    fine = has_letter & (F.coalesce(cost, F.lit(0.0)) <= 8)
+    return judged.where(fine).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 @query("op4_language_id")
 def op4_language_id(spark, folder):
     """Language of every document, learned from those outside the held-out third."""

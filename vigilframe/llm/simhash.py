@@ -161,6 +161,21 @@ def close_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sorted_shards.mapInPandas(link, "a long, b long").distinct()
 
 
+def groups(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(_fp, root, component_id) of every distinct ``_fp`` of rows (doc_id, _fp).
+
+    ``root`` names the group; ``component_id`` is its smallest doc_id.
+    """
+    nodes = fingerprints.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first_id"))
+    nodes = written(nodes, "nodes")
+    labels = component_labels(close_links(nodes.select("fp"), radius))
+    grouped = nodes.join(labels, nodes["fp"] == labels["node"], "left").withColumn(
+        "root", F.coalesce("label", "fp")
+    )
+    firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return grouped.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with ``_fp`` and ``component_id``, the smallest doc_id that links reach.
 
@@ -169,16 +184,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids keep their own output rows. Extra columns stay unless named like the new ones.
     """
     rows = written(with_fingerprint(docs.drop("_fp", "component_id")), "fingerprints")
-    nodes = rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first_id"))
-    nodes = written(nodes, "nodes")
-    labels = component_labels(close_links(nodes.select("fp"), radius))
-    grouped = nodes.join(labels, nodes["fp"] == labels["node"], "left").withColumn(
-        "root", F.coalesce("label", "fp")
+    return rows.join(groups(rows, radius).drop("root"), "_fp")
+
+
+def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+
+    Of rows with equal ids, the one read first stays; a NULL id stays only where a
+    group has no other. Only ids and fingerprints move to find the rows that stay.
+    """
+    own = docs.drop("_fp", "_row").withColumn("_row", F.monotonically_increasing_id())
+    rows = written(with_fingerprint(own), "fingerprints")
+    # NULLs come last: the flag orders them behind every id.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
+    best = (
+        rows.select("_fp", first.alias("first"))
+        .join(groups(rows.select("doc_id", "_fp"), radius), "_fp")
+        .groupBy("root")
+        .agg(F.min("first").alias("first"))
     )
-    firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # Only fingerprints with a link need their group's id.
-    ids = grouped.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(ids, "_fp")
+    stay = best.select(F.col("first._row").alias("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @query("op6_simhash")
