@@ -145,9 +145,8 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     """
     small_batches(docs.sparkSession)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    kept = [F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score", "bits_per_byte")]
-    inputs = docs.select(*kept, F.when(has_letter, F.col("text")).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
+    inputs = docs.select(*keep, F.when(has_letter, F.col("text")).alias("_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
     schema = ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"])
 
     if trees is None:
@@ -183,11 +182,14 @@ def accepted(docs: DataFrame) -> DataFrame:
     eight bits a byte under every language looks like none of them. If nothing could be
     learned, only rows without a letter go.
     """
-    judged = predict(docs, train(docs), docs.columns)
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    cost = F.nanvl("bits_per_byte", F.lit(0.0))
-    fine = has_letter & (F.coalesce(cost, F.lit(0.0)) <= 8)
-    return judged.where(fine).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Columns travel under plain numbers, so that none can clash with those of a prediction.
+    numbered = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    kept = [f"_{i}" for i in range(len(docs.columns))]
+    text = F.col(kept[docs.columns.index("text")])
+    judged = predict(docs.select(*numbered, "text"), train(docs), kept)
+    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    cost = F.coalesce(F.nanvl("bits_per_byte", F.lit(0.0)), F.lit(0.0))
+    return judged.where(has_letter & (cost <= 8)).select(*kept).toDF(*docs.columns)
 
 
 @query("op4_language_id")
