@@ -92,6 +92,11 @@ def _tenant(key: str) -> str:
     return _TENANT.replace("{k}", key)
 
 
+def _metric(key: str) -> str:
+    """Metric ids are unique within a tenant only: neighbours share one."""
+    return f"'m' || CAST({key} - {key} % 2 AS STRING)"
+
+
 DERIVED: dict[str, str] = {
     # --- quality views with NULLs in every band, and a skewed category ---------
     "fx_nulls": """
@@ -109,6 +114,11 @@ DERIVED: dict[str, str] = {
     "fx_label_nulls": """
         SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic
         FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
+    # A third of the users and the largest event type are unknown, as the columns allow.
+    "fx_null_events": """
+        SELECT event_id, ts, CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_id,
+               CASE WHEN event_type <> 'view' THEN event_type END AS event_type, value
+        FROM {events}""",
     "fx_null_keys": """
         SELECT CASE WHEN l_linestatus = 'F' THEN l_orderkey END AS a,
                CASE WHEN l_returnflag <> 'N' THEN l_linenumber END AS b
@@ -116,7 +126,7 @@ DERIVED: dict[str, str] = {
     # --- metric registry, history, anomalies, detections ----------------------
     "fx_metrics": f"""
         SELECT {_tenant('c_custkey')} AS tenant_id,
-               'm' || CAST(c_custkey AS STRING) AS metric_id,
+               {_metric('c_custkey')} AS metric_id,
                c_name AS name,
                CASE WHEN c_acctbal < 1000 THEN 'paused' WHEN c_acctbal > 9000 THEN 'archived'
                     ELSE 'active' END AS status,
@@ -156,7 +166,7 @@ DERIVED: dict[str, str] = {
     "fx_history": f"""
         SELECT {_tenant('user_id')} AS tenant_id,
                'h' || CAST(event_id AS STRING) AS history_id,
-               'm' || CAST(user_id AS STRING) AS metric_id,
+               {_metric('user_id')} AS metric_id,
                ts AS executed_at,
                CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
                CASE WHEN event_type = 'error' THEN 'no_data' WHEN event_type = 'signup'
@@ -170,7 +180,7 @@ DERIVED: dict[str, str] = {
     "fx_anomalies": f"""
         SELECT {_tenant('user_id')} AS tenant_id,
                'a' || CAST(event_id AS STRING) AS anomaly_id,
-               'm' || CAST(user_id AS STRING) AS metric_id,
+               {_metric('user_id')} AS metric_id,
                'h' || CAST(event_id AS STRING) AS history_id,
                ts + INTERVAL '1' MINUTE AS detected_at,
                CASE WHEN value >= 20 THEN 'threshold_exceeded' ELSE 'threshold_below' END
@@ -195,12 +205,20 @@ DERIVED: dict[str, str] = {
                o_orderstatus = 'F' AS is_acknowledged
         FROM {{orders}}""",
     # --- results of metric runs ------------------------------------------------
-    "fx_runs": """
-        SELECT 'm' || CAST(o_custkey AS STRING) AS metric_id,
+    "fx_updates": f"""
+        SELECT {_tenant('s_suppkey')} AS tenant_id, {_metric('s_suppkey')} AS metric_id,
+               s_suppkey % 2 AS version, s_name AS name FROM {{supplier}}
+        UNION ALL
+        SELECT {_tenant('s_suppkey')}, {_metric('s_suppkey')}, s_suppkey % 3, 'A' || s_name
+        FROM {{supplier}} WHERE s_suppkey % 5 < 3
+        UNION ALL
+        SELECT 'nobody', 'm' || CAST(s_suppkey AS STRING), 0, s_name FROM {{supplier}} WHERE s_suppkey % 7 = 0""",
+    "fx_runs": f"""
+        SELECT {_tenant('o_custkey')} AS tenant_id, {_metric('o_custkey')} AS metric_id,
                'r' || CAST(o_orderkey AS STRING) AS run_id,
                o_orderdate AS executed_at,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 'timeout' END AS error_message
-        FROM {orders}""",
+        FROM {{orders}}""",
     "fx_cells": """
         SELECT 'r' || CAST(o_orderkey AS STRING) AS run_id, 1 AS row_no, 1 AS col_no,
                'total' AS col_name,
@@ -214,15 +232,16 @@ DERIVED: dict[str, str] = {
         FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey
         CROSS JOIN (SELECT 1 AS col_no UNION ALL SELECT 2 AS col_no) c
         WHERE o_orderstatus = 'O' GROUP BY o_orderkey, l_returnflag, c.col_no""",
-    "fx_categories": """
-        SELECT 's' || CAST(l_suppkey AS STRING) AS metric_id,
+    "fx_categories": f"""
+        SELECT {_tenant('l_suppkey')} AS tenant_id,
+               's' || CAST(l_suppkey - l_suppkey % 2 AS STRING) AS metric_id,
                's' || CAST(l_suppkey AS STRING) || '-' || l_returnflag AS run_id,
                CASE WHEN l_quantity <= 40 THEN 'regular'
                     WHEN l_quantity <= 47 THEN 'q' || CAST(CAST(l_quantity AS INT) AS STRING)
                     ELSE 'q' || CAST(CAST(l_quantity AS INT) AS STRING) || l_linestatus END AS label,
                max(l_shipdate) AS last_seen,
                count(*) AS cnt
-        FROM {lineitem} GROUP BY 1, 2, 3""",
+        FROM {{lineitem}} GROUP BY 1, 2, 3, 4""",
     # --- system catalog: one table per order, one column per line item ---------
     "pg_namespace": """
         SELECT n_nationkey AS oid,

@@ -114,3 +114,12 @@ def filled(text: str, **values: Column) -> Column:
         if piece
     ]
     return F.concat(*parts)
+
+
+def number(raw: Column) -> Column:
+    """Numeric reading of a result, NULL when it is not a number.
+
+    Suffixes of typed literals, as in ``12d``, are no part of a number.
+    """
+    text = F.trim(raw.cast("string"))
+    return F.when(~text.rlike("[dDfF]$") | text.rlike("(?i)inf$"), text.try_cast("double"))

@@ -6,11 +6,14 @@ Run results arrive in long form, one row per cell:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions import messages as msg
-from vigilframe.functions.scalars import filled
+from vigilframe.functions.scalars import filled, number
+from vigilframe.operators.history import KEYS
 from vigilframe.plans.skew import lookup_join
 
 # Comparison operators of a threshold.
@@ -50,7 +53,7 @@ def history_rows(classified: DataFrame) -> DataFrame:
     failed = F.col("error_message").isNotNull()
     none = F.lit(None)
     return classified.select(
-        "metric_id",
+        *KEYS,
         F.col("run_id").alias("history_id"),
         "executed_at",
         F.when(failed, "failed").otherwise("success").alias("status"),
@@ -62,9 +65,12 @@ def history_rows(classified: DataFrame) -> DataFrame:
     )
 
 
-def number(raw: Column) -> Column:
-    """Numeric reading of a result, NULL when it is not a number."""
-    return raw.cast("string").try_cast("double")
+def result_rows(runs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Result data of successful runs beside the history: one row per cell, with tenant and metric."""
+    done = runs.where(F.col("error_message").isNull()).select(*KEYS, "run_id", "executed_at")
+    return done.join(cells, "run_id").select(
+        *KEYS, F.col("run_id").alias("history_id"), "executed_at", "row_no", "col_no", "col_name", "value"
+    )
 
 
 def breaches(value: Column, operator: Column, threshold: Column) -> Column:
@@ -96,9 +102,9 @@ def detector(enabled: Column, result_type: Column, raw: Column) -> Column:
 
 
 def with_thresholds(history: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Runs with the threshold settings of their metric; a hot metric is split."""
-    settings = metrics.select("metric_id", "threshold_enabled", "threshold_operator", "threshold_value")
-    return lookup_join(history, settings, ["metric_id"], ["history_id"], "inner")
+    """Runs with the threshold settings of their tenant's metric."""
+    settings = metrics.select(*KEYS, "threshold_enabled", "threshold_operator", "threshold_value")
+    return lookup_join(history, settings, KEYS, ["history_id"], "inner")
 
 
 def threshold_anomalies(history: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def threshold_anomalies(history: DataFrame, metrics: DataFrame) -> DataFrame:
     route = detector(F.col("threshold_enabled"), F.col("result_type"), F.col("result_raw"))
     hit = breaches(F.col("actual_value"), F.col("threshold_operator"), F.col("threshold_value"))
     return joined.where((route == "threshold") & hit).select(
-        "metric_id",
+        *KEYS,
         "history_id",
         F.col("executed_at").alias("detected_at"),
         anomaly_type(F.col("threshold_operator")).alias("anomaly_type"),
@@ -134,9 +140,10 @@ def categorical_rarity(categories: DataFrame, run: str = "run_id", count: str =
 
 
 def categorical_anomalies(rare: DataFrame, run: str = "run_id") -> DataFrame:
-    """One anomaly per run that holds rare categories."""
-    return rare.groupBy(run).agg(F.count(F.lit(1)).cast("double").alias("actual_value")).select(
-        run,
+    """One anomaly per run that holds rare categories, with its tenant and metric."""
+    return rare.groupBy(*KEYS, run).agg(F.count(F.lit(1)).cast("double").alias("actual_value")).select(
+        *KEYS,
+        F.col(run).alias("history_id"),
         F.lit("threshold_exceeded").alias("anomaly_type"),
         F.lit(RARE_PCT).alias("threshold_value"),
         "actual_value",
@@ -146,9 +153,9 @@ def categorical_anomalies(rare: DataFrame, run: str = "run_id") -> DataFrame:
 def notification_feed(anomalies: DataFrame, metrics: DataFrame) -> DataFrame:
     """Anomalies nobody has been told about yet, with the metric name."""
     pending = anomalies.where(~F.col("notification_sent") & ~F.col("resolved"))
-    names = metrics.select("metric_id", F.col("name").alias("metric_name"))
-    return lookup_join(pending, names, ["metric_id"], ["anomaly_id"]).select(
-        "anomaly_id", "metric_id", "metric_name", "anomaly_type", "threshold_value", "actual_value"
+    names = metrics.select(*KEYS, F.col("name").alias("metric_name"))
+    return lookup_join(pending, names, KEYS, ["anomaly_id"]).select(
+        "anomaly_id", *KEYS, "metric_name", "anomaly_type", "threshold_value", "actual_value"
     )
 
 
@@ -165,19 +172,21 @@ def change_alert(change_rate: Column, latest: Column) -> Column:
     )
 
 
-def latest_category_share(categories: DataFrame, metric: str, run: str, time: str, label: Column, value: Column):
+def latest_category_share(
+    categories: DataFrame, run: str, time: str, label: Column, value: Column, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """Whole-percent share of each category within the newest run of its metric.
 
     ``time`` is the run's own time on every row. A missing label becomes
     a numbered item by position, a missing value counts as 0.
     """
     rows = categories.withColumn("_label", label).withColumn("_value", F.coalesce(value, F.lit(0.0)))
-    last = rows.groupBy(metric).agg(F.max_by(run, F.struct(time, run)).alias(run))
-    current = lookup_join(rows, last, [metric, run], ["_label", "_value"], "inner")
-    totals = current.groupBy(metric).agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("_n"))
+    last = rows.groupBy(*keys).agg(F.max_by(run, F.struct(time, run)).alias(run))
+    current = lookup_join(rows, last, [*keys, run], ["_label", "_value"], "inner")
+    totals = current.groupBy(*keys).agg(F.sum("_value").alias("_total"), F.count(F.lit(1)).alias("_n"))
     share = F.when(F.col("_total") > 0, F.floor(F.col("_value") * 100 / F.col("_total") + 0.5)).otherwise(0)
-    return lookup_join(current, totals, [metric], ["_label", "_value"], rows="_n").select(
-        metric,
+    return lookup_join(current, totals, keys, ["_label", "_value"], rows="_n").select(
+        *keys,
         run,
         F.col("_label").alias("label"),
         F.col("_value").alias("category_value"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.functions.scalars import percent_change, signed_percent, to_korea_time
+from vigilframe.functions.scalars import number, percent_change, signed_percent, to_korea_time
 from vigilframe.plans.skew import lag_in_buckets, lookup_join, newest_per_key, time_bucket
 
 KEYS = ["tenant_id", "metric_id"]
@@ -95,11 +95,10 @@ def mean_interval(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def chart_points(history: DataFrame, value: str = "result_raw") -> DataFrame:
     """Chart rows: numeric value else 0, and local time."""
-    number = F.expr(f"try_cast({value} AS double)")
     return history.select(
         *KEYS,
         "history_id",
-        F.coalesce(number, F.lit(0.0)).alias("chart_value"),
+        F.coalesce(number(F.col(value)), F.lit(0.0)).alias("chart_value"),
         to_korea_time(F.col("executed_at")).alias("local_time"),
         "status",
     )

@@ -38,13 +38,13 @@ def list_metrics(df, status=None, tenant=None):
     return newest_first(matching(df, status=status, tenant_id=tenant), "created_at", "metric_id")
 
 
-def list_anomalies(df, metric=None, resolved=None, tenant=None, n: int = 100):
+def list_anomalies(df, metric=None, resolved=None, tenant=None, n: int | None = None):
     return newest_first(
         matching(df, metric_id=metric, resolved=resolved, tenant_id=tenant), "detected_at", "anomaly_id", n
     )
 
 
-def list_histories(df, metric=None, n: int = 100):
+def list_histories(df, metric=None, n: int | None = None):
     return newest_first(matching(df, metric_id=metric), "executed_at", "history_id", n)
 
 
@@ -80,8 +80,8 @@ def history_with_legacy_defaults(history: DataFrame) -> DataFrame:
 
 def anomaly_feed(anomalies: DataFrame, metrics: DataFrame) -> DataFrame:
     """Anomalies with the metric name, a message and a level."""
-    names = metrics.select("metric_id", "name")
-    joined = lookup_join(anomalies, names, ["metric_id"], ["anomaly_id"])
+    names = metrics.select(*KEYS, "name")
+    joined = lookup_join(anomalies, names, KEYS, ["anomaly_id"])
     metric_name = F.coalesce("name", F.lit(UNKNOWN_METRIC))
     verb = F.when(F.col("anomaly_type") == "threshold_below", " is below ").otherwise(" exceeds ")
     return joined.select(

@@ -10,16 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split; so is one with more than its part of
-# all rows when all rows are shared out to MAX_HOT_KEYS keys.
+# A key with more rows than this is split.
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 20_000
-NULL_SALTS = 1024
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; ``how`` is inner or left."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = reduce(and_, [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on])
+    return left.join(renamed, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def lookup_join(
@@ -32,37 +36,29 @@ def lookup_join(
     sized: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join ``left`` to data with one or few rows per key; keys with many rows are split.
-
-    One small aggregate measures the largest key; nearly always it is small and
-    the plain join is returned. A hot key gets as many salts as it needs to
-    keep tasks near ``rows_per_task`` rows, and its rows of ``per_key`` are
-    repeated that often; other keys stay as they are. ``rows`` names a column
-    with the key's row count in ``left``, held by ``sized`` (one row per key)
-    or else by ``per_key`` itself; it saves counting. The list of hot keys is
-    broadcast: by its limit it cannot exceed ``MAX_HOT_KEYS`` rows. ``spread``
-    names the left columns whose hash picks the salt, so a task that is run
-    again picks the same one. Rows without a key match nothing and are spread.
+    """Join ``left`` to data with one or few rows per key; NULL keys meet NULL keys.
+
+    Where the row count of each key is known anyway, as column ``rows`` of ``sized``
+    (one row per key) or of ``per_key`` itself, a key of more than ``rows_per_task``
+    rows gets as many salts as keep tasks near that size, and its rows of ``per_key``
+    are repeated that often; other keys stay as they are. The list of such keys is an
+    ordinary side of a join, whatever its length. ``spread`` names the left columns
+    whose hash picks the salt, so a task that is run again picks the same one. Without
+    counts it is a plain join, which adaptive execution splits if a key is hot.
     """
     if rows is None:
-        sized = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    elif sized is None:
-        sized = per_key
-    n = F.col(rows or "_rows")
-    measured = sized.agg(F.sum(n).alias("total"), F.max(n).alias("top")).first()
-    limit = max(rows_per_task, (measured["total"] or 0) / MAX_HOT_KEYS)
-    if (measured["top"] or 0) <= limit:
-        return left.join(per_key, list(on), how)
-    hot = F.broadcast(sized.where(n > limit).select(*on, F.ceil(n / limit).cast("int").alias("_salts")))
-    no_key = reduce(or_, [F.col(c).isNull() for c in on])
-    salts = F.coalesce("_salts", F.when(no_key, F.lit(NULL_SALTS)), F.lit(1))
-    salted = left.join(hot, list(on), "left").withColumn(
+        return null_safe_join(left, per_key, on, how)
+    n = F.col(rows)
+    counted = per_key if sized is None else sized
+    hot = counted.where(n > rows_per_task).select(*on, F.ceil(n / rows_per_task).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = null_safe_join(left, hot, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")
     )
-    copies = per_key.join(hot, list(on), "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    copies = null_safe_join(per_key, hot, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    return salted.drop("_salts").join(copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+    return null_safe_join(salted.drop("_salts"), copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
 # Time units a key is cut into, coarse to fine.
@@ -118,7 +114,7 @@ def lag_in_buckets(
         *parts,
         F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"),
     )
-    joined = inner.join(carried, parts, "left")
+    joined = null_safe_join(inner, carried, parts, "left")
     for source, target in values.items():
         joined = joined.withColumn(
             target,
@@ -177,7 +173,7 @@ def sessions_in_buckets(
     )
     head = F.col("_rn") == 1
     joined = (
-        inner.join(carried, parts, "left")
+        null_safe_join(inner, carried, parts, "left")
         .withColumn("is_start", F.when(head, F.col("_opens")).otherwise(F.col("_mark").isNotNull()))
         .withColumn("session_start", F.coalesce("_open", "_carry"))
     )
@@ -202,7 +198,7 @@ def index_in_buckets(
     local = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
     inner = rows.withColumn("_rn", local)
     return (
-        inner.join(offsets, parts, "left")
+        null_safe_join(inner, offsets, parts, "left")
         .withColumn(target, F.col("_offset") + F.col("_rn") - 1)
         .drop("_bucket", "_rn", "_offset")
     )

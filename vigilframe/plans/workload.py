@@ -6,17 +6,21 @@ moves one row per key and a hot key costs nothing extra.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import ntz, on_day
 from vigilframe.plans.skew import (
+    null_safe_join,
     exact_percentiles,
     lag_in_buckets,
     newest_per_key,
     sessions_in_buckets,
     time_bucket,
 )
+from vigilframe.session import written
 
 
 
@@ -32,9 +36,11 @@ def between(ts: str, start: str, end: str) -> Column:
     return (F.col(ts) >= ntz(start)) & (F.col(ts) < ntz(end))
 
 
-def share_of_all(groups: DataFrame, amount: str, total: DataFrame, target: str = "share_pct") -> DataFrame:
-    """Share in a grand total given as a one-row, one-column frame."""
-    return groups.withColumn(target, F.round(F.col(amount) * 100.0 / total.scalar(), 4))
+def share_of_all(groups: DataFrame, amount: str, target: str = "share_pct") -> DataFrame:
+    """Share in the sum of all groups; groups are written once, so their table is scanned once."""
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum(amount)).scalar()
+    return groups.withColumn(target, F.round(F.col(amount) * 100.0 / total, 4))
 
 
 # --- categories, stock ------------------------------------------------------------
@@ -59,21 +65,35 @@ def category_structure(region, nation):
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """Depth and path of every node of a parent-child table (id, parent_id, name).
 
-    One join per level until a level is empty; trees of categories are shallow.
+    One join per level until a level is empty; each level is written once, so none is
+    computed again for the next. A node no root leads to has neither depth nor path:
+    its parent is absent, or it hangs on a cycle. A node listed under several parents
+    has a row for each path.
     """
     level = nodes.where(F.col("parent_id").isNull()).select(
-        "id", F.lit(0).alias("depth"), F.col("name").alias("path")
+        "id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("id").alias("_seen")
     )
     edges = nodes.where(F.col("parent_id").isNotNull())
-    out = level
-    while True:
-        up = level.select(F.col("id").alias("parent_id"), "depth", "path")
-        level = edges.join(up, "parent_id").select(
-            "id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "name").alias("path")
+    out = []
+    while not out or not level.isEmpty():
+        level = written(level, "level")
+        out.append(level)
+        up = level.select(F.col("id").alias("parent_id"), "depth", "path", "_seen")
+        level = (
+            edges.join(up, "parent_id")
+            .where(~F.array_contains("_seen", F.col("id")))
+            .select(
+                "id",
+                (F.col("depth") + 1).alias("depth"),
+                F.concat_ws("/", "path", "name").alias("path"),
+                F.array_append("_seen", F.col("id")).alias("_seen"),
+            )
         )
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    found = reduce(DataFrame.unionByName, out).drop("_seen")
+    lost = edges.join(found, "id", "left_anti").select(
+        "id", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("path")
+    )
+    return found.unionByName(lost)
 
 
 def products_per_category(part):
@@ -95,7 +115,7 @@ def reorder_needed(lineitem, level: float):
 
 def warehouse_distribution(lineitem):
     groups = lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
-    return share_of_all(groups, "quantity", lineitem.agg(F.sum("l_quantity")))
+    return share_of_all(groups, "quantity")
 
 
 # --- sales ------------------------------------------------------------------------
@@ -133,7 +153,7 @@ def orders_by_status(orders):
 
 def revenue_share_by_method(orders):
     groups = orders.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("_r"))
-    return share_of_all(groups, "_r", orders.agg(F.sum("o_totalprice"))).drop("_r")
+    return share_of_all(groups, "_r").drop("_r")
 
 
 def completed_total(orders, start, end):
@@ -144,7 +164,7 @@ def completed_total(orders, start, end):
 
 def payment_share(lineitem):
     groups = lineitem.groupBy("l_returnflag").agg(revenue().alias("_r"))
-    return share_of_all(groups, "_r", lineitem.agg(revenue())).drop("_r")
+    return share_of_all(groups, "_r").drop("_r")
 
 
 def failure_causes(events):
@@ -163,7 +183,7 @@ def price_comparison(part):
         F.max("p_retailprice").alias("max_price"),
     )
     median = exact_percentiles(part, ["p_type"], "p_retailprice", [0.5])
-    return plain.join(median.select("p_type", F.round("p0", 6).alias("median_price")), "p_type")
+    return null_safe_join(plain, median.select("p_type", F.round("p0", 6).alias("median_price")), ["p_type"], "left")
 
 
 def popular_by_brand(part, lineitem, k: int = 3):
@@ -274,7 +294,7 @@ def address_distribution(customer, nation, region):
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select("r_name", "n_name", "customers")
     )
-    return share_of_all(placed, "customers", customer.agg(rows()))
+    return share_of_all(placed, "customers")
 
 
 def change_history(events):

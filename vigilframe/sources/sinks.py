@@ -56,20 +56,25 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], version: st
 
 
 def update_if_unchanged(
-    base: DataFrame, updates: DataFrame, key: str, version: str, fields: Sequence[str]
+    base: DataFrame, updates: DataFrame, keys: Sequence[str], version: str, fields: Sequence[str]
 ) -> DataFrame:
     """Apply updates whose expected version is the stored one; others leave the row as it is.
 
     Adds ``outcome``: updated, conflict or untouched. ``updates`` holds the
-    key, the expected version and the new fields.
+    key, the expected version and the new fields. Of several updates that expect the
+    stored version one is applied, the smallest by its fields; ``update_outcomes``
+    tells what became of each.
     """
-    new = updates.select(
-        key, F.col(version).alias("_expected"), *[F.col(f).alias(f"_new_{f}") for f in fields]
+    judged = _judged_updates(base, updates, keys, version, fields)
+    new = judged.groupBy(*keys).agg(
+        F.min(F.when(F.col("_ok"), F.struct(*[f"_new_{f}" for f in fields]))).alias("_winner"),
+        F.lit(True).alias("_asked"),
     )
-    ok = F.col("_expected") == F.col(version)
-    joined = base.join(new, key, "left").withColumn(
+    joined = base.join(new, list(keys), "left").select("*", "_winner.*").withColumn(
         "outcome",
-        F.when(F.col("_expected").isNull(), "untouched").when(ok, "updated").otherwise("conflict"),
+        F.when(F.col("_asked").isNull(), "untouched")
+        .when(F.col("_winner").isNotNull(), "updated")
+        .otherwise("conflict"),
     )
     changed = F.col("outcome") == "updated"
     for field in fields:
@@ -80,14 +85,44 @@ def update_if_unchanged(
     return joined.select(*base.columns, "outcome")
 
 
+def _judged_updates(base, updates, keys, version, fields) -> DataFrame:
+    """Updates with ``_known`` (the key exists) and ``_ok`` (it has the expected version)."""
+    new = updates.select(
+        *keys, F.col(version).alias("_expected"), *[F.col(f).alias(f"_new_{f}") for f in fields]
+    )
+    stored = base.select(*keys, F.col(version).alias("_stored"), F.lit(True).alias("_known"))
+    ok = F.coalesce(F.col("_expected") == F.col("_stored"), F.lit(False))
+    return new.join(stored, list(keys), "left").withColumn("_ok", ok)
+
+
+def update_outcomes(
+    base: DataFrame, updates: DataFrame, keys: Sequence[str], version: str, fields: Sequence[str]
+) -> DataFrame:
+    """What became of each update: updated, superseded by another one, conflict or unknown key."""
+    judged = _judged_updates(base, updates, keys, version, fields)
+    asked = F.struct(*[f"_new_{f}" for f in fields])
+    winners = judged.where("_ok").groupBy(*keys).agg(F.min(asked).alias("_winner"))
+    return judged.join(winners, list(keys), "left").select(
+        *keys,
+        F.col("_expected").alias("expected_version"),
+        *[F.col(f"_new_{f}").alias(f) for f in fields],
+        F.when(F.col("_known").isNull(), "unknown")
+        .when(~F.col("_ok"), "conflict")
+        .when(asked == F.col("_winner"), "updated")
+        .otherwise("superseded")
+        .alias("outcome"),
+    )
+
+
 def acknowledge(detections: DataFrame, ids: DataFrame, key: str, now: Column) -> DataFrame:
     """Mark the given detections acknowledged and stamp the change."""
     marks = ids.select(key).distinct().withColumn("_hit", F.lit(True))
     hit = F.coalesce("_hit", F.lit(False))
+    before = F.col("updated_at") if "updated_at" in detections.columns else F.lit(None)
     return (
         detections.join(marks, key, "left")
-        .withColumn("is_acknowledged", F.col("is_acknowledged") | hit)
-        .withColumn("updated_at", F.when(hit, now))
+        .withColumn("is_acknowledged", F.coalesce("is_acknowledged", F.lit(False)) | hit)
+        .withColumn("updated_at", F.when(hit, now).otherwise(before))
         .drop("_hit")
     )
 

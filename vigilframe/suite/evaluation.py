@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilframe.operators import evaluation as E
-from vigilframe.operators.history import latest_and_previous
+from vigilframe.operators.history import KEYS, latest_and_previous
 from vigilframe.plans import evaluate
 from vigilframe.suite.base import query
 from vigilframe.suite.history import PAIR
 
 CLASSIFIED = """
-    SELECT r.metric_id, r.run_id, r.executed_at, r.error_message,
+    SELECT r.tenant_id, r.metric_id, r.run_id, r.executed_at, r.error_message,
       CASE WHEN coalesce(s.n, 0) = 0 THEN 'no_data' WHEN s.n = 1 AND s.c = 1 THEN 'single_value'
            ELSE 'multiple_rows' END AS result_type,
       coalesce(s.n, 0) AS row_count,
@@ -30,20 +31,23 @@ def _(t):
 
 @query(
     "t2_numeric_reading",
-    "SELECT history_id, result_raw, try_cast(result_raw AS DOUBLE) AS actual_value FROM {fx_history}",
+    """SELECT history_id, result_raw || suffix AS result_raw, try_cast(result_raw || suffix AS DOUBLE) AS actual_value
+       FROM {fx_history} CROSS JOIN (VALUES (''), ('d'), ('f'), (' '), ('e1')) AS s(suffix)""",
 )
 def _(t):
-    return t.fx_history.select("history_id", "result_raw", E.number(F.col("result_raw")).alias("actual_value"))
+    suffixes = F.explode(F.array(*[F.lit(x) for x in ("", "d", "f", " ", "e1")]))
+    rows = t.fx_history.withColumn("_s", suffixes).withColumn("result_raw", F.concat("result_raw", "_s"))
+    return rows.select("history_id", "result_raw", E.number(F.col("result_raw")).alias("actual_value"))
 
 
 BREACH = """coalesce(CASE threshold_operator WHEN '>' THEN v > threshold_value
       WHEN '>=' THEN v >= threshold_value WHEN '<' THEN v < threshold_value
       WHEN '<=' THEN v <= threshold_value WHEN '==' THEN v = threshold_value
       WHEN '!=' THEN v <> threshold_value END, false)"""
-JOINED = """(SELECT h.metric_id, h.history_id, h.executed_at, h.result_type, h.result_raw,
+JOINED = """(SELECT h.tenant_id, h.metric_id, h.history_id, h.executed_at, h.result_type, h.result_raw,
       m.threshold_enabled, m.threshold_operator, m.threshold_value,
       try_cast(h.result_raw AS DOUBLE) AS v
-    FROM {fx_history} h JOIN {fx_metrics} m ON h.metric_id = m.metric_id)"""
+    FROM {fx_history} h JOIN {fx_metrics} m ON h.metric_id = m.metric_id AND h.tenant_id = m.tenant_id)"""
 ROUTE = """CASE WHEN NOT threshold_enabled THEN CASE WHEN result_type = 'multiple_rows'
       THEN 'categorical' ELSE 'none' END
     WHEN result_type = 'multiple_rows' OR result_raw IS NULL THEN 'none' ELSE 'threshold' END"""
@@ -66,7 +70,7 @@ def _(t):
 
 @query(
     "t4_threshold_anomalies",
-    f"""SELECT metric_id, history_id, executed_at AS detected_at,
+    f"""SELECT tenant_id, metric_id, history_id, executed_at AS detected_at,
           CASE WHEN threshold_operator IN ('<', '<=') THEN 'threshold_below'
                ELSE 'threshold_exceeded' END AS anomaly_type, threshold_value, v AS actual_value,
           false AS resolved, false AS notification_sent
@@ -84,7 +88,7 @@ def _(t):
 
 
 RARE = """
-    SELECT metric_id, run_id, label, cnt,
+    SELECT tenant_id, metric_id, run_id, label, cnt,
       CASE WHEN cnt * 100 < total THEN 'rare_category' ELSE 'minority_category' END AS finding,
       CASE WHEN cnt * 100 < total THEN 'high' ELSE 'medium' END AS severity,
       round(cnt * 100.0E0 / total, 4) AS percentage
@@ -95,13 +99,13 @@ RARE = """
 @query("t6_categorical_rarity", RARE)
 def _(t):
     rare = E.categorical_rarity(t.fx_categories, count="cnt")
-    return rare.select("metric_id", "run_id", "label", "cnt", "finding", "severity", "percentage")
+    return rare.select("tenant_id", "metric_id", "run_id", "label", "cnt", "finding", "severity", "percentage")
 
 
 @query(
     "t7_categorical_anomalies",
-    f"""SELECT run_id, 'threshold_exceeded' AS anomaly_type, 5.0E0 AS threshold_value,
-          CAST(count(*) AS DOUBLE) AS actual_value FROM ({RARE}) GROUP BY run_id""",
+    f"""SELECT tenant_id, metric_id, run_id AS history_id, 'threshold_exceeded' AS anomaly_type, 5.0E0 AS threshold_value,
+          CAST(count(*) AS DOUBLE) AS actual_value FROM ({RARE}) GROUP BY tenant_id, metric_id, run_id""",
 )
 def _(t):
     return E.categorical_anomalies(E.categorical_rarity(t.fx_categories, count="cnt"))
@@ -109,7 +113,7 @@ def _(t):
 
 @query(
     "t8_history_rows",
-    f"""SELECT metric_id, run_id AS history_id, executed_at,
+    f"""SELECT tenant_id, metric_id, run_id AS history_id, executed_at,
           CASE WHEN error_message IS NULL THEN 'success' ELSE 'failed' END AS status,
           CASE WHEN error_message IS NULL THEN result_type ELSE 'no_data' END AS result_type,
           CASE WHEN error_message IS NULL THEN result_raw END AS result_raw,
@@ -121,10 +125,19 @@ def _(t):
     return E.history_rows(E.classify_runs(t.fx_runs, t.fx_cells))
 
 
+@query(
+    "t8_result_data",
+    """SELECT r.tenant_id, r.metric_id, r.run_id AS history_id, r.executed_at, c.row_no, c.col_no, c.col_name, c.value
+       FROM {fx_runs} r JOIN {fx_cells} c ON r.run_id = c.run_id WHERE r.error_message IS NULL""",
+)
+def _(t):
+    return E.result_rows(t.fx_runs, t.fx_cells)
+
+
 @query(
     "t9_notification_feed",
-    """SELECT a.anomaly_id, a.metric_id, m.name AS metric_name, a.anomaly_type, a.threshold_value,
-         a.actual_value FROM {fx_anomalies} a LEFT JOIN {fx_metrics} m ON a.metric_id = m.metric_id
+    """SELECT a.anomaly_id, a.tenant_id, a.metric_id, m.name AS metric_name, a.anomaly_type, a.threshold_value,
+         a.actual_value FROM {fx_anomalies} a LEFT JOIN {fx_metrics} m ON a.metric_id = m.metric_id AND a.tenant_id = m.tenant_id
        WHERE NOT a.notification_sent AND NOT a.resolved""",
 )
 def _(t):
@@ -215,14 +228,36 @@ def _(t):
 
 @query(
     "t14_latest_category_share",
-    """WITH last_run AS (SELECT metric_id, max_by(run_id, (last_seen, run_id)) AS run_id
-         FROM {fx_categories} GROUP BY metric_id)
-       SELECT c.metric_id, c.run_id, c.label, CAST(c.cnt AS DOUBLE) AS category_value,
-         CAST(floor(c.cnt * 100.0E0 / sum(c.cnt) OVER (PARTITION BY c.metric_id) + 0.5) AS BIGINT) AS percentage
-       FROM {fx_categories} c JOIN last_run l ON c.metric_id = l.metric_id AND c.run_id = l.run_id""",
+    """WITH cats AS (SELECT tenant_id, metric_id, history_id, executed_at,
+           coalesce(nullif(max(CASE WHEN col_name = 'category' THEN value END), ''),
+             nullif(max(CASE WHEN col_name = 'status' THEN value END), ''),
+             '항목 ' || CAST(row_number() OVER (PARTITION BY history_id ORDER BY row_no) AS STRING)) AS label,
+           coalesce(try_cast(coalesce(max(CASE WHEN col_name = 'count' THEN value END),
+             max(CASE WHEN col_name = 'total' THEN value END)) AS DOUBLE), 0) AS v
+         FROM (SELECT r.tenant_id, r.metric_id, r.run_id AS history_id, r.executed_at, c.row_no, c.col_name,
+                 CASE WHEN c.value = 'N' THEN '' ELSE c.value END AS value
+               FROM {fx_runs} r JOIN {fx_cells} c ON r.run_id = c.run_id WHERE r.error_message IS NULL)
+         GROUP BY tenant_id, metric_id, history_id, executed_at, row_no),
+       last_run AS (SELECT tenant_id, metric_id, max_by(history_id, (executed_at, history_id)) AS history_id
+         FROM cats GROUP BY 1, 2)
+       SELECT c.tenant_id, c.metric_id, c.history_id, c.label, c.v AS category_value,
+         CAST(CASE WHEN sum(c.v) OVER w > 0 THEN floor(c.v * 100 / sum(c.v) OVER w + 0.5) ELSE 0 END AS BIGINT) AS percentage
+       FROM cats c JOIN last_run l USING (tenant_id, metric_id, history_id)
+       WINDOW w AS (PARTITION BY c.tenant_id, c.metric_id)""",
 )
 def _(t):
-    rows = t.fx_categories.withColumn("order_count", F.lit(None).cast("bigint"))
-    return E.latest_category_share(
-        rows, "metric_id", "run_id", "last_seen", F.col("label"), E.picked_value("order_count", "cnt")
+    # Labels and values are picked from the stored cells of each run.
+    cells = E.result_rows(t.fx_runs, t.fx_cells)
+    cells = cells.withColumn("value", F.when(F.col("value") == "N", "").otherwise(F.col("value")))
+    line = Window.partitionBy("history_id").orderBy("row_no")
+    names = ["category", "status", "name", "count", "order_count", "total", "value"]
+    rows = (
+        cells.groupBy(*KEYS, "history_id", "executed_at", "row_no")
+        .agg(*[F.max(F.when(F.col("col_name") == c, F.col("value"))).alias(c) for c in names])
+        .withColumn("position", F.row_number().over(line))
     )
+    return E.latest_category_share(
+        rows, "history_id", "executed_at",
+        E.picked_label("position", "category", "status", "name"),
+        E.picked_value("count", "order_count", "total", "value"),
+    )

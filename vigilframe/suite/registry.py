@@ -82,25 +82,36 @@ def _(t):
     return sinks.upsert(base, updates, ["doc_id"], "version")
 
 
+_WINNERS = """SELECT u.tenant_id, u.metric_id, min(u.name) AS name FROM {fx_updates} u
+         JOIN {fx_metrics} m ON u.tenant_id = m.tenant_id AND u.metric_id = m.metric_id AND u.version = m.version
+         GROUP BY 1, 2"""
+
+
 @query(
     "a13_update_if_unchanged",
-    """SELECT m.metric_id,
-         CASE WHEN u.expected = m.version THEN u.new_name ELSE m.name END AS name,
-         CASE WHEN u.expected = m.version THEN m.version + 1 ELSE m.version END AS version,
-         CASE WHEN u.expected IS NULL THEN 'untouched' WHEN u.expected = m.version THEN 'updated'
-              ELSE 'conflict' END AS outcome
-       FROM {fx_metrics} m LEFT JOIN (
-         SELECT 'm' || CAST(s_suppkey AS STRING) AS metric_id, s_suppkey % 2 AS expected, s_name AS new_name
-         FROM {supplier}) u ON m.metric_id = u.metric_id""",
-)
-def _(t):
-    updates = t.supplier.select(
-        F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("metric_id"),
-        (F.col("s_suppkey") % 2).alias("version"),
-        F.col("s_name").alias("name"),
-    )
-    base = t.fx_metrics.select("metric_id", "name", "version")
-    return sinks.update_if_unchanged(base, updates, "metric_id", "version", ["name"])
+    f"""SELECT m.tenant_id, m.metric_id, coalesce(w.name, m.name) AS name,
+         m.version + CASE WHEN w.name IS NULL THEN 0 ELSE 1 END AS version,
+         CASE WHEN u.n IS NULL THEN 'untouched' WHEN w.name IS NULL THEN 'conflict' ELSE 'updated' END AS outcome
+       FROM {{fx_metrics}} m
+       LEFT JOIN (SELECT tenant_id, metric_id, count(*) AS n FROM {{fx_updates}} GROUP BY 1, 2) u
+         ON u.tenant_id = m.tenant_id AND u.metric_id = m.metric_id
+       LEFT JOIN ({_WINNERS}) w ON w.tenant_id = m.tenant_id AND w.metric_id = m.metric_id""",
+)
+def _(t):
+    base = t.fx_metrics.select(*KEYS, "name", "version")
+    return sinks.update_if_unchanged(base, t.fx_updates, KEYS, "version", ["name"])
+
+
+@query(
+    "a13_update_outcomes",
+    f"""SELECT u.tenant_id, u.metric_id, u.version AS expected_version, u.name,
+         CASE WHEN m.version IS NULL THEN 'unknown' WHEN m.version <> u.version THEN 'conflict'
+              WHEN w.name = u.name THEN 'updated' ELSE 'superseded' END AS outcome
+       FROM {{fx_updates}} u LEFT JOIN {{fx_metrics}} m ON u.tenant_id = m.tenant_id AND u.metric_id = m.metric_id
+       LEFT JOIN ({_WINNERS}) w ON w.tenant_id = u.tenant_id AND w.metric_id = u.metric_id""",
+)
+def _(t):
+    return sinks.update_outcomes(t.fx_metrics, t.fx_updates, KEYS, "version", ["name"])
 
 
 _DOOMED = "SELECT 'd' || CAST(l_orderkey AS STRING) AS detection_id FROM {lineitem} WHERE l_quantity = 50"
@@ -115,12 +126,17 @@ def _doomed(t):
 @query(
     "a14_acknowledge",
     f"""SELECT *  EXCLUDE (is_acknowledged, detected_at),
-          is_acknowledged OR detection_id IN ({_DOOMED}) AS is_acknowledged,
-          CASE WHEN detection_id IN ({_DOOMED}) THEN {NOW_TS} END AS updated_at
+          CASE WHEN null_count = 3 THEN false ELSE is_acknowledged END
+            OR detection_id IN ({_DOOMED}) AS is_acknowledged,
+          CASE WHEN detection_id IN ({_DOOMED}) THEN {NOW_TS} WHEN is_acknowledged THEN detected_at END AS updated_at
         FROM {{fx_detections}}""",
 )
 def _(t):
-    return sinks.acknowledge(t.fx_detections, _doomed(t), "detection_id", scalars.ntz(NOW)).drop("detected_at")
+    # Some rows were acknowledged earlier, some do not say.
+    known = F.when(F.col("null_count") != 3, F.col("is_acknowledged"))
+    base = t.fx_detections.withColumn("updated_at", F.when(F.col("is_acknowledged"), F.col("detected_at")))
+    marked = sinks.acknowledge(base.withColumn("is_acknowledged", known), _doomed(t), "detection_id", scalars.ntz(NOW))
+    return marked.drop("detected_at")
 
 
 @query("a15_delete_by_id", f"SELECT * FROM {{fx_detections}} WHERE detection_id NOT IN ({_DOOMED})")
@@ -191,7 +207,7 @@ def _(t):
        ORDER BY detected_at DESC, anomaly_id DESC LIMIT 100""",
 )
 def _(t):
-    return R.list_anomalies(t.fx_anomalies, resolved=False)
+    return R.list_anomalies(t.fx_anomalies, resolved=False, n=100)
 
 
 @query(
@@ -199,7 +215,7 @@ def _(t):
     f"SELECT {COLS} FROM {{fx_history}} ORDER BY executed_at DESC, history_id DESC LIMIT 100",
 )
 def _(t):
-    return R.list_histories(t.fx_history)
+    return R.list_histories(t.fx_history, n=100)
 
 
 @query("b5_lookup_anomaly", "SELECT * FROM {fx_anomalies} WHERE history_id = 'h42' OR metric_id = 'm3'")
@@ -271,7 +287,7 @@ def _(t):
            || CAST(a.threshold_value AS STRING) AS message,
          CASE WHEN a.anomaly_type = 'threshold_exceeded' THEN 'error' ELSE 'warning' END AS level, a.resolved
        FROM {fx_anomalies} a LEFT JOIN (SELECT * FROM {fx_metrics} WHERE status <> 'archived') m
-         ON a.metric_id = m.metric_id""",
+         ON a.metric_id = m.metric_id AND a.tenant_id = m.tenant_id""",
 )
 def _(t):
     return R.anomaly_feed(t.fx_anomalies, t.fx_metrics.where(F.col("status") != "archived"))

@@ -31,7 +31,9 @@ _NODES = """
     SELECT 'r' || CAST(r_regionkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id, r_name AS name
     FROM {region}
     UNION ALL SELECT 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING), n_name FROM {nation}
-    UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), 'n' || CAST(s_nationkey AS STRING), s_name FROM {supplier}"""
+    UNION ALL SELECT 's' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 9 = 8 THEN 'gone'
+      WHEN s_suppkey % 9 = 7 THEN 's' || CAST(s_suppkey AS STRING) ELSE 'n' || CAST(s_nationkey AS STRING) END,
+      s_name FROM {supplier}"""
 
 
 @query(
@@ -39,7 +41,8 @@ _NODES = """
     f"""WITH RECURSIVE nodes AS ({_NODES}), tree(id, depth, path) AS (
           SELECT id, 0, name FROM nodes WHERE parent_id IS NULL
           UNION ALL SELECT n.id, t.depth + 1, t.path || '/' || n.name
-          FROM nodes n JOIN tree t ON n.parent_id = t.id) SELECT * FROM tree""",
+          FROM nodes n JOIN tree t ON n.parent_id = t.id)
+        SELECT n.id, t.depth, t.path FROM nodes n LEFT JOIN tree t ON n.id = t.id""",
 )
 def _(t):
     return W.hierarchy(t.sql(_NODES))
