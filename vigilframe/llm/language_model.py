@@ -31,7 +31,7 @@ from vigilframe.llm.common import id_bucket, new_table_path, open_store, query,
 from vigilframe.llm.words import mix, word_hashes
 
 # A file of the model holds about this many entries.
-FILE_ROWS = 1 << 20
+FILE_ROWS = 1 << 19
 # Counts of a task are merged and sent on whenever this many tokens are held.
 HELD_TOKENS = 2 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, file_rows: int = FILE_ROWS) -> str:
             first = _starts(keys)
             n, order, keys = np.add.reduceat(n[order], first), order[first], keys[first]
             _save(folder, f"pairs-{bucket:06d}", keys, n.astype(np.uint32))
-            stats = np.zeros((2 * len(keys), 5), np.int64)
+            stats = np.zeros((2 * len(keys), 5), np.uint32)
             stats[: len(keys), 0] = n
             stats[len(keys) :, 1] = 1
             for i in (1, 2, 3):
@@ -172,11 +172,11 @@ def train(docs: DataFrame, file_rows: int = FILE_ROWS) -> str:
             order = np.argsort(words)
             words = words[order]
             first = _starts(words)
-            stats, words = np.add.reduceat(stats[order], first, axis=0), words[first]
+            stats, words = np.add.reduceat(stats[order], first, axis=0, dtype=np.uint32), words[first]
             number = _file_of_word(words, files)
             cut = _starts(number)
             kinds = np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
-            sent_words, sent_stats = _pieces(cut, words, stats.astype(np.uint32))
+            sent_words, sent_stats = _pieces(cut, words, stats)
             yield pd.DataFrame(
                 {
                     "bucket": number[cut],
@@ -358,7 +358,7 @@ def with_scores(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
         model = _OPEN[folder]
         for batch in batches:
             texts = [(t or "").encode() for t in batch.pop("_text")]
-            found = [model.score(group) for _, group in text_groups(texts, 4 << 20)]
+            found = [model.score(group) for _, group in text_groups(texts)]
             if found:
                 scores = pd.concat(found, ignore_index=True).assign(train_tokens=model.facts["tokens"])
                 yield pd.concat([batch.reset_index(drop=True), scores], axis=1)
