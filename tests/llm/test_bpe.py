@@ -23,7 +23,7 @@ def plain(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B", "é", "́", " ", "\n", "\x1c", " ", "'s", "<|endoftext|>", "1", "漢", "😀", "!"]), max_size=60))
+@given(st.lists(st.sampled_from(["a", "B", "é", "́", " ", "\n", "\x1c", " ", "'s", "<|endoftext|>", "1", "漢", "😀", "!", "J", "I", "̌", "̇", ".", ","]), max_size=60))
 def test_small_texts(parts):
     text = "".join(parts)
     assert next(bpe.Encoder(PATH).encode([text.encode()])).tolist() == plain(text)

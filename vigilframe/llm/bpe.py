@@ -11,6 +11,7 @@ chunks gave.
 from __future__ import annotations
 
 import os
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -24,13 +25,22 @@ from vigilframe.llm.common import query, small_batches, table
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BITS = 10
 MIN_CHUNK = 64
-# A worker keeps ids of this many bytes of chunks and this many words, oldest out first.
-# What was dropped is encoded again when it is met again.
+# A worker keeps ids of this many bytes of chunks, oldest out first, and of the words of
+# two generations of this size. What was dropped is encoded again when it is met again.
 CHUNK_STORE = 48 << 20
-WORD_STORE = 400_000
+WORD_STORE = 200_000
 # The white space that bytes.split() knows; no token spans it.
 SPACE = b" \t\n\r\x0b\x0c"
 
+# Punctuation that, ending a word after an ASCII letter or digit, is encoded by itself.
+ENDING = b".,!?;:"
+# Bytes that forbid lower-casing ahead: special tokens keep their case, and a letter
+# may compose with a combining mark (lead bytes 0xCC and 0xCD) in one case only.
+_CASED = re.compile(rb"[<\xcc\xcd]")
+# Words of Latin letters alone or of ending punctuation alone: one run of tokens each.
+_ONE_RUN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[.,!?;:]+")
+# Words encoded in one call of the library.
+CALL_WORDS = 512
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -52,6 +62,11 @@ def cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return [*ends, n]
 
 
+def split(data: bytes) -> list[bytes]:
+    """Words, which are encoded independently of each other."""
+    return (data if _CASED.search(data) else data.lower()).split()
+
+
 class Encoder:
     """Ids of texts as the tokenizers library gives them, one per worker and vocabulary."""
 
@@ -62,21 +77,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokens = None
+        if self.tokenizer.decoder is None:
+            # Without a decoder, a text decodes to its tokens with blanks between them.
+            self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        # Ids that end a run of letters or signs, in vocabularies that mark it.
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.ends = np.array([n.endswith("</w>") for n in names], bool)
         self.words: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
         self.chunks: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.held = 0
 
     def _learn(self, words: set[bytes]) -> None:
         fresh = [w for w in words if w not in self.words]
         if fresh and len(self.words) + len(fresh) > WORD_STORE:
-            self.words.clear()
-            fresh = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        self.words.update(zip(fresh, (e.ids for e in found)))
+            self.older, self.words, fresh = self.words, {}, list(words)
+        self.words.update((w, self.older[w]) for w in fresh if w in self.older)
+        fresh = [w for w in fresh if w not in self.words]
+        # A word and the punctuation that ends it are encoded apart: fewer words are new.
+        ended = []
+        for w in fresh:
+            stem = w.rstrip(ENDING)
+            if len(stem) < len(w) and stem and stem[-1:].isalnum():
+                ended.append((w, stem, w[len(stem) :]))
+        if ended:
+            whole = {w for w, _, _ in ended}
+            new = {p for _, *parts in ended for p in parts if p not in self.words}
+            fresh = [w for w in {*fresh, *new} if w not in whole]
+        self._encode(fresh)
+        self.words.update((w, self.words[a] + self.words[b]) for w, a, b in ended)
+
+    def _encode(self, fresh: list[bytes]) -> None:
+        """Ids of words, by the library."""
+        simple = [w for w in fresh if _ONE_RUN.fullmatch(w)] if self.ends.any() else []
+        rest = [w for w in fresh if not _ONE_RUN.fullmatch(w)] if simple else fresh
+        for i in range(0, len(simple), CALL_WORDS):
+            part = simple[i : i + CALL_WORDS]
+            ids = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(part):
+                self.words.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+            else:
+                rest = rest + part
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.words.update(zip(rest, (e.ids for e in found)))
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of a stretch of text; ASCII white space separates words and has no tokens."""
-        words = data.split()
+        words = split(data)
         try:
             return [i for w in words for i in self.words[w]]
         except KeyError:
@@ -97,7 +146,7 @@ class Encoder:
         ends = [cuts(t) for t in texts]
         parts = [[t[a:b] for a, b in zip([0, *e], e)] for t, e in zip(texts, ends)]
         fresh = {c for p in parts for c in p if c not in self.chunks}
-        self._learn({w for c in fresh for w in c.split()})
+        self._learn({w for c in fresh for w in split(c)})
         for text, chunks, stops in zip(texts, parts, ends):
             out, begin = [], 0
             for chunk, stop in zip(chunks, stops):
@@ -110,6 +159,12 @@ class Encoder:
                 begin = stop
             yield np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts of ids, as the library's ``decode`` gives them, special tokens included."""
+        if self.tokens is None:
+            return self.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+        return [" ".join(map(self.tokens.__getitem__, i.tolist())) for i in ids]
+
     def _join(self, text: bytes, out: list[np.ndarray], ids: np.ndarray, at: int, stop: int) -> None:
         """Append a chunk's ids to those of the text before ``at``, repairing the join."""
         if at == 0 or text[at - 1] in SPACE or text[at] in SPACE:
@@ -174,7 +229,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: list[str] | No
         for batch in batches:
             texts = [(t or "").encode() for t in batch.pop("_text")]
             ids = list(encoder.encode(texts))
-            decoded = encoder.tokenizer.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
+            decoded = encoder.decode(ids)
             held = pd.Series([i.astype(np.int32) for i in ids], dtype=object, index=batch.index)
             yield batch.assign(ids=held, decoded=pd.Series(decoded, dtype=object, index=batch.index))
 
