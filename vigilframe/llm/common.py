@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 from urllib.parse import urlparse
 
 import pyarrow.fs
@@ -38,6 +39,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def keeps_columns(*plain: str):
+    """For functions from rows to some of the rows: all columns come back, in order.
+
+    Columns other than ``plain`` travel under numbers, so none can clash with names that
+    the function uses itself.
+    """
+
+    def wrap(fn: Callable[..., DataFrame]):
+        @wraps(fn)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            numbers = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in plain}
+            out = fn(docs.withColumnsRenamed(numbers), *args, **options)
+            back = out.withColumnsRenamed({v: k for k, v in numbers.items()})
+            return back.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+        return run
+
+    return wrap
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import query, small_batches, table, text_groups
+from vigilframe.llm.common import keeps_columns, query, small_batches, table, text_groups
 from vigilframe.llm.words import mix, word_hashes
 
 SIMILARITY = 0.8
@@ -270,6 +270,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     return found
 
 
+@keeps_columns("doc_id", "text")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows in which an item is found."""
     for block in item_blocks(benchmark):

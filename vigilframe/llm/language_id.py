@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import id_bucket, query, small_batches, table, text_groups
+from vigilframe.llm.common import id_bucket, keeps_columns, query, small_batches, table, text_groups
 
 ORDER = 3
 # The trees of all languages together keep the most frequent paths; this bounds the
@@ -175,6 +175,7 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     return inputs.mapInPandas(score, schema)
 
 
+@keeps_columns("doc_id", "text", "lang")
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is no language: no letter, or costlier than plain bytes.
 
@@ -182,14 +183,10 @@ def accepted(docs: DataFrame) -> DataFrame:
     eight bits a byte under every language looks like none of them. If nothing could be
     learned, only rows without a letter go.
     """
-    # Columns travel under plain numbers, so that none can clash with those of a prediction.
-    numbered = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]
-    kept = [f"_{i}" for i in range(len(docs.columns))]
-    text = F.col(kept[docs.columns.index("text")])
-    judged = predict(docs.select(*numbered, "text"), train(docs), kept)
-    has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    judged = predict(docs, train(docs), docs.columns)
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     cost = F.coalesce(F.nanvl("bits_per_byte", F.lit(0.0)), F.lit(0.0))
-    return judged.where(has_letter & (cost <= 8)).select(*kept).toDF(*docs.columns)
+    return judged.where(has_letter & (cost <= 8))
 
 
 @query("op4_language_id")

@@ -19,7 +19,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import query, table, written
+from vigilframe.llm.common import keeps_columns, query, table, written
 
 # Base patterns and limits. Possessive repeats and the look-behind
 # change no match; they keep long runs of letters or digits linear.
@@ -248,6 +248,7 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ).drop("_extra")
 
 
+@keeps_columns("doc_id", "text", "n_chars")
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets.
 
@@ -271,7 +272,7 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = found.withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", first, step, rest)).otherwise(text))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return clean
 
 
 def joined(spans: Column) -> Column:

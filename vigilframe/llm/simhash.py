@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import query, small_batches, table, written
+from vigilframe.llm.common import keeps_columns, query, small_batches, table, written
 from vigilframe.llm.components import component_labels
 
 RADIUS = 3
@@ -187,13 +187,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(groups(rows, radius).drop("root"), "_fp")
 
 
+@keeps_columns("doc_id", "text")
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
     Of rows with equal ids, the one read first stays; a NULL id stays only where a
     group has no other. Only ids and fingerprints move to find the rows that stay.
     """
-    own = docs.drop("_fp", "_row").withColumn("_row", F.monotonically_increasing_id())
+    own = docs.withColumn("_row", F.monotonically_increasing_id())
     rows = written(with_fingerprint(own), "fingerprints")
     # NULLs come last: the flag orders them behind every id.
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
@@ -204,7 +205,7 @@ def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         .agg(F.min("first").alias("first"))
     )
     stay = best.select(F.col("first._row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(stay, "_row", "left_semi")
 
 
 @query("op6_simhash")
