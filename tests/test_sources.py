@@ -125,15 +125,6 @@ def test_retry_rule(spark):
     assert text == "매출액 건수 count revenue revenue"
 
 
-def test_vector_batch_is_bounded(spark):
-    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "vec_id int, embedding array<double>")
-    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
-    best = S.vector_search(vectors, asked, 1).orderBy("query_id").collect()
-    assert [(r["query_id"], r["doc_id"], r["score"]) for r in best] == [(i, i, 1.0) for i in range(5)]
-    with pytest.raises(Exception, match="too many query vectors"):
-        S.vector_search(vectors, asked, 1, max_queries=4).collect()
-
-
 def test_empty_and_zero_vectors(spark):
     vectors = spark.createDataFrame([(1, []), (2, [0.0, 0.0]), (3, [1.0, 0.0])], "vec_id int, embedding array<double>")
     checked = {r["vec_id"]: r["is_valid"] for r in S.dimension_check(vectors, 2).collect()}
@@ -157,3 +148,24 @@ def test_stream_continues_from_its_checkpoint(spark):
     last = events.agg(F.max("ts") - F.make_dt_interval(mins=F.lit(10))).first()[0]
     closed = batch.where(F.col("window_end") <= F.lit(last))
     assert got.exceptAll(closed).count() == 0 and closed.exceptAll(got).count() == 0
+
+
+def test_vector_search_takes_any_number_of_queries(spark):
+    """More queries than any batch holds, in several blocks; equal vectors are searched once."""
+    from vigilframe.operators import search
+
+    rng = __import__("random").Random(1)
+    stock = [(i, [rng.random() for _ in range(4)]) for i in range(30)]
+    vectors = spark.createDataFrame(stock, "vec_id int, embedding array<double>")
+    kinds = [[rng.random() for _ in range(4)] for _ in range(7)]
+    asked = spark.range(12000).selectExpr("id as query_id", "cast(id % 7 as int) as kind").join(
+        spark.createDataFrame(list(enumerate(kinds)), "kind int, embedding array<double>"), "kind"
+    )
+    got = search.vector_search(vectors, asked, 2, block_bytes=200).where("query_id < 7").collect()
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / sum(x * x for x in a) ** 0.5 / sum(x * x for x in b) ** 0.5
+
+    for q, vector in enumerate(kinds):
+        want = sorted(stock, key=lambda r: -cosine(r[1], vector))[:2]
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i, _ in want]

@@ -278,22 +278,29 @@ DERIVED: dict[str, str] = {
                c.relname AS table_name, 'PRIMARY KEY' AS constraint_type
         FROM {pg_class} c JOIN {pg_namespace} n ON c.relnamespace = n.oid
         UNION ALL
-        SELECT 'fk_' || c.relname || '_' || a.attname, n.nspname, c.relname, 'FOREIGN KEY'
+        SELECT DISTINCT CASE WHEN c.oid % 5 = 0 THEN 'fkc_' || c.relname
+                        ELSE 'fk_' || c.relname || '_' || a.attname END,
+               n.nspname, c.relname, 'FOREIGN KEY'
         FROM {pg_attribute} a JOIN {pg_class} c ON a.attrelid = c.oid
         JOIN {pg_namespace} n ON c.relnamespace = n.oid WHERE a.flag = 'A'""",
     "key_column_usage": """
         SELECT 'pk_' || c.relname AS constraint_name, n.nspname AS table_schema,
-               c.relname AS table_name, a.attname AS column_name, a.attnum AS ordinal_position
+               c.relname AS table_name, a.attname AS column_name, a.attnum AS ordinal_position,
+               NULL AS position_in_unique_constraint
         FROM {pg_attribute} a JOIN {pg_class} c ON a.attrelid = c.oid
         JOIN {pg_namespace} n ON c.relnamespace = n.oid WHERE a.weight >= 30
         UNION ALL
-        SELECT 'fk_' || c.relname || '_' || a.attname, n.nspname, c.relname, a.attname, 1
+        SELECT CASE WHEN c.oid % 5 = 0 THEN 'fkc_' || c.relname ELSE 'fk_' || c.relname || '_' || a.attname END,
+               n.nspname, c.relname, a.attname, a.attnum, CASE WHEN c.oid % 5 = 0 THEN a.attnum ELSE 1 END
         FROM {pg_attribute} a JOIN {pg_class} c ON a.attrelid = c.oid
         JOIN {pg_namespace} n ON c.relnamespace = n.oid WHERE a.flag = 'A'""",
     "constraint_column_usage": """
-        SELECT 'fk_' || c.relname || '_' || a.attname AS constraint_name,
+        SELECT CASE WHEN c.oid % 5 = 0 THEN 'fkc_' || c.relname
+                    ELSE 'fk_' || c.relname || '_' || a.attname END AS constraint_name,
                n.nspname AS constraint_schema,
-               'tbl_' || CAST(a.ref_key AS STRING) AS table_name, 'id' AS column_name
+               'tbl_' || CAST(CASE WHEN c.oid % 5 = 0 THEN c.oid + 1 ELSE a.ref_key END AS STRING) AS table_name,
+               CASE WHEN c.oid % 5 = 0 THEN 'ref_' || CAST(a.attnum AS STRING) ELSE 'id' END AS column_name,
+               CASE WHEN c.oid % 5 = 0 THEN a.attnum ELSE 1 END AS ordinal_position
         FROM {pg_attribute} a JOIN {pg_class} c ON a.attrelid = c.oid
         JOIN {pg_namespace} n ON c.relnamespace = n.oid WHERE a.flag = 'A'""",
     "index_keys": """

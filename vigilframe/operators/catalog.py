@@ -115,7 +115,10 @@ def primary_keys(table_constraints: DataFrame, key_column_usage: DataFrame) -> D
 def foreign_keys(
     table_constraints: DataFrame, key_column_usage: DataFrame, constraint_column_usage: DataFrame
 ) -> DataFrame:
-    """Foreign-key columns with the table and column they point to."""
+    """Foreign-key columns with the table and column they point to.
+
+    The columns of a composite key meet those they refer to by their position.
+    """
     kinds = table_constraints.where(F.col("constraint_type") == "FOREIGN KEY").select(
         "constraint_name", "table_schema"
     )
@@ -124,12 +127,13 @@ def foreign_keys(
         F.col("constraint_schema").alias("table_schema"),
         F.concat_ws(".", "constraint_schema", "table_name").alias("referenced_table"),
         F.col("column_name").alias("referenced_column"),
+        F.col("ordinal_position").alias("position_in_unique_constraint"),
     )
     on = ["constraint_name", "table_schema"]
     return (
         user_schemas(key_column_usage, "table_schema")
-        .join(kinds, on)
-        .join(targets, on)
+        .join(kinds, on, "left_semi")
+        .join(targets, [*on, "position_in_unique_constraint"])
         .select(*TABLE, "column_name", "referenced_table", "referenced_column", "constraint_name")
     )
 
@@ -214,7 +218,7 @@ def cards(tabs: DataFrame, cols: DataFrame, pks: DataFrame, fks: DataFrame, idx:
         name.alias("id"),
         F.lit("table").alias("object_type"),
         name.alias("name"),
-        F.col("table_name").alias("table"),
+        name.alias("table"),
         F.col("table_schema").alias("schema"),
         F.nullif(F.col("table_comment"), F.lit("")).alias("description"),
         flagged.alias("columns"),

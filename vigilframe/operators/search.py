@@ -8,6 +8,7 @@ when it serves several searches.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,33 +191,41 @@ def vector_search(
     k: int = 10,
     doc_id: str = "vec_id",
     vector: str = "embedding",
-    max_queries: int = 10000,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """Exact cosine top-k for a batch of query vectors.
+    """Exact cosine top-k for any number of query vectors.
 
-    The batch travels with the plan as one array, so its size is checked:
-    more than ``max_queries`` is an error, to be split into several batches.
-    Vectors stay where they are; each map task keeps its own best ``k``.
+    Each distinct query vector is searched once, and its answer goes to all queries that
+    share it. Query vectors travel with the plan in blocks of about ``block_bytes``; a
+    larger query set takes more passes over the stored vectors. Those stay where they
+    are; each map task keeps its own best ``k``. Pairs without a cosine (NULL, zero, or
+    vectors of another length) have no rank; ``dimension_check`` finds such vectors.
     """
-    batch = queries.select(
-        F.struct("query_id", F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("q")
-    ).agg(F.collect_list("q").alias("qs"))
-    checked = batch.select(
-        F.when(F.size("qs") <= max_queries, F.col("qs"))
-        .otherwise(F.raise_error(F.lit("too many query vectors for one batch")))
-        .alias("qs")
+    asked = queries.select("query_id", F.col(vector).alias("_qv"))
+    distinct = written(
+        asked.select("_qv").distinct().withColumn("_q", F.monotonically_increasing_id()), "query-vectors"
     )
-    # The length of a stored vector is computed once, below the pairing with the batch.
+    size = distinct.agg(F.sum(F.greatest(F.size("_qv"), F.lit(0)) * 8 + 32)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    # The length of a stored vector is computed once, below the pairing with a block.
     measured = vectors.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_v")).withColumn(
         "_n", norm(F.col("_v"))
     )
     cosine = F.try_divide(dot(F.col("_v"), F.col("_q.v")), F.col("_n") * F.col("_q.n"))
-    scored = (
-        measured.select("doc_id", "_v", "_n", F.explode(checked.scalar()).alias("_q"))
-        .select("doc_id", F.col("_q.query_id").alias("query_id"), F.round(cosine, DIGITS).alias("score"))
-        .where(F.col("score").isNotNull())
-    )
-    return top_k(scored, k)
+    found = []
+    for block in range(blocks):
+        batch = (
+            distinct.where(F.pmod("_q", F.lit(blocks)) == block)
+            .select(F.struct("_q", F.col("_qv").alias("v"), norm(F.col("_qv")).alias("n")).alias("q"))
+            .agg(F.collect_list("q").alias("qs"))
+        )
+        scored = (
+            measured.select("doc_id", "_v", "_n", F.explode(batch.scalar()).alias("_q"))
+            .select("doc_id", F.col("_q._q").alias("query_id"), F.round(cosine, DIGITS).alias("score"))
+            .where(F.col("score").isNotNull())
+        )
+        found.append(top_k(scored, k).withColumnRenamed("query_id", "_q"))
+    return asked.join(distinct, "_qv").join(reduce(DataFrame.unionByName, found), "_q").drop("_q", "_qv")
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = 10) -> DataFrame:

@@ -64,15 +64,19 @@ def _(t):
     return primary_keys(t)
 
 
+# Every flagged column points somewhere: alone to the id of its part's table, or, in one
+# table of five, together with the others to the columns of one table.
 FKS = f"""
-    SELECT k.table_schema, k.table_name, k.column_name,
-      u.constraint_schema || '.' || u.table_name AS referenced_table,
-      u.column_name AS referenced_column, k.constraint_name
-    FROM {{key_column_usage}} k
-    JOIN {{table_constraints}} c ON c.constraint_name = k.constraint_name AND c.table_schema = k.table_schema
-    JOIN {{constraint_column_usage}} u ON u.constraint_name = k.constraint_name
-      AND u.constraint_schema = k.table_schema
-    WHERE c.constraint_type = 'FOREIGN KEY' AND k.table_schema {USER}"""
+    SELECT o.table_schema, o.table_name, a.attname AS column_name,
+      CASE WHEN a.attrelid % 5 = 0 THEN o.table_schema || '.tbl_' || CAST(a.attrelid + 1 AS STRING)
+           ELSE o.table_schema || '.tbl_' || CAST(a.ref_key AS STRING) END AS referenced_table,
+      CASE WHEN a.attrelid % 5 = 0 THEN 'ref_' || CAST(a.attnum AS STRING) ELSE 'id' END AS referenced_column,
+      CASE WHEN a.attrelid % 5 = 0 THEN 'fkc_' || o.table_name
+           ELSE 'fk_' || o.table_name || '_' || a.attname END AS constraint_name
+    FROM {{pg_attribute}} a, (SELECT c.oid, c.relname AS table_name,
+        (SELECT n.nspname FROM {{pg_namespace}} n WHERE n.oid = c.relnamespace) AS table_schema
+      FROM {{pg_class}} c) o
+    WHERE o.oid = a.attrelid AND a.flag = 'A' AND o.table_schema {USER}"""
 
 
 def foreign_keys(t):
@@ -195,7 +199,7 @@ def _(t):
 
 @query(
     "a6_card_index",
-    f"""WITH {CARD_PARTS} SELECT id, id AS name, table_schema AS "schema", table_name AS "table",
+    f"""WITH {CARD_PARTS} SELECT id, id AS name, table_schema AS "schema", id AS "table",
           CAST(num_columns AS INT) AS num_columns FROM card""",
 )
 def _(t):
@@ -284,7 +288,7 @@ _L = C.CONTENT
 _S = C.SEARCHABLE
 DOCUMENTS = f"""
     WITH {CARD_PARTS}, {_CTX}
-    SELECT 'acme_db1_' || replace(c.id, '.', '_') AS id, c.table_schema AS db_schema, c.table_name,
+    SELECT 'acme_db1_' || replace(c.id, '.', '_') AS id, c.table_schema AS db_schema, c.id AS table_name,
       c.id AS display_name, coalesce(x.description, c.description, '') AS description,
       concat_ws(chr(10), '{_L['name']}: ' || c.id,
         '{_L['description']}: ' || nullif(coalesce(x.description, c.description), ''),
