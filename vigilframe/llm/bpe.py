@@ -27,8 +27,8 @@ CHUNK_BITS = 10
 MIN_CHUNK = 64
 # A worker keeps ids of this many bytes of chunks, oldest out first, and of the words of
 # two generations of this size. What was dropped is encoded again when it is met again.
-CHUNK_STORE = 48 << 20
-WORD_STORE = 200_000
+CHUNK_STORE = 24 << 20
+WORD_STORE = 100_000
 # The white space that bytes.split() knows; no token spans it.
 SPACE = b" \t\n\r\x0b\x0c"
 

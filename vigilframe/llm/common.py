@@ -19,8 +19,8 @@ ORACLES: dict[str, str] = {}
 
 # Python workers get batches of this many rows and bytes at most, so that a batch of
 # long texts stays small beside a worker's memory.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def query(name: str, sql: str | None = None):
@@ -51,8 +51,7 @@ def keeps_columns(*plain: str):
         def run(docs: DataFrame, *args, **options) -> DataFrame:
             numbers = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in plain}
             out = fn(docs.withColumnsRenamed(numbers), *args, **options)
-            back = out.withColumnsRenamed({v: k for k, v in numbers.items()})
-            return back.select(*[F.col(f"`{c}`") for c in docs.columns])
+            return out.select(*[F.col(f"`{numbers.get(c, c)}`").alias(c) for c in docs.columns])
 
         return run
 

@@ -21,7 +21,7 @@ from vigilframe.llm.common import id_bucket, keeps_columns, query, small_batches
 ORDER = 3
 # The trees of all languages together keep the most frequent paths; this bounds the
 # model that is sent to workers, whatever the corpus. Rarer ones fall back by escape.
-MAX_PATHS = 200_000
+MAX_PATHS = 100_000
 UNKNOWN = "und"
 
 
@@ -87,7 +87,7 @@ class ContextTrees:
         pair_of_context = np.append(0, b * self.width + c)
         for k in range(len(langs)):
             own = lang == k
-            base = np.full((1, self.width), 8.0)
+            base = np.full((1, self.width), 8.0, np.float32)
             order0 = self._coded(np.zeros(own.sum(), np.int64), last[own], n[own], 1, base)
             order1 = self._coded(one[own], last[own], n[own], self.width, np.repeat(order0, self.width, 0))
             shorter = order1[np.arange(pairs) % self.width]
@@ -102,10 +102,11 @@ class ContextTrees:
         """Bits of each symbol in each context; ``shorter``: bits in the context one byte shorter."""
         counts = np.bincount(context * self.width + symbol, n, rows * self.width).reshape(rows, self.width)
         total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = total + kinds
-        escape = np.log2(np.maximum(whole, 1)) - np.log2(np.maximum(kinds, 1))
-        direct = np.log2(np.maximum(whole, 1)) - np.log2(np.maximum(counts, 1))
-        return np.where(counts > 0, direct, np.where(total > 0, escape + shorter, shorter))
+        whole = np.log2(np.maximum(total + kinds, 1)).astype(np.float32)
+        # An unseen byte pays the escape of a context that is held, none of one that is not.
+        out = np.where(total > 0, whole - np.log2(np.maximum(kinds, 1)).astype(np.float32), np.float32(0)) + shorter
+        np.copyto(out, whole - np.log2(np.maximum(counts, 1)).astype(np.float32), where=counts > 0)
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
@@ -145,13 +146,16 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     """
     small_batches(docs.sparkSession)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    inputs = docs.select(*keep, F.when(has_letter, F.col("text")).alias("_text"))
+    # A text that is kept travels once.
+    kept = "text" in keep
+    inputs = docs.select(*keep, has_letter.alias("_letters") if kept else F.when(has_letter, F.col("text")).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
     schema = ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"])
 
     if trees is None:
+        # Nothing was learned.
         none = F.lit(None).cast("double")
-        return inputs.drop("_text").withColumns(
+        return inputs.drop("_text", "_letters").withColumns(
             {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none}
         )
     shared = docs.sparkSession.sparkContext.broadcast(trees)
@@ -159,7 +163,8 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     def score(batches):
         model = shared.value
         for batch in batches:
-            texts = [t.encode() if t is not None else b"" for t in batch.pop("_text")]
+            found = batch["text"].where(batch.pop("_letters"), None) if kept else batch.pop("_text")
+            texts = [t.encode() if t is not None else b"" for t in found]
             bits = model.bits(texts)
             best = bits.argmin(1) if len(bits) else np.zeros(0, int)
             least = bits.min(1, keepdims=True) if len(bits) else bits

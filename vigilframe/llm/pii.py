@@ -158,15 +158,11 @@ def _judged(text: Column, spans: Column) -> Column:
 
 def _posterior(prior: float, rates: list[dict[int, tuple[float, float]]]) -> Column:
     """Probability of personal data given ``votes``; ``rates``: per labeler and vote, P(vote | yes), P(vote | no)."""
-    parts = [F.lit(math.log(prior / (1 - prior)))]
-    for j, rate in enumerate(rates):
-        vote = F.col("votes")[j]
-        parts.append(
-            F.when(vote == 1, math.log(rate[1][0] / rate[1][1]))
-            .when(vote == -1, math.log(rate[-1][0] / rate[-1][1]))
-            .otherwise(math.log(rate[0][0] / rate[0][1]))
-        )
-    return 1 / (1 + F.exp(-reduce(add, parts)))
+    # All weights stand in one array that votes index: the plan is the same in each round,
+    # so its code is compiled once. The prior is shared out to the labelers.
+    share = math.log(prior / (1 - prior)) / len(rates)
+    weights = F.array(*[F.lit(math.log(r[v][0] / r[v][1]) + share) for r in rates for v in (-1, 0, 1)])
+    return 1 / (1 + F.exp(-reduce(add, [weights[F.col("votes")[j] + 3 * j + 1] for j in range(len(rates))])))
 
 
 def labeler_reliability(patterns: DataFrame, labelers: int, rounds: int = ROUNDS):
@@ -178,19 +174,21 @@ def labeler_reliability(patterns: DataFrame, labelers: int, rounds: int = ROUNDS
     prior = 0.5
     rates = [{1: (0.4, 0.1), -1: (0.1, 0.4), 0: (0.5, 0.5)} for _ in range(labelers)]
     for _ in range(rounds):
-        p, n = _posterior(prior, rates), F.col("n")
-        sums = [F.sum(n * p).alias("yes"), F.sum(n * (1 - p)).alias("no")]
-        for j in range(labelers):
-            for v in (1, -1, 0):
-                hit = n * (F.col("votes")[j] == v).cast("int")
-                sums += [F.sum(hit * p).alias(f"yes_{j}_{v}"), F.sum(hit * (1 - p)).alias(f"no_{j}_{v}")]
-        row = patterns.agg(*sums).first()
-        if row["yes"] is None:
+        soft = patterns.select("n", _posterior(prior, rates).alias("p"), F.posexplode("votes").alias("j", "vote"))
+        found = (
+            soft.groupBy("j", "vote")
+            .agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no"))
+            .collect()
+        )  # one row per labeler and vote
+        if not found:
             break
-        prior = min(max((row["yes"] + 1) / (row["yes"] + row["no"] + 2), 1e-3), 1 - 1e-3)
+        sums = {(r["j"], r["vote"]): (r["yes"], r["no"]) for r in found}
+        # Every candidate has one vote of the first labeler.
+        yes, no = (sum(sums.get((0, v), (0, 0))[i] for v in (1, -1, 0)) for i in (0, 1))
+        prior = min(max((yes + 1) / (yes + no + 2), 1e-3), 1 - 1e-3)
         rates = [
             {
-                v: ((row[f"yes_{j}_{v}"] + 1) / (row["yes"] + 3), (row[f"no_{j}_{v}"] + 1) / (row["no"] + 3))
+                v: tuple((x + 1) / (all_ + 3) for x, all_ in zip(sums.get((j, v), (0, 0)), (yes, no)))
                 for v in (1, -1, 0)
             }
             for j in range(labelers)
