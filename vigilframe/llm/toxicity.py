@@ -160,6 +160,7 @@ def op7_toxicity(spark, folder):
         .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "toxic")
         .limit(TRAIN_ROWS)
     )
-    machine = train(docs.join(chosen, "doc_id"))
+    # At most TRAIN_ROWS ids of eight bytes: small enough to send to every executor.
+    machine = train(docs.join(F.broadcast(chosen), "doc_id"))
     scored = with_score(docs, machine, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
