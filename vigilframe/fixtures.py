@@ -163,6 +163,16 @@ DERIVED: dict[str, str] = {
                CAST('{NOW}' AS {{TS}}) - CAST(c_custkey % 1000 AS INT) * INTERVAL '1' HOUR AS created_at,
                c_custkey % 3 AS version
         FROM {{customer}}""",
+    # What each metric measures: aggregate over a table, for one filter value or all rows.
+    "fx_definitions": """
+        SELECT m.tenant_id, m.metric_id, m.status, m.threshold_operator, m.threshold_value,
+               CASE c.c_custkey % 4 WHEN 0 THEN 'events' WHEN 1 THEN 'orders' WHEN 2 THEN 'lineitem'
+                    ELSE CASE WHEN c.c_custkey % 8 = 3 THEN 'absent' ELSE 'events' END END AS table_name,
+               CASE c.c_custkey % 5 WHEN 0 THEN 'count' WHEN 1 THEN 'sum' WHEN 2 THEN 'avg'
+                    WHEN 3 THEN 'min' ELSE 'max' END AS aggregate,
+               CASE c.c_custkey % 7 WHEN 0 THEN 'F' WHEN 1 THEN 'view' WHEN 2 THEN 'R' WHEN 3 THEN 'error'
+                    WHEN 4 THEN 'O' WHEN 5 THEN 'N' END AS filter_value
+        FROM {fx_metrics} m JOIN {customer} c ON m.name = c.c_name""",
     "fx_history": f"""
         SELECT {_tenant('user_id')} AS tenant_id,
                'h' || CAST(event_id AS STRING) AS history_id,

@@ -7,12 +7,16 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vigilframe.fixtures import NOW
+from vigilframe.functions.scalars import ntz
 from vigilframe.operators import evaluation as E
 from vigilframe.operators.history import KEYS, latest_and_previous
 from vigilframe.plans import evaluate
 from vigilframe.suite.base import query
 from vigilframe.suite.history import PAIR
 
+NOW_TS = f"TIMESTAMP '{NOW}'"
+
 CLASSIFIED = """
     SELECT r.tenant_id, r.metric_id, r.run_id, r.executed_at, r.error_message,
       CASE WHEN coalesce(s.n, 0) = 0 THEN 'no_data' WHEN s.n = 1 AND s.c = 1 THEN 'single_value'
@@ -214,6 +218,65 @@ def _(t):
     return evaluate.judged(results.withColumn("result_value", F.round("result_value", 6)), THRESHOLDS)
 
 
+def _measures(table, column, value):
+    """SQL twin of the measures of one table."""
+    ways = {"count": "CAST(count(*) AS DOUBLE)"} | {
+        a: f"CAST({a}({value}) AS DOUBLE)" for a in ("sum", "avg", "min", "max")
+    }
+    parts = []
+    for name, text in ways.items():
+        fields = f"'{table}' AS table_name, '{name}' AS aggregate"
+        parts.append(
+            f"SELECT {fields}, {column} AS filter_value, {text} AS v FROM {{{table}}} "
+            f"WHERE {column} IS NOT NULL GROUP BY {column}"
+        )
+        parts.append(f"SELECT {fields}, NULL AS filter_value, {text} AS v FROM {{{table}}}")
+    return " UNION ALL ".join(parts)
+
+
+# Filter and value column of each measured table.
+MEASURED = {
+    "events": ("event_type", "value"),
+    "orders": ("o_orderstatus", "o_totalprice"),
+    "lineitem": ("l_returnflag", "l_quantity"),
+}
+_REGISTRY = f"""(SELECT d.tenant_id, d.metric_id, d.metric_id || '@20240131000000' AS history_id,
+      d.threshold_operator, d.threshold_value,
+      CASE WHEN d.aggregate = 'count' AND d.table_name <> 'absent' THEN coalesce(r.v, 0) ELSE r.v END AS v
+    FROM {{fx_definitions}} d LEFT JOIN ({" UNION ALL ".join(_measures(t, *c) for t, c in MEASURED.items())}) r
+      ON r.table_name = d.table_name AND r.aggregate = d.aggregate
+      AND r.filter_value IS NOT DISTINCT FROM d.filter_value
+    WHERE d.status = 'active')"""
+
+
+def _registry_history(t):
+    frames = [evaluate.measures(getattr(t, name), name, *columns) for name, columns in MEASURED.items()]
+    measured = reduce(lambda a, b: a.unionByName(b), frames)
+    return evaluate.registry_history(t.fx_definitions, measured, ntz(NOW))
+
+
+@query(
+    "t11_registry_history",
+    f"""SELECT tenant_id, metric_id, history_id, {NOW_TS} AS executed_at, 'success' AS status,
+          CASE WHEN v IS NULL THEN 'no_data' ELSE 'single_value' END AS result_type,
+          round(v, 2) AS result_value, threshold_operator, threshold_value FROM {_REGISTRY}""",
+)
+def _(t):
+    return _registry_history(t).withColumn("result_value", F.round("result_value", 2))
+
+
+@query(
+    "t11_registry_anomalies",
+    f"""SELECT tenant_id, metric_id, history_id, {NOW_TS} AS detected_at,
+          CASE WHEN threshold_operator IN ('<', '<=') THEN 'threshold_below'
+               ELSE 'threshold_exceeded' END AS anomaly_type, threshold_value, round(v, 2) AS actual_value
+        FROM {_REGISTRY} WHERE {BREACH}""",
+)
+def _(t):
+    found = evaluate.registry_anomalies(_registry_history(t))
+    return found.withColumn("actual_value", F.round("actual_value", 2))
+
+
 @query(
     "t12_change_alert",
     f"""SELECT tenant_id, metric_id, CASE WHEN round(change_rate, 1) < -20 OR round(change_rate, 1) > 50

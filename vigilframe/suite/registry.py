@@ -218,9 +218,9 @@ def _(t):
     return R.list_histories(t.fx_history, n=100)
 
 
-@query("b5_lookup_anomaly", "SELECT * FROM {fx_anomalies} WHERE history_id = 'h42' OR metric_id = 'm3'")
+@query("b5_lookup_anomaly", "SELECT * FROM {fx_anomalies} WHERE history_id = 'h42' OR metric_id = 'm4'")
 def _(t):
-    return t.fx_anomalies.where((F.col("history_id") == "h42") | (F.col("metric_id") == "m3"))
+    return t.fx_anomalies.where((F.col("history_id") == "h42") | (F.col("metric_id") == "m4"))
 
 
 @query(
