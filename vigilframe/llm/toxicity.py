@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-logit(text) = b + sum of w_i + sum over pairs i < j of <v_i, v_j>, over the distinct
-terms of a text. The pair part catches what an additive model misses: a word that is
+logit(text) = b + sum of w_i + 1/n * sum over pairs i < j of <v_i, v_j>, over the n
+distinct terms of a text. The pair part catches what an additive model misses: a word that is
 an insult only beside the mention of a group. It costs one pass: it equals half of
 |sum of v_i|^2 - sum of |v_i|^2.
 """
@@ -23,7 +23,7 @@ FACTORS = 4
 TRAIN_ROWS = 20_000
 # A term seen in fewer training rows than this carries no weight.
 MIN_ROWS = 5
-EPOCHS = 6
+EPOCHS = 8
 SEED = 7
 
 
@@ -55,12 +55,12 @@ class FactorizationMachine:
         for f in range(self.factors.shape[1]):
             v = self.factors[terms, f].astype(np.float64)
             sums = np.bincount(text, v, len(counts))
-            out += 0.5 * (sums * sums - np.bincount(text, v * v, len(counts)))
+            out += 0.5 * (sums * sums - np.bincount(text, v * v, len(counts))) / np.maximum(counts, 1)
         return out
 
     def fit(
         self, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray,
-        epochs: int = EPOCHS, batch: int = 128, rate: float = 0.1, decay: float = 1e-5, seed: int = SEED,
+        epochs: int = EPOCHS, batch: int = 128, rate: float = 0.2, decay: float = 1e-5, seed: int = SEED,
     ) -> None:
         """Adagrad steps over shuffled batches of texts."""
         random = np.random.default_rng(seed)
@@ -81,7 +81,8 @@ class FactorizationMachine:
                 v = self.factors[ids]
                 sums = np.stack([np.bincount(text, v[:, f], len(rows)) for f in range(v.shape[1])], 1)
                 logit = self.bias + np.bincount(text, self.linear[ids], len(rows))
-                logit += 0.5 * ((sums * sums).sum(1) - np.bincount(text, (v * v).sum(1), len(rows)))
+                size = np.maximum(n, 1)
+                logit += 0.5 * ((sums * sums).sum(1) - np.bincount(text, (v * v).sum(1), len(rows))) / size
                 error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[rows]) / len(rows)
                 g_bias += error.sum() ** 2
                 self.bias -= rate * error.sum() / np.sqrt(g_bias)
@@ -90,7 +91,7 @@ class FactorizationMachine:
                 step = np.bincount(where, e) + decay * self.linear[used]
                 g_linear[used] += step * step
                 self.linear[used] -= rate * step / np.sqrt(g_linear[used])
-                slope = e[:, None] * (sums[text] - v)
+                slope = (e / size[text])[:, None] * (sums[text] - v)
                 step = np.stack([np.bincount(where, slope[:, f]) for f in range(v.shape[1])], 1)
                 step += decay * self.factors[used]
                 g_factors[used] += step * step
