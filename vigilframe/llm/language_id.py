@@ -23,6 +23,9 @@ ORDER = 3
 # model that is sent to workers, whatever the corpus. Rarer ones fall back by escape.
 MAX_PATHS = 100_000
 UNKNOWN = "und"
+# A text that costs more bits a byte than this under every language is like none of them:
+# twice the cost of plain bytes, so that short texts holding keys or numbers stay.
+MAX_BITS = 16.0
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +185,15 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
 
 @keeps_columns("doc_id", "text", "lang")
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is no language: no letter, or costlier than plain bytes.
+    """``docs`` without the rows whose text is no language: no letter, or over ``MAX_BITS`` a byte.
 
-    The trees are learned from all rows with text and ``lang``. A text that needs over
-    eight bits a byte under every language looks like none of them. If nothing could be
+    The trees are learned from all rows with text and ``lang``. If nothing could be
     learned, only rows without a letter go.
     """
     judged = predict(docs, train(docs), docs.columns)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     cost = F.coalesce(F.nanvl("bits_per_byte", F.lit(0.0)), F.lit(0.0))
-    return judged.where(has_letter & (cost <= 8))
+    return judged.where(has_letter & (cost <= MAX_BITS))
 
 
 @query("op4_language_id")

@@ -34,7 +34,7 @@ EXTRA = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s]{4,256}",
+    "secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s]{4,256}|\bAKIA[0-9A-Z]{16}\b",
 }
 KINDS = [*BASE_KINDS, "ssn", "iban", "secret"]
 # Gazetteers and cue words.
@@ -106,7 +106,7 @@ def _extra_spans(text: Column, base: Column) -> Column:
         "phone": text.rlike(r"[0-9]{3}[.\x20-][0-9]{4}"),
         "ssn": text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
         "iban": text.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
-        "secret": text.rlike(r"[=:]"),
+        "secret": text.rlike(r"[=:]|AKIA"),
     }
     found = F.concat(*[_spans(text, p, k, guards[k]) for k, p in EXTRA.items()])
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -125,7 +125,7 @@ def _judged(text: Column, spans: Column) -> Column:
         vote = lambda yes, no=None: F.when(yes, 1).when(no if no is not None else F.lit(False), -1).otherwise(0)
         shape = (
             F.when(kind == "email", value.rlike(r"(?i)[@)\]\x20][a-z0-9-]+.*[a-z]{2,}$"))
-            .when(kind == "secret", value.rlike(r"[=:]\x20?(?=.*[0-9])[^\s]{6,}$"))
+            .when(kind == "secret", value.rlike(r"[=:]\x20?(?=.*[0-9])[^\s]{6,}$|^AKIA[0-9A-Z]{16}$"))
             .when(kind == "ssn", ~value.rlike(r"^(?:000|666|9)|-00-|-0000$"))
             .when(kind == "phone", n_digits.between(9, 15))
             .otherwise(n_digits >= 4)
@@ -134,7 +134,7 @@ def _judged(text: Column, spans: Column) -> Column:
         votes = F.array(
             vote(shape, ~shape),  # regex: strict shape
             vote(F.lit(False), _digits(value).rlike(r"^([0-9])\1{5,}$|^0123456|^123456789")),  # regex: filler
-            vote(F.lower(value).rlike(rf"(?:[.\x20]|dot\)|dot\])\x20?(?:{KNOWN_ENDINGS})$|^(?:password|token|secret|api)")),
+            vote(F.lower(value).rlike(rf"(?:[.\x20]|dot\)|dot\])\x20?(?:{KNOWN_ENDINGS})$|^(?:password|token|secret|api|akia)")),
             vote(F.lit(False), F.lower(value).rlike(DUMMIES)),  # gazetteer: dummies
             vote(before.rlike(CUES)),  # context: words that announce personal data
             vote(F.lit(False), before.rlike(COUNTER_CUES)),  # context: words that announce other numbers
