@@ -22,7 +22,7 @@ def cards(spark):
 
 
 def test_cards_of_a_lake(cards):
-    card = cards.where(F.col("table") == "lineitem").first()
+    card = cards.where(F.col("table") == "lake.lineitem").first()
     assert [c["name"] for c in card["columns"]] == TABLE_COLUMNS["lineitem"]
     assert [c["name"] for c in card["columns"] if c["is_primary_key"]] == PRIMARY_KEYS["lineitem"]
     assert [c["name"] for c in card["columns"] if c["is_foreign_key"]] == ["l_orderkey", "l_partkey"]

@@ -137,11 +137,13 @@ CATALOG_QUERIES = {
     ),
     "key_column_usage": (
         "SELECT constraint_name::text, table_schema::text, table_name::text, column_name::text, "
-        "ordinal_position::int FROM information_schema.key_column_usage"
+        "ordinal_position::int, position_in_unique_constraint::int FROM information_schema.key_column_usage"
     ),
     "constraint_column_usage": (
-        "SELECT constraint_name::text, constraint_schema::text, table_name::text, column_name::text "
-        "FROM information_schema.constraint_column_usage"
+        "SELECT r.constraint_name::text, r.constraint_schema::text, u.table_name::text, u.column_name::text, "
+        "u.ordinal_position::int FROM information_schema.referential_constraints r "
+        "JOIN information_schema.key_column_usage u ON u.constraint_name = r.unique_constraint_name "
+        "AND u.constraint_schema = r.unique_constraint_schema"
     ),
 }
 
