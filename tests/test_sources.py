@@ -58,7 +58,7 @@ lake.orders:
     )
     rich = C.enrich(back, readers.business_context(spark, str(mapping)))
     assert C.unmatched(back, readers.business_context(spark, str(mapping))).count() == len(TABLE_COLUMNS) - 1
-    doc = C.search_documents(rich, F.lit("t"), F.lit("c")).where(F.col("table_name") == "orders").first()
+    doc = C.search_documents(rich, F.lit("t"), F.lit("c")).where(F.col("table_name") == "lake.orders").first()
     lines = doc["content"].split("\n")
     assert lines[0] == "테이블명: lake.orders" and lines[1] == "설명: Orders"
     assert "관련 업무 용어: order(Purchase, Sale)" in lines and "주요 지표 컬럼: o_totalprice: Amount" in lines
