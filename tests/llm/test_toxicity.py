@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from vigilframe.llm import toxicity as T
 from vigilframe.llm.common import QUERIES
@@ -40,6 +41,38 @@ def test_learns_a_pair_that_no_sum_of_words_explains(spark):
     assert auc(machine.logits(terms, counts), np.array([y for *_, y in rows])) > 0.95
 
 
+@pytest.mark.parametrize("noise", [50, 200, 500])
+def test_learns_a_pair_among_many_terms(spark, noise):
+    """The same pair among as many other terms as real texts have, judged on texts held out."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        a, b = rng.random(2) < 0.5
+        others = [f"n{x}" for x in rng.integers(0, 10 * noise, noise)]
+        rows.append((i, " ".join(others + ["fool"] * bool(a) + ["group"] * bool(b)), int(a == b)))
+    machine = T.train(spark.createDataFrame(rows[:3000], "doc_id long, text string, toxic int"))
+    terms, counts = T.term_ids([t.encode() for _, t, _ in rows[3000:]])
+    labels = np.array([y for *_, y in rows[3000:]])
+    assert auc(machine.logits(terms, counts), labels) > 0.9
+    machine.factors[:] = 0
+    assert auc(machine.logits(terms, counts), labels) < 0.6
+
+
+def test_pair_sums_cover_all_pairs(monkeypatch):
+    monkeypatch.setattr(T, "PAIR_STEP", 3)
+    texts = [[0, 1, 3], [1, 2, 3, 4], [], [0, 4], [0, 1, 2, 3, 4]]
+    value = np.array([1.0, 2.0, 4.0, 8.0, 16.0])
+    terms, counts = np.array(sum(texts, [])), np.array([len(t) for t in texts])
+    bounds = np.append(0, np.cumsum(np.bincount(terms)))
+    got = np.concatenate([T.pair_sums(a, b, 5, terms, counts, np.argsort(terms, kind="stable"), bounds, [value])[0] for a, b in ((0, 2), (2, 5))])
+    want = np.zeros((5, 5))
+    for t, v in zip(texts, value):
+        for k, a in enumerate(t):
+            for b in t[k + 1 :]:
+                want[a, b] += v
+    assert (got == want).all()
+
+
 def test_edges(spark, edges, clashing, nothing):
     machine = T.FactorizationMachine()
     for docs in (edges, clashing):
