@@ -76,6 +76,12 @@ def test_redact(spark, edges, clashing):
     assert pii.redact(clashing).columns == clashing.columns
 
 
+def test_long_secrets_go_whole(spark):
+    rows = [(i, f"see token = {'k3Yq9' * n} end") for i, n in enumerate([2, 160, 1000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(docs).collect()] == ["see <SECRET> end"] * 3
+
+
 def test_query(spark, documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     found = QUERIES["op2_pii"](spark, DATA).collect()

@@ -34,7 +34,7 @@ EXTRA = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s]{4,256}|\bAKIA[0-9A-Z]{16}\b",
+    "secret": r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\x20?[=:]\x20?[^\s]{4,}+|\bAKIA[0-9A-Z]{16}\b",
 }
 KINDS = [*BASE_KINDS, "ssn", "iban", "secret"]
 # Gazetteers and cue words.
