@@ -49,6 +49,18 @@ def test_code_lengths_equal_plain_trees():
             assert value == pytest.approx(brute_bits([x.encode() for x in texts[lang]], t.encode()), abs=1e-3)
 
 
+def test_rare_languages_keep_all_paths(spark):
+    """A language ten times rarer than 130,000 paths of another is still told apart."""
+    rng = np.random.default_rng(2)
+    hot = "".join(map(chr, rng.integers(0x4E00, 0x9000, 70_000)))
+    docs = spark.createDataFrame([(i, hot, "hot") for i in range(3)] + [(9, "ein kleiner satz", "rare")], "doc_id long, text string, lang string")
+    trees = lid.train(docs)
+    assert trees.langs == ["hot", "rare"]
+    assert trees.bits(["kleiner satz".encode()])[0].argmin() == 1
+    want = [len(np.unique(lid._grams([t.encode()])[0])) for t in (hot, "ein kleiner satz")]
+    assert [len(tree.levels[0][1]) for tree in trees.trees] == want and want[0] > 100_000
+
+
 def test_edges(edges, clashing, nothing):
     for docs in (edges, clashing):
         trees = lid.train(docs)

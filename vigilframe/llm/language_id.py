@@ -5,8 +5,9 @@ length in the longest context that the tree holds; an unseen byte pays the escap
 that context (method C: distinct followers / (total + distinct followers)) and is
 coded in the next shorter one, at last uniformly over 256 bytes. Statistics are
 frozen after training, so the cost of a byte depends on the three bytes before it
-alone: the trees compile to one table over byte four-grams, and a text's exact code
-length under all languages is a sum of table rows.
+alone: every distinct four-gram of a text is looked up once, and a text's exact code
+length under all languages is a sum over its four-grams. The trees hold every path of the
+training texts, as sorted arrays: about 16 bytes per path on the driver and each worker.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 from vigilframe.llm.common import id_bucket, keeps_columns, query, small_batches, table, text_groups
 
 ORDER = 3
-# The trees of all languages together keep the most frequent paths; this bounds the
-# model that is sent to workers, whatever the corpus. Rarer ones fall back by escape.
-MAX_PATHS = 100_000
 UNKNOWN = "und"
 # A text that costs more bits a byte than this under every language is like none of them:
 # twice the cost of plain bytes, so that short texts holding keys or numbers stay.
@@ -61,80 +59,75 @@ def count_paths(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Tree:
+    """Context tree of one language: sorted paths and contexts per order, with their bits."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.levels = []
+        for order in range(ORDER, -1, -1):
+            mask = (1 << 8 * (order + 1)) - 1
+            path, where = np.unique(gram & mask, return_inverse=True)
+            counts = np.bincount(where, n)
+            context, where = np.unique(path >> 8, return_inverse=True)
+            kinds = np.bincount(where)
+            whole = np.log2(np.bincount(where, counts) + kinds)
+            self.levels.append((
+                mask, path.astype(np.uint32), (whole[where] - np.log2(counts)).astype(np.float32),
+                context.astype(np.uint32), (whole - np.log2(kinds)).astype(np.float32),
+            ))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-gram."""
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for mask, path, coded, context, escape in self.levels:
+            key = gram[left] & np.uint32(mask)
+            at, held = _look_up(path, key)
+            out[left[held]] += coded[at[held]]
+            left, key = left[~held], key[~held]
+            # An unseen byte pays the escape of a context that is held, none of one that is not.
+            at, held = _look_up(context, key >> np.uint32(8))
+            out[left[held]] += escape[at[held]]
+        out[left] += 8
+        return out
+
+
+def _look_up(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted array that is not empty, and whether they are there."""
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return at, known[at] == key
+
+
 class ContextTrees:
-    """Frozen trees of all languages, compiled to a table of code lengths in bits."""
+    """Frozen trees of all languages."""
 
     def __init__(self, langs: list[str], paths: pd.DataFrame):
         self.langs = langs
-        number = {lang: i for i, lang in enumerate(langs)}
-        lang = paths["lang"].map(number).to_numpy(np.int64)
         gram, n = paths["gram"].to_numpy(np.int64), paths["n"].to_numpy(np.float64)
-        # Contexts of three bytes seen in any language get numbers; number 0 is "unseen".
-        contexts = np.unique(gram >> 8)
-        symbols = np.unique(np.concatenate([gram & 255, (gram >> 8) & 255, (gram >> 16) & 255, gram >> 24]))
-        self.width = len(symbols) + 1
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[symbols] = np.arange(1, self.width)
-        # Unseen bytes share symbol 0, three-byte contexts are found by their symbols.
-        a, b, c = (self.symbol[(contexts >> s) & 255].astype(np.int64) for s in (16, 8, 0))
-        self.context = np.zeros(self.width**3, np.int32)
-        self.context[(a * self.width + b) * self.width + c] = np.arange(1, len(contexts) + 1)
-        # An unseen context still has a known shorter one: those rows stand after the seen ones.
-        pairs = self.width * self.width
-        self.first_pair = len(contexts) + 1
-        cost = np.zeros((self.first_pair + pairs, self.width, len(langs)), np.float32)
-        seen = np.searchsorted(contexts, gram >> 8) + 1
-        last = self.symbol[gram & 255].astype(np.int64)
-        pair = self.symbol[(gram >> 16) & 255].astype(np.int64) * self.width + self.symbol[(gram >> 8) & 255]
-        one = self.symbol[(gram >> 8) & 255].astype(np.int64)
-        pair_of_context = np.append(0, b * self.width + c)
-        for k in range(len(langs)):
-            own = lang == k
-            base = np.full((1, self.width), 8.0, np.float32)
-            order0 = self._coded(np.zeros(own.sum(), np.int64), last[own], n[own], 1, base)
-            order1 = self._coded(one[own], last[own], n[own], self.width, np.repeat(order0, self.width, 0))
-            shorter = order1[np.arange(pairs) % self.width]
-            order2 = self._coded(pair[own], last[own], n[own], pairs, shorter)
-            cost[self.first_pair :, :, k] = order2
-            cost[: self.first_pair, :, k] = self._coded(
-                seen[own], last[own], n[own], self.first_pair, order2[pair_of_context]
-            )
-        self.cost = cost.reshape(-1, len(langs))
-
-    def _coded(self, context, symbol, n, rows, shorter):
-        """Bits of each symbol in each context; ``shorter``: bits in the context one byte shorter."""
-        counts = np.bincount(context * self.width + symbol, n, rows * self.width).reshape(rows, self.width)
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.log2(np.maximum(total + kinds, 1)).astype(np.float32)
-        # An unseen byte pays the escape of a context that is held, none of one that is not.
-        out = np.where(total > 0, whole - np.log2(np.maximum(kinds, 1)).astype(np.float32), np.float32(0)) + shorter
-        np.copyto(out, whole - np.log2(np.maximum(counts, 1)).astype(np.float32), where=counts > 0)
-        return out
+        self.trees = []
+        for lang in langs:
+            own = (paths["lang"] == lang).to_numpy()
+            self.trees.append(_Tree(gram[own], n[own]))
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
         for first, group in text_groups(texts):
-            lengths = np.fromiter((len(t) for t in group), np.int64, len(group))
-            data = self.symbol[np.frombuffer(b"\0\0\0" + b"\0\0\0".join(group), np.uint8)]
-            pair = data[1:-2] * self.width + data[2:-1]
-            row = self.context[data[:-3] * (self.width * self.width) + pair]
-            row = np.where(row > 0, row, self.first_pair + pair)
-            cost = np.zeros((len(row) + 1, len(self.langs)))
-            np.cumsum(self.cost[row.astype(np.int64) * self.width + data[3:]], axis=0, out=cost[1:])
-            ends = np.cumsum(lengths + 3) - 3
-            out[first : first + len(group)] = cost[ends] - cost[ends - lengths]
+            grams, lengths = _grams(group)
+            known, where = np.unique(grams, return_inverse=True)
+            ends = np.cumsum(lengths)
+            for k, tree in enumerate(self.trees):
+                cost = np.append(0, np.cumsum(tree.bits(known)[where]))
+                out[first : first + len(group), k] = cost[ends] - cost[ends - lengths]
         return out
 
 
-def train(docs: DataFrame, max_paths: int = MAX_PATHS) -> ContextTrees | None:
+def train(docs: DataFrame) -> ContextTrees | None:
     """Trees learned from all rows with text and language; None if there are none.
 
-    The counts cover all training texts; of their four-grams the ``max_paths`` most
-    frequent come to the driver (at most that many rows).
+    The distinct four-grams of each language come to the driver with their counts, all of them.
     """
     small_batches(docs.sparkSession)
-    paths = count_paths(docs).orderBy(F.desc("n"), "lang", "gram").limit(max_paths).toPandas()
+    paths = count_paths(docs).toPandas()
     if paths.empty:
         return None
     return ContextTrees(sorted(paths["lang"].unique()), paths)
