@@ -51,6 +51,20 @@ def want_ids(hits):
     return [i for i, _ in hits]
 
 
+def test_stray_dimensions_and_isolated_vectors(spark):
+    """One longer vector spoils no other; isolated vectors have their neighbours too."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16))
+    near = [centres[i % 20] + 0.05 * rng.normal(size=16) for i in range(980)]
+    rows = [(i, v.tolist()) for i, v in enumerate([*near, *rng.normal(size=(20, 16))])]
+    rows = [(50 * i if i < 20 else i + 1000, v) for i, (_, v) in enumerate(rows[::-1])] + [(5000, [1.0] * 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = answer(N.nearest(df)), brute(rows)
+    found = sum(len(set(want_ids(got.get(q, []))) & set(want_ids(w))) for q, w in want.items())
+    assert found >= 0.9 * sum(map(len, want.values()))
+    assert all(len(got.get(50 * i, [])) == 5 for i in range(20))
+
+
 def test_split_slots_give_the_same_answer(spark, monkeypatch):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding")
     whole = answer(N.nearest(df))

@@ -5,12 +5,17 @@ distance. Each table hashes a vector by several projections cut into slots of on
 width; a query visits its own slot and perturbed ones, in the order of estimated
 success: the sum of squared distances to the slot borders crossed. Candidates of all
 tables are merged, and ranked by the exact cosine of the original vectors.
+
+Vectors of each number of dimensions are hashed and fitted apart. Queries that meet
+fewer vectors than asked for, all queries of counts with few rows, and those of counts
+for which no width reaches the recall asked for are compared with every vector.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +34,8 @@ SAMPLE_ROWS = 4096
 TARGET_RECALL = 0.95
 # One task holds about this many vectors; larger slots are cut, each cut seeing all its queries.
 GROUP_ROWS = 8192
+# Counts of dimensions with so few vectors are searched exactly.
+EXACT_ROWS = 256
 SEED = 5
 
 
@@ -77,11 +84,11 @@ class Hashing:
         return np.array(out)
 
 
-def fit(sample: np.ndarray, rows: int, target: float = TARGET_RECALL) -> Hashing:
+def fit(sample: np.ndarray, rows: int, target: float = TARGET_RECALL) -> Hashing | None:
     """Widest selective hashing: the number of projections grows with the logarithm of the rows.
 
     The slot width is the smallest of a fixed ladder that finds the nearest
-    neighbours of sampled vectors with the recall asked for.
+    neighbours of sampled vectors with the recall asked for; None if none does.
     """
     projections = max(4, min(24, round(math.log2(max(rows, 2)) / 2)))
     dims = sample.shape[1] if len(sample) else 1
@@ -104,8 +111,8 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET_RECALL) -> Hashing
                 hit |= np.isin(keys[wanted, t], visited)
             found, total = found + hit.sum(), total + len(wanted)
         if found >= target * total:
-            break
-    return hashing
+            return hashing
+    return None
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -174,11 +181,84 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS) ->
     stock = written(stock, "vectors")
     asked = rows.where(F.pmod("vec_id", F.lit(step)) == 0).select(F.col("vec_id").alias("query_id"), "v")
 
-    size = stock.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
-    n, dims = size["n"], size["dims"] or 1
-    sample = stock.where(F.size("v") == dims).orderBy(F.xxhash64(F.lit(SEED), "v")).limit(SAMPLE_ROWS)
-    hashing = fit(_unit(_matrix(sample.select("v").toPandas()["v"])) if n else np.zeros((0, dims)), n)
+    # One row per number of dimensions.
+    sizes = {r["dims"]: r["n"] for r in stock.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    met, exact = [], []
+    for dims, n in sorted(sizes.items()):
+        own = stock.where(F.size("v") == dims)
+        hashing = None
+        if n > EXACT_ROWS:
+            sample = own.orderBy(F.xxhash64(F.lit(SEED), "v")).limit(SAMPLE_ROWS)
+            hashing = fit(_unit(_matrix(sample.select("v").toPandas()["v"])), n)
+        if hashing is None:
+            exact.append(dims)
+        else:
+            met.append(_met(own, asked.where(F.size("v") == dims), hashing, n, k))
+    pairs = None
+    if met:
+        found = reduce(DataFrame.unionByName, met).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        pairs = written(found, "met")
+        enough = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= k)
+        short = asked.join(enough, "query_id", "left_anti")
+        rest = asked.where(F.size("v").isin(exact)).unionByName(short.where(~F.size("v").isin(exact)))
+    else:
+        rest = asked
+    searched = _searched(stock, rest, k)
+    merged = searched if pairs is None else searched.unionByName(pairs)
+    merged = merged.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )
+
+
+def _best(queries: pd.DataFrame, ids: list, a: np.ndarray, b: np.ndarray, k: int) -> list[tuple]:
+    """(query, vector, score) of the best of ``b`` for each query, ties included."""
+    out = []
+    score = _unit(a) @ _unit(b).T
+    for query_id, row in zip(queries, score):
+        # One more than asked for, as the query itself may be among them; ties stay in.
+        least = -np.inf if len(row) <= k + 1 else np.partition(row, -k - 1)[-k - 1]
+        for j in np.flatnonzero(row >= least - 1e-12):
+            out += [(query_id, i, row[j]) for i in ids[j] if i != query_id]
+    return out
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype(
+        {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+    )
+
+
+def _searched(stock: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: exact search of every row of ``stock``, for queries in blocks of about ``GROUP_ROWS``.
 
+    Queries travel to the rows, block by block; only a block's best of each batch move on.
+    """
+    spark = stock.sparkSession
+    asked = written(asked, "asked")
+    blocks = -(-asked.count() // GROUP_ROWS)
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == block).toPandas()
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), rows["v"].tolist()))
+
+        def compare(batches, shared=shared):
+            query_ids, vectors = shared.value
+            sizes = np.array([len(v) for v in vectors], int)
+            own = {d: (query_ids[sizes == d], np.array([v for v in vectors if len(v) == d], np.float64)) for d in set(sizes.tolist())}
+            for batch in batches:
+                dims = batch["v"].map(len)
+                for d, part in batch.groupby(dims):
+                    if d in own:
+                        yield _frame(_best(own[d][0], part["ids"].tolist(), own[d][1], _matrix(part["v"]), k))
+
+        found = found.unionByName(stock.mapInPandas(compare, "query_id long, vec_id long, score double"))
+    return found
+
+
+def _met(stock: DataFrame, asked: DataFrame, hashing: Hashing, n: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the best vectors of each slot that a query visits."""
     slots = _hashed(stock.select("v"), hashing, 1).groupBy("table_no", "key").agg(F.count(F.lit(1)).alias("c"))
     cuts = slots.where(F.col("c") > GROUP_ROWS).select(
         "table_no", "key", F.ceil(F.col("c") / GROUP_ROWS).cast("int").alias("cuts")
@@ -211,22 +291,10 @@ def nearest(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS) ->
                 continue
             ids = data["ids"].iloc[held].tolist()
             a, b = _matrix(queries["v"].iloc[asking]), _matrix(data["v"].iloc[held])
-            score = _unit(a) @ _unit(b).T
-            for query_id, row in zip(queries["query_id"].iloc[asking], score):
-                # One more than asked for, as the query itself may be among them; ties stay in.
-                least = -np.inf if len(row) <= k + 1 else np.partition(row, -k - 1)[-k - 1]
-                for j in np.flatnonzero(row >= least - 1e-12):
-                    out += [(query_id, i, row[j]) for i in ids[j] if i != query_id]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"}
-        )
+            out += _best(queries["query_id"].iloc[asking], ids, a, b, k)
+        return _frame(out)
 
-    met = left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    merged = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+    return left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(rank, "query_id long, vec_id long, score double")
 
 
 @query("op9_nearest")
