@@ -68,6 +68,15 @@ def test_recall_and_exactness_against_brute_force():
         assert distance == brute(items[i][1], texts[t]) <= D.allowed(len(items[i][1].split()))
 
 
+def test_an_item_is_found_once_across_parts():
+    """The text has more windows than one part; a changed copy comes first, the plain ones last."""
+    changed = ITEM.replace("seven", "eight")
+    text = " ".join([changed] * 900 + [ITEM] * 900)
+    found = list(D.Items([(1, ITEM)]).find(*word_hashes([text.encode()], marks=True)))
+    words = len(words_of(ITEM))
+    assert found == [(0, 0, 900 * words, 901 * words, 0)]
+
+
 @pytest.mark.parametrize("block_bytes", [200, 1 << 20])
 def test_blocks_cover_all_items(spark, block_bytes):
     bench = spark.createDataFrame([(i, f"item number {i} of many items here") for i in range(30)], "item_id long, text string")

@@ -157,8 +157,14 @@ class Items:
             start = np.arange(len(hashes))
             stop = np.minimum(start + group.width + group.edits, ends) - 1
             start = start[known[stop] - known[start] >= kept]
+            # A text may go on in the next part: the best place is kept over all of them.
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for part in np.array_split(start, len(start) // 4096 + 1):
-                yield from self._in_windows(group, part, hashes, pairs, texts, begins, ends)
+                for text, item, begin, end, distance in self._in_windows(group, part, hashes, pairs, texts, begins, ends):
+                    place = (distance, begin, end)
+                    best[text, item] = min(place, best.get((text, item), place))
+            for (text, item), (distance, begin, end) in best.items():
+                yield text, item, begin, end, distance
 
     def _in_windows(self, group, start, hashes, pairs_here, texts, begins, ends):
         if not len(start):
