@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("sharding", "pii", "decontaminate", "language_id", "simhash", "toxicity", "warc", "nearest", "bpe", "language_model")
+AREAS = ("sharding", "pii", "decontaminate", "language_id", "simhash", "toxicity", "warc", "nearest", "bpe", "language_model",
+         "fill_middle")
 
 
 def load():
