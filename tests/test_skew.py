@@ -3,6 +3,8 @@
 Half of all rows belong to one key and many times are tied.
 """
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,3 +175,38 @@ def test_change_rate_edge_cases(spark):
     assert got["down"] == (-25.0, "-25.0%") and got["tie"] == (100.0, "+100.0%")
     chart = {r["metric_id"]: r["change_rate"] for r in history.chart_change(h).collect()}
     assert chart["zero"] == 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+@pytest.mark.parametrize("backward", [False, True])
+def test_range_scan_agrees_with_a_loop(spark, parts, backward):
+    rng = random.Random(parts)
+    data = [
+        (rng.choice([None, "a", "a", "a", "b", "c"]), rng.choice([None, 1, 1, 1, 2]), rng.choice([None, rng.randrange(99)]))
+        for _ in range(600)
+    ]
+    rows = skew.cut_ranges(spark.createDataFrame(data, "k string, t int, v long").repartition(3), ["k"], ["t"], parts)
+    folds = {n: (n, "v") for n in ("count", "sum", "xor", "max", "newest", "lag")}
+    per_key = {}
+    for r in skew.scan_ranges(rows, ["k"], ["t"], folds, backward).collect():
+        per_key.setdefault(r["k"], []).append(r)
+    assert sum(map(len, per_key.values())) == len(data)
+    for found in per_key.values():
+        found.sort(key=lambda r: (r["t"] is not None, r["t"] or 0, r["_tie"]), reverse=backward)
+        n, total, xor, most, newest, previous = 0, None, None, None, None, None
+        for r in found:
+            v = r["v"]
+            if v is not None:
+                n, total, xor = n + 1, (total or 0) + v, (xor or 0) ^ v
+                most, newest = v if most is None else max(most, v), v
+            assert tuple(r[f] for f in folds) == (n, total, xor, most, newest, previous)
+            previous = v
+
+
+def test_ranges_share_one_key_with_one_time(spark):
+    data = spark.range(4000).selectExpr("1 as k", "timestamp'2024-01-01' as t", "id as v")
+    rows = skew.cut_ranges(data, ["k"], ["t"], 20)
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * 4000 / 20
+    last = skew.scan_ranges(rows, ["k"], ["t"], {"n": ("count", "v"), "s": ("sum", "v")}).orderBy("n").tail(1)[0]
+    assert (last["n"], last["s"]) == (4000, 4000 * 3999 // 2)

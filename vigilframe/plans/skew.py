@@ -15,6 +15,8 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.session import written
+
 # A key with more rows than this is split.
 ROWS_PER_TASK = 2_000_000
 
@@ -61,6 +63,87 @@ def lookup_join(
     return null_safe_join(salted.drop("_salts"), copies.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+# Columns of a table made by ``cut_ranges``: number of the range, and an order among equal rows.
+PART, TIE = "_part", "_tie"
+
+
+def cut_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Rows dealt to ranges of (keys, order), written, with the number of their range.
+
+    A sample sets the borders. Equal rows are told apart by ``_tie``, so a range holds its
+    share of the rows even where one key, or one key and one place, holds all of them.
+    The written table fixes ranges and ties for every later use. NULLs come first.
+    """
+    tied = df.withColumn(TIE, F.monotonically_increasing_id())
+    by = [*keys, *order, TIE]
+    ranged = tied.repartitionByRange(parts, *by) if parts else tied.repartitionByRange(*by)
+    return written(ranged.withColumn(PART, F.spark_partition_id()), "ranges")
+
+
+# Per kind of fold: aggregate over rows, and how two results in a row combine.
+_FOLDS = {
+    "count": (F.count, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)),
+    "xor": (F.bit_xor, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a.bitwiseXOR(b))),
+    "max": (F.max, lambda a, b: F.greatest(a, b)),
+    "newest": (lambda c: F.last(c, ignorenulls=True), lambda a, b: F.coalesce(b, a)),
+}
+
+
+def scan_ranges(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    folds: dict[str, tuple[str, str]],
+    backward: bool = False,
+) -> DataFrame:
+    """Running values per key over a table of ``cut_ranges``, exact for keys of any size.
+
+    ``folds`` maps each new column to (kind, column): ``count``, ``sum``, ``xor``, ``max``
+    and ``newest`` (last value that is not NULL) run from the first row of the key to this
+    one, ``lag`` is the value of the row before. ``backward`` runs from the last row instead.
+    Each range is scanned alone; a key that goes on in another range leaves one row of totals
+    there, so what is carried has fewer rows than there are ranges, and its join is
+    a broadcast by its measured size.
+    """
+    parts = [*keys, PART]
+    places = [*order, TIE]
+    turned = F.desc if backward else F.asc
+    w = Window.partitionBy(*parts).orderBy(*[turned(c) for c in places])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    outermost = F.min_by if backward else F.max_by
+    totals, inner, carries = [], [], []
+    before = (
+        Window.partitionBy(*keys).orderBy(turned(PART)).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    for name, (kind, column) in folds.items():
+        if kind == "lag":
+            inner.append(F.lag(F.struct(column)).over(w).alias(name))
+            totals.append(outermost(F.struct(column), F.struct(*places)).alias(name))
+            carries.append(F.last(name).over(before).alias(f"_carry_{name}"))
+            continue
+        fold = _FOLDS[kind][0]
+        inner.append(fold(column).over(upto).alias(name))
+        if kind == "newest":
+            held = F.when(F.col(column).isNotNull(), F.struct(*places))
+            totals.append(outermost(F.col(column), held).alias(name))
+        else:
+            totals.append(fold(column).alias(name))
+        carried = F.sum if kind == "count" else fold
+        carries.append(carried(F.col(name)).over(before).alias(f"_carry_{name}"))
+    pieces = rows.groupBy(*parts).agg(*totals)
+    carried = pieces.select(*parts, *carries, F.count(F.lit(1)).over(before).alias("_earlier"))
+    carried = written(carried.where("_earlier > 0").drop("_earlier"), "carried")
+    joined = null_safe_join(rows.select("*", *inner), carried, parts, "left")
+    for name, (kind, column) in folds.items():
+        carry = F.col(f"_carry_{name}")
+        if kind == "lag":
+            joined = joined.withColumn(name, F.coalesce(name, carry)[column])
+        else:
+            joined = joined.withColumn(name, _FOLDS[kind][1](carry, F.col(name)))
+    return joined.drop(*[f"_carry_{name}" for name in folds])
+
+
 # Time units a key is cut into, coarse to fine.
 UNITS = ["day", "hour", "minute", "second"]
 
