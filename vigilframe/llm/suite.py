@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 AREAS = ("sharding", "pii", "decontaminate", "language_id", "simhash", "toxicity", "warc", "nearest", "bpe", "language_model",
-         "fill_middle", "prefix_trie")
+         "fill_middle", "prefix_trie", "embedding_dedup")
 
 
 def load():
