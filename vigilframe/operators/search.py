@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import score_band
-from vigilframe.plans.skew import lookup_join
+from vigilframe.plans.skew import ROWS_PER_TASK, lookup_join
 from vigilframe.session import written
 
 K1, B = 1.2, 0.75
@@ -47,20 +47,25 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (doc_id, doc_len, term, tf).
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: bool = True) -> DataFrame:
+    """Postings (doc_id, doc_len, term, tf); every row is one document.
 
-    Documents are spread by id before they are cut into words, so the one
-    shuffle moves texts rather than the longer list of (document, word) pairs,
-    and the count per document needs no further exchange.
+    Terms are counted inside the row: its sorted words are cut into runs. So the index
+    needs no exchange beyond ``spread``, which deals texts by id and is worth it only
+    where a table has fewer files than the cluster has cores.
     """
-    spread = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).repartition("doc_id")
-    words = spread.select("doc_id", tokens(F.col("_t")).alias("_w"))
-    return (
-        words.select("doc_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("term"))
-        .groupBy("doc_id", "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
+    if spread:
+        rows = rows.repartition("doc_id")
+    words = rows.select("doc_id", F.sort_array(tokens(F.col("_t"))).alias("_w"))
+    starts = F.filter(
+        F.transform("_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", i - 1)), i)), lambda i: i.isNotNull()
+    )
+    runs = words.select("doc_id", F.size("_w").alias("doc_len"), "_w", starts.alias("_s"))
+    posting = lambda s, i: F.struct(
+        F.get("_w", s).alias("term"), (F.coalesce(F.get("_s", i + 1), "doc_len") - s).cast("long").alias("tf")
     )
+    return runs.select("doc_id", "doc_len", F.inline(F.transform("_s", posting)))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -102,8 +107,159 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# Postings of a term are dealt to this many blocks by their part of the score.
+LEVELS = 8
+# The first threshold comes from a query's rarest terms, up to this many postings for each of the k results.
+SEED_POSTINGS = 400
+# Below this many postings of all terms of all queries, planning costs more than scanning them.
+SCAN_ALL = 30_000_000
+# Terms are left for later while all of them together reach less than this share of the threshold.
+LATER = 0.7
+# Scores are rounded: what lies this far below the threshold cannot tie with it.
+MARGIN = 2.0 * 10**-DIGITS
+
+
+class KeywordSearch:
+    """Exact BM25 top ``k`` of many queries that leaves out what cannot enter the top ``k``.
+
+    Postings of a term form blocks by their part of the score, each with its size and its
+    largest part. From those come, per query and term, the most the term can give. A first
+    threshold is the k-th best full score among documents of the query's rarest terms. Then
+
+    * terms that together cannot reach the threshold are not scanned for candidates (MaxScore);
+    * blocks whose best posting plus the most of all other terms stays below the threshold are skipped;
+    * a candidate whose score so far plus the most of the terms left stays below it is dropped.
+
+    Only what remains is scored by the terms left. Small searches are scanned whole, which
+    gives the same rows. Whatever the threshold, results equal those of scoring every posting; queries with fewer than ``k`` documents to start with have no threshold.
+    Tables per query and term are written, so that Spark joins them by their measured size.
+    """
+
+    def __init__(self, index: DataFrame, queries: DataFrame, k: int):
+        self.k = k
+        totals = index.agg(F.count_distinct("doc_id"), F.sum("tf")).first()
+        self.docs, words = totals[0], totals[1] or 0
+        norm = 1 - B + B * F.col("doc_len") / (words / max(self.docs, 1))
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
+        level = F.floor(F.col("impact") * LEVELS / (K1 + 1)).cast("int")
+        self.postings = index.select("doc_id", "term", impact.alias("impact")).withColumn("level", level)
+        self.asked = query_terms(queries)
+        self.blocks = written(
+            self.postings.join(self.asked.select("term").distinct(), "term", "left_semi")
+            .groupBy("term", "level")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most")),
+            "posting-blocks",
+        )
+        self.df = self.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+        idf = F.ln(1 + (self.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighted = self.asked.join(self.df, "term").select(
+            "query_id", "term", "df", idf.alias("idf"), (idf * F.col("most")).alias("most")
+        )
+        self.weighted = written(weighted, "query-weights")
+        size = self.weighted.agg(F.sum("df"), F.max("df")).first()
+        self.postings_met = size[0] or 0
+        # Only terms of very many postings are salted.
+        self.sizes = {"rows": "df", "sized": self.df} if (size[1] or 0) > ROWS_PER_TASK else {}
+
+    def _with_bounds(self) -> DataFrame:
+        """Terms with the most that the other terms, and all lesser ones, can add; a query is a few terms."""
+        of_query = Window.partitionBy("query_id")
+        return written(
+            self.weighted.withColumns(
+                {
+                    "others": F.sum("most").over(of_query) - F.col("most"),
+                    "reached": F.sum("most").over(of_query.orderBy("most", "term")),
+                    "before": F.sum("df").over(of_query.orderBy("df", "term")) - F.col("df"),
+                }
+            ),
+            "query-terms",
+        )
+
+    def _met(self, terms: DataFrame) -> DataFrame:
+        if self.sizes:
+            return lookup_join(self.postings, terms, ["term"], ["doc_id"], "inner", **self.sizes)
+        return self.postings.join(terms, "term")
+
+    @staticmethod
+    def _summed(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("part"))
+
+    def _finished(self, partial: DataFrame, later: DataFrame) -> DataFrame:
+        """Partial sums plus the terms left, which are looked up for these documents only."""
+        asked = partial.join(later.select("query_id", "term", "idf"), "query_id")
+        asked = written(asked.select("query_id", "doc_id", "term", "idf"), "look-ups")
+        rest = (
+            self.postings.join(later.select("term").distinct(), "term", "left_semi")
+            .join(asked, ["doc_id", "term"])
+            .select("query_id", "doc_id", (F.col("idf") * F.col("impact")).alias("part"))
+        )
+        return self._summed(partial.unionByName(rest)).select(
+            "query_id", "doc_id", F.round("part", DIGITS).alias("score")
+        )
+
+    def thresholds(self, terms: DataFrame) -> DataFrame:
+        """(query_id, least): no document below ``least`` is among the best ``k``; written."""
+        rare = F.col("before") < SEED_POSTINGS * self.k
+        part = (F.col("idf") * F.col("impact")).alias("part")
+        seen = self._summed(self._met(terms.where(rare)).select("query_id", "doc_id", part))
+        first = written(top_k(seen.withColumnRenamed("part", "score"), self.k), "first-documents")
+        full = self._finished(
+            first.select("query_id", "doc_id", F.col("score").alias("part")), terms.where(~rare)
+        )
+        least = full.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("_n"))
+        return written(least.where(F.col("_n") == self.k).drop("_n"), "thresholds")
+
+    def plan(self) -> DataFrame:
+        """Per query and term: ``later`` (not scanned for candidates), else ``first_level``, the lowest block scanned.
+
+        ``rest`` is the most that the query's later terms give together. Written.
+        """
+        later = F.coalesce(F.col("reached") < LATER * F.col("least"), F.lit(False))
+        rest = F.sum(F.when(later, F.col("most")).otherwise(0.0)).over(Window.partitionBy("query_id"))
+        terms = self._with_bounds()
+        known = terms.join(self.thresholds(terms), "query_id", "left").withColumns({"later": later, "rest": rest})
+        # The best part of a block grows with its level: all blocks from the first that can matter are scanned.
+        needed = (F.col("least") - MARGIN - F.col("others")) / F.col("idf")
+        levels = self.blocks.groupBy("term").agg(
+            F.sort_array(F.collect_list(F.struct("level", "n", "most"))).alias("levels")
+        )
+        matter = F.filter("levels", lambda x: x["most"] >= F.coalesce(needed, F.lit(0.0)))
+        scanned = F.aggregate(matter, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        return written(
+            known.join(levels, "term")
+            .withColumns({"first_level": F.try_element_at(matter, F.lit(1))["level"], "scanned": scanned})
+            .drop("levels", "reached", "before"),
+            "search-plan",
+        )
+
+    def results(self) -> DataFrame:
+        return self.pruned() if self.postings_met > SCAN_ALL else self.scanned()
+
+    def scanned(self) -> DataFrame:
+        """Every posting of every term scored."""
+        parts = self._met(self.weighted.select("query_id", "term", "idf", "df"))
+        total = F.round(F.sum(F.col("idf") * F.col("impact")), DIGITS)
+        return top_k(parts.groupBy("query_id", "doc_id").agg(total.alias("score")), self.k)
+
+    def pruned(self) -> DataFrame:
+        plan = self.plan()
+        scanned = plan.where("not later and first_level is not null").select(
+            "query_id", "term", "idf", "first_level", "rest", "least"
+        )
+        parts = self._met(scanned).where("level >= first_level")
+        alive = F.coalesce(F.col("part") + F.col("rest") >= F.col("least") - MARGIN, F.lit(True))
+        partial = (
+            parts.groupBy("query_id", "doc_id", "rest", "least")
+            .agg(F.sum(F.col("idf") * F.col("impact")).alias("part"))
+            .where(alive)
+            .select("query_id", "doc_id", "part")
+        )
+        return top_k(self._finished(written(partial, "candidates"), plan.where("later")), self.k)
+
+
 def keyword_search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(keyword_scores(index, queries), k)
+    """Best ``k`` documents per query by BM25; see :class:`KeywordSearch` for what is left out."""
+    return KeywordSearch(index, queries, k).results()
 
 
 def expand(text: Column, synonyms: Mapping[str, str] = SYNONYMS) -> Column:
