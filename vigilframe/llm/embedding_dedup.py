@@ -241,7 +241,7 @@ def findings(cells: DataFrame, limit: float = LIMIT, blocks: int = BLOCKS) -> Da
         .drop("parts", "other")
     )
 
-    def judge(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, dims, block, *_ = (int(k) for k in key)
         space = Subspaces(dims, limit, blocks)
         points = np.frombuffer(b"".join(rows["point"]), np.int16).reshape(-1, dims)
