@@ -115,9 +115,35 @@ def test_hot_keys_are_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_time_bucket_gets_finer_for_hot_keys(df):
-    assert "day" in str(skew.time_bucket(df, ["key"], "ts"))
-    assert "hour" in str(skew.time_bucket(df, ["key"], "ts", rows_per_task=60))
+def test_buckets_get_finer_for_hot_keys(df):
+    unit = lambda rows, n: str(skew.bucketed(rows, ["key"], ["ts", "id"], n)[1])
+    assert "day" in unit(df, 10**6) and "hour" in unit(df, 60) and skew.PART in unit(df.where("id < 60"), 1)
+
+
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_windows_over_ranges_equal_those_over_days(df, data, limit, monkeypatch):
+    """With three rows a task, no unit of time is fine enough and ranges take over."""
+    monkeypatch.setattr(skew.bucketed, "__defaults__", (limit,))
+    cut = skew.cut_ranges
+    monkeypatch.setattr(skew, "cut_ranges", lambda df, keys, order, parts: cut(df, keys, order, 12))
+    events = df.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "ts", (F.col("id") % 3).cast("string").alias("event_type"))
+    steps = workload.session_steps(events, 90)
+    assert set(steps.columns) == {"user_id", "session_start", "ts", "event_id", "event_type", "previous_type"}
+    starts = steps.select("user_id", "session_start").distinct().groupBy("user_id").count().toPandas()
+    gap = data.groupby("key")["ts"].diff()
+    want = (gap.isna() | (gap > pd.Timedelta(minutes=90))).groupby(data["key"]).sum()
+    assert starts.set_index("user_id")["count"].sort_index().tolist() == want.sort_index().tolist()
+    changed = data.assign(t=data["id"] % 3)
+    before = changed.groupby("key")["t"].shift()
+    assert workload.change_history(events).count() == int((before.notna() & (before != changed["t"])).sum())
+    runs = df.select(F.col("key").alias("k"), F.col("id").alias("history_id"), F.col("ts").alias("executed_at"))
+    gaps = history.run_gaps(runs, ["k"])
+    assert gaps.columns == ["k", "history_id", "executed_at", "previous_executed_at", "gap_seconds"]
+    assert gaps.agg(F.sum("gap_seconds")).first()[0] == int(gap.dt.total_seconds().sum())
+    far = outliers.adaptive_threshold(df, ["key"], ["ts", "id"], "v", 24, 2.0)
+    mean = data.groupby("key")["v"].transform(lambda s: s.shift().rolling(24).mean())
+    sd = data.groupby("key")["v"].transform(lambda s: s.shift().rolling(24).std())
+    assert far.count() == int(((data["v"] - mean).abs() > 2 * sd).sum())
 
 
 def test_shares_add_up(df):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import number, percent_change, signed_percent, to_korea_time
-from vigilframe.plans.skew import lag_in_buckets, lookup_join, newest_per_key, time_bucket
+from vigilframe.plans.skew import bucketed, lag_in_buckets, lookup_join, newest_per_key
 
 KEYS = ["tenant_id", "metric_id"]
 
@@ -67,15 +67,12 @@ def chart_change(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def run_gaps(history: DataFrame, keys: Sequence[str] = KEYS, bucket: Column | None = None) -> DataFrame:
+def run_gaps(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Seconds since the run before, per metric."""
-    lagged = lag_in_buckets(
-        history.select(*keys, "history_id", "executed_at"),
-        keys,
-        ["executed_at", "history_id"],
-        time_bucket(history, keys, "executed_at") if bucket is None else bucket,
-        {"executed_at": "previous_executed_at"},
+    rows, bucket, order = bucketed(
+        history.select(*keys, "history_id", "executed_at"), keys, ["executed_at", "history_id"]
     )
+    lagged = lag_in_buckets(rows, keys, order, bucket, {"executed_at": "previous_executed_at"})
     gap = F.timestamp_diff("SECOND", F.col("previous_executed_at"), F.col("executed_at"))
     return lagged.withColumn("gap_seconds", gap)
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.plans.skew import (
+    bucketed,
     exact_percentiles,
     index_in_buckets,
     lookup_join,
     newest_per_key,
     previous_rows_stats,
-    time_bucket,
 )
 
 
@@ -93,13 +93,11 @@ def adaptive_threshold(
     value: str,
     n: int = 24,
     k: float = 3.0,
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Runs outside mean +- ``k`` deviations of the ``n`` runs before them."""
     known = history.where(F.col(value).isNotNull())
-    if bucket is None:
-        bucket = time_bucket(known, keys, order[0])
-    indexed = index_in_buckets(known, keys, order, bucket, "run_index")
+    rows, bucket, places = bucketed(known, keys, order)
+    indexed = index_in_buckets(rows, keys, places, bucket, "run_index")
     scored = previous_rows_stats(indexed, keys, "run_index", value, n)
     far = F.abs(F.col(value) - F.col("prev_mean")) > k * F.col("prev_sd")
     return scored.where((F.col("prev_n") == n) & far)

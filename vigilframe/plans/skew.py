@@ -148,20 +148,25 @@ def scan_ranges(
 UNITS = ["day", "hour", "minute", "second"]
 
 
-def time_bucket(
-    df: DataFrame, keys: Sequence[str], time: str, rows_per_task: int = ROWS_PER_TASK
-) -> Column:
-    """Coarsest time unit in which no key has more than ``rows_per_task`` rows.
-
-    Measured with one small aggregate per unit tried; the day nearly always
-    does. The choice affects speed only, never results.
+def bucketed(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> tuple[DataFrame, Column, list[str]]:
+    """(rows, bucket, order) for the helpers below, so that no key has more rows in a bucket than a task should hold.
+
+    The bucket is the coarsest unit of the first order column that is fine enough, measured
+    with one small aggregate per unit tried; the day nearly always is. Where even
+    one second of one key is too much, rows are cut into ranges of (key, order) instead, which
+    hold their share whatever the times. The choice affects speed only, never results.
     """
-    for unit in UNITS[:-1]:
-        groups = df.groupBy(*keys, F.date_trunc(unit, time)).agg(F.count(F.lit(1)).alias("_n"))
-        largest = groups.agg(F.max("_n")).first()[0] or 0
-        if largest <= rows_per_task:
-            return F.date_trunc(unit, time)
-    return F.date_trunc(UNITS[-1], time)
+    rows = 0
+    for unit in UNITS:
+        bucket = F.date_trunc(unit, order[0])
+        groups = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+        largest, rows = groups.agg(F.max("_n"), F.sum("_n")).first()
+        if (largest or 0) <= rows_per_task:
+            return df, bucket, list(order)
+    parts = max(-(-rows // rows_per_task), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_ranges(df, keys, order, parts), F.col(PART), [*order, TIE]
 
 
 def newest_per_key(
@@ -203,7 +208,7 @@ def lag_in_buckets(
             target,
             F.when(F.col("_rn") == 1, F.col("_carry")[source]).otherwise(F.col(target)),
         )
-    return joined.drop("_bucket", "_rn", "_carry")
+    return joined.drop("_bucket", "_rn", "_carry", PART, TIE)
 
 
 def sessions_in_buckets(
@@ -263,7 +268,7 @@ def sessions_in_buckets(
     for source, target in values.items():
         previous = F.when(head, F.col("_before")[source]).otherwise(F.col(target))
         joined = joined.withColumn(target, F.when(~F.col("is_start"), previous))
-    return joined.drop("_bucket", "_rn", "_mark", "_open", "_opens", "_carry", "_before")
+    return joined.drop("_bucket", "_rn", "_mark", "_open", "_opens", "_carry", "_before", PART, TIE)
 
 
 def index_in_buckets(
@@ -283,7 +288,7 @@ def index_in_buckets(
     return (
         null_safe_join(inner, offsets, parts, "left")
         .withColumn(target, F.col("_offset") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_offset")
+        .drop("_bucket", "_rn", "_offset", PART, TIE)
     )
 
 

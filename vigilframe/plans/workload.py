@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from vigilframe.functions.scalars import ntz, on_day
 from vigilframe.plans.skew import (
     null_safe_join,
+    bucketed,
     exact_percentiles,
     lag_in_buckets,
     newest_per_key,
     sessions_in_buckets,
-    time_bucket,
 )
 from vigilframe.session import written
 
@@ -250,14 +250,11 @@ def session_steps(events, gap_minutes: int = 30):
     A session ends after a pause longer than the gap. Works per user and time
     bucket and carries the open session on, so no user is held in one task.
     """
-    placed = sessions_in_buckets(
-        events.select("user_id", "event_id", "ts", "event_type"),
-        ["user_id"],
-        ["ts", "event_id"],
-        F.make_dt_interval(mins=F.lit(gap_minutes)),
-        time_bucket(events, ["user_id"], "ts"),
-        {"event_type": "previous_type"},
+    steps, bucket, order = bucketed(
+        events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"]
     )
+    gap = F.make_dt_interval(mins=F.lit(gap_minutes))
+    placed = sessions_in_buckets(steps, ["user_id"], order, gap, bucket, {"event_type": "previous_type"})
     return placed.select("user_id", "session_start", "ts", "event_id", "event_type", "previous_type")
 
 
@@ -299,10 +296,10 @@ def address_distribution(customer, nation, region):
 
 def change_history(events):
     """Events whose type differs from the one before of the same user."""
-    lagged = lag_in_buckets(
-        events.select("user_id", "event_id", "ts", "event_type"),
-        ["user_id"], ["ts", "event_id"], time_bucket(events, ["user_id"], "ts"), {"event_type": "previous_type"},
+    steps, bucket, order = bucketed(
+        events.select("user_id", "event_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"]
     )
+    lagged = lag_in_buckets(steps, ["user_id"], order, bucket, {"event_type": "previous_type"})
     return lagged.where(F.col("previous_type") != F.col("event_type"))
 
 
