@@ -173,6 +173,33 @@ DERIVED: dict[str, str] = {
                CASE c.c_custkey % 7 WHEN 0 THEN 'F' WHEN 1 THEN 'view' WHEN 2 THEN 'R' WHEN 3 THEN 'error'
                     WHEN 4 THEN 'O' WHEN 5 THEN 'N' END AS filter_value
         FROM {fx_metrics} m JOIN {customer} c ON m.name = c.c_name""",
+    # The same for several filter, group and value columns of four tables; a group column makes a categorical metric.
+    "fx_registry": """
+        SELECT tenant_id, metric_id, status, threshold_enabled, threshold_operator, threshold_value, table_name,
+               CASE WHEN group_column IS NOT NULL AND k % 3 < 2 THEN 'count' WHEN k % 5 = 0 THEN 'count'
+                    WHEN k % 5 = 1 THEN 'sum' WHEN k % 5 = 2 THEN 'avg' WHEN k % 5 = 3 THEN 'min' ELSE 'max' END AS aggregate,
+               filter_column,
+               CASE WHEN filter_column IS NULL THEN NULL WHEN k % 13 = 12 THEN 'never' ELSE
+                 CASE filter_column WHEN 'event_type' THEN CASE WHEN k % 2 = 0 THEN 'error' ELSE 'view' END
+                   WHEN 'o_orderstatus' THEN 'O' WHEN 'o_orderpriority' THEN '1-URGENT' WHEN 'l_returnflag' THEN 'R'
+                   WHEN 'l_linestatus' THEN 'F' WHEN 'lang' THEN 'fr' ELSE 'web' END END AS filter_value,
+               CASE table_name WHEN 'events' THEN 'value' WHEN 'documents' THEN 'n_chars'
+                    WHEN 'orders' THEN CASE WHEN k % 2 = 0 THEN 'o_totalprice' ELSE 'o_custkey' END
+                    ELSE CASE WHEN k % 2 = 0 THEN 'l_quantity' ELSE 'l_extendedprice' END END AS value_column,
+               group_column
+        FROM (SELECT *,
+                CASE table_name WHEN 'events' THEN CASE WHEN j % 3 = 0 THEN 'event_type' END
+                  WHEN 'orders' THEN CASE j % 3 WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'o_orderpriority' END
+                  WHEN 'lineitem' THEN CASE j % 3 WHEN 0 THEN 'l_returnflag' WHEN 1 THEN 'l_linestatus' END
+                  WHEN 'documents' THEN CASE j % 3 WHEN 0 THEN 'lang' WHEN 1 THEN 'source' END END AS filter_column,
+                CASE table_name WHEN 'events' THEN CASE WHEN j % 4 = 1 THEN 'event_type' WHEN j % 4 = 2 THEN 'user_id' END
+                  WHEN 'orders' THEN CASE WHEN j % 4 = 1 THEN 'o_orderpriority' WHEN j % 4 = 2 THEN 'o_orderdate' END
+                  WHEN 'lineitem' THEN CASE WHEN j % 4 = 1 THEN 'l_returnflag' WHEN j % 4 = 2 THEN 'l_quantity' END
+                  WHEN 'documents' THEN CASE WHEN j % 4 = 1 THEN 'lang' WHEN j % 4 = 2 THEN 'source' END END AS group_column
+              FROM (SELECT m.*, c.c_custkey AS k, CAST((c.c_custkey - c.c_custkey % 4) / 4 AS BIGINT) AS j,
+                      CASE c.c_custkey % 4 WHEN 0 THEN 'events' WHEN 1 THEN 'orders' WHEN 2 THEN 'lineitem'
+                        ELSE CASE WHEN c.c_custkey % 16 = 3 THEN 'absent' ELSE 'documents' END END AS table_name
+                    FROM {fx_metrics} m JOIN {customer} c ON m.name = c.c_name))""",
     "fx_history": f"""
         SELECT {_tenant('user_id')} AS tenant_id,
                'h' || CAST(event_id AS STRING) AS history_id,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("quality", "history", "evaluation", "registry", "workload", "catalog", "search", "streaming", "scalars", "null_keys")
+AREAS = ("quality", "history", "evaluation", "registry", "workload", "catalog", "search", "streaming", "scalars", "null_keys", "registry_run")
 
 
 def load():
