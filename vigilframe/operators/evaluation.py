@@ -128,11 +128,15 @@ def categorical_rarity(categories: DataFrame, run: str = "run_id", count: str =
     """Rare categories of each run: below 1 % high, below 5 % medium, zero counts skipped."""
     totals = categories.groupBy(run).agg(F.sum(count).alias("run_total"), F.count(F.lit(1)).alias("_n"))
     spread = [c for c in categories.columns if c != run]
+    joined = lookup_join(categories, totals, [run], spread, rows="_n").drop("_n")
+    return rare_of_totals(joined, count)
+
+
+def rare_of_totals(rows: DataFrame, count: str = "cnt") -> DataFrame:
+    """Rare categories among rows that carry their run's total: below 1 % high, below 5 % medium."""
     n, total = F.col(count), F.col("run_total")
     return (
-        lookup_join(categories, totals, [run], spread, rows="_n")
-        .drop("_n")
-        .where((n >= 1) & (n * 20 < total))
+        rows.where((n >= 1) & (n * 20 < total))
         .withColumn("finding", F.when(n * 100 < total, "rare_category").otherwise("minority_category"))
         .withColumn("severity", F.when(n * 100 < total, "high").otherwise("medium"))
         .withColumn("percentage", F.round(n * 100.0 / total.cast("double"), 4))

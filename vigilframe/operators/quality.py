@@ -54,7 +54,12 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def null_profile(
     df: DataFrame, not_null: Sequence[str] = (), columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """NULL count, share, band and score per column.
+    """NULL count, share, band and score per column."""
+    return with_bands(null_counts(df, columns), not_null)
+
+
+def with_bands(counts: DataFrame, not_null: Sequence[str] = ()) -> DataFrame:
+    """NULL counts with their share, band and score, for counts of one scan or of many merged ones.
 
     Score: rows for a column declared NOT NULL, else 1 below 5 % or from 20 %
     upwards, else 0.
@@ -74,7 +79,7 @@ def null_profile(
         .otherwise(F.lit(0).cast("bigint"))
     )
     return (
-        null_counts(df, columns)
+        counts
         .withColumn("declared_not_null", F.col("column_name").isin(*not_null) if not_null else F.lit(False))
         .withColumn("null_pct", pct(n, total, 4))
         .withColumn("band", band)
@@ -186,6 +191,13 @@ def category_distribution(df: DataFrame, columns: Sequence[str] | None = None) -
     )
 
 
+def shortened(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Text columns with long texts replaced by their digest, for counting."""
+    return df.select(
+        *[F.when(F.length(c) < LONG_TEXT, F.col(c)).otherwise(F.sha2(F.col(c), 256)).alias(c) for c in columns]
+    )
+
+
 def rare_category_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Non-NULL values with a share below 5 %, counted per column.
 
@@ -199,15 +211,9 @@ def rare_category_counts(df: DataFrame, columns: Sequence[str] | None = None) ->
             F.lit("").alias("column_name"), F.lit(0).cast("bigint").alias("rare_count")
         )
     total = row_count(df).scalar()
-    short = df.select(
-        *[
-            F.when(F.length(c) < LONG_TEXT, F.col(c)).otherwise(F.sha2(F.col(c), 256)).alias(c)
-            for c in columns
-        ]
-    )
     rare = F.col("value").isNotNull() & (F.col("cnt") * 20 < total)
     return (
-        category_counts(short, columns)
+        category_counts(shortened(df, columns), columns)
         .groupBy("column_name")
         .agg(F.count_if(rare).alias("rare_count"))
     )

@@ -8,15 +8,15 @@ it, so a batch that is run again after a failure leaves no second copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilframe.operators.evaluation import anomaly_type, breaches
-from vigilframe.operators.quality import category_counts, null_counts, status_of, text_columns
+from vigilframe.operators.evaluation import RARE_PCT, anomaly_type, breaches, rare_of_totals
 from vigilframe.session import new_table_path
+from vigilframe.streaming.scan_state import ScanState, write_batch
 
 EPOCH = "1970-01-01 00:00:00"
 DELAY = "10 minutes"
@@ -107,79 +107,90 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     )
 
 
-def write_batch(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
 def history_and_anomalies(
-    stream: DataFrame, thresholds: Mapping[str, tuple[str, float]], history: str, anomalies: str, checkpoint: str
+    stream: DataFrame, settings: DataFrame, history: str, anomalies: str, checkpoint: str
 ) -> None:
-    """Hourly metric per event type into a history table, breaches into an anomaly table."""
-    pairs = [x for k, (op, v) in thresholds.items() for x in (F.lit(k), F.struct(F.lit(op).alias("op"), F.lit(float(v)).alias("v")))]
-    setting = F.try_element_at(F.create_map(*pairs), F.col("metric_id"))
+    """Hourly metric per event type into a history table, breaches into an anomaly table.
+
+    ``settings`` (metric_id, threshold_operator, threshold_value) are registry rows, joined with each
+    batch of runs. Anomalies are judged from the stored runs, so a batch is computed once.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         runs = batch.select(
             F.col("event_type").alias("metric_id"),
             F.col("window_end").alias("executed_at"),
             F.col("n").cast("double").alias("result_value"),
-        ).persist()
+        )
         write_batch(runs, history, number)
-        judged = runs.withColumn("_s", setting)
-        hit = breaches(F.col("result_value"), F.col("_s.op"), F.col("_s.v"))
-        found = judged.where(hit).select(
+        stored = batch.sparkSession.read.schema(runs.schema).parquet(f"{history}/batch={number}")
+        hit = breaches(F.col("result_value"), F.col("threshold_operator"), F.col("threshold_value"))
+        found = stored.join(settings, "metric_id").where(hit).select(
             "metric_id",
             F.col("executed_at").alias("detected_at"),
-            anomaly_type(F.col("_s.op")).alias("anomaly_type"),
-            F.col("_s.v").alias("threshold_value"),
+            anomaly_type(F.col("threshold_operator")).alias("anomaly_type"),
+            "threshold_value",
             F.col("result_value").alias("actual_value"),
         )
         write_batch(found, anomalies, number)
-        runs.unpersist()
 
     run_batches(windowed_metric(with_event_time(stream)), each, checkpoint)
 
 
-def incremental_scan(stream: DataFrame, nulls: str, categories: str, checkpoint: str) -> None:
-    """Mergeable quality counters of newly arrived rows, one small table per batch."""
-    texts = text_columns(stream)
+def category_shares(events: DataFrame, label: str, size: str = "1 hour") -> DataFrame:
+    """Rows per window and label, with the total of their window; input needs ``at``.
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        write_batch(null_counts(rows), nulls, number)
-        if texts:
-            write_batch(category_counts(rows, texts), categories, number)
-        rows.unpersist()
+    On a stream two aggregations follow each other, counts per label and totals per window,
+    and meet in a join on the window; all state goes once the watermark has passed the window. No
+    window is ever held as one list, however many labels it has.
+    """
+    counts = events.groupBy(F.window("at", size).alias("w"), F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("cnt")
+    )
+    totals = (
+        counts.select(F.window_time("w").alias("at"), "cnt")
+        .groupBy(F.window("at", size).alias("w"))
+        .agg(F.sum("cnt").alias("run_total"))
+    )
+    return counts.alias("c").join(totals.alias("t"), F.col("c.w") == F.col("t.w")).select(
+        zone_free(F.col("c.w.start")).alias("window_start"), zone_free(F.col("c.w.end")).alias("window_end"),
+        "label", "cnt", "run_total",
+    )
 
-    run_batches(stream, each, checkpoint)
 
+def categorical_history(
+    stream: DataFrame, label: str, size: str, results: str, anomalies: str, checkpoint: str
+) -> None:
+    """Category counts of every closed window as result rows, windows with rare categories as anomalies.
 
-def merged_nulls(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("column_name").agg(
-        F.sum("total_records").alias("total_records"), F.sum("null_count").alias("null_count")
-    )
+    A window's rows all leave the join in the batch that closes it, so each is judged whole.
+    """
 
+    def each(batch: DataFrame, number: int) -> None:
+        write_batch(batch, results, number)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{results}/batch={number}")
+        found = (
+            rare_of_totals(stored)
+            .groupBy(F.col("window_end").alias("detected_at"))
+            .agg(F.count(F.lit(1)).cast("double").alias("actual_value"))
+            .select(
+                "detected_at",
+                F.lit("threshold_exceeded").alias("anomaly_type"),
+                F.lit(RARE_PCT).alias("threshold_value"),
+                "actual_value",
+            )
+        )
+        write_batch(found, anomalies, number)
 
-def merged_categories(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("column_name", "value").agg(F.sum("cnt").alias("cnt"))
+    run_batches(category_shares(with_event_time(stream), label, size), each, checkpoint)
 
 
-def merged_scan(nulls: DataFrame, categories: DataFrame, table_name: str) -> DataFrame:
-    """Roll-up over all batches seen so far; key duplicates stay with the full scan."""
-    n, total = F.col("null_count"), F.col("total_records")
-    score = F.when(n == 0, 0).when(n * 20 < total, 1).when(n * 5 < total, 0).otherwise(1)
-    per_column = merged_nulls(nulls)
-    base = per_column.agg(F.max("total_records").alias("total_records"), F.sum(score).alias("null_count"))
-    all_rows = per_column.agg(F.max("total_records")).scalar()
-    rare = merged_categories(categories).agg(
-        F.count_if(F.col("value").isNotNull() & (F.col("cnt") * 20 < all_rows))
-    )
-    return (
-        base.withColumn("table_name", F.lit(table_name))
-        .withColumn("distribution_count", rare.scalar())
-        .withColumn("anomaly_count", F.col("null_count") + F.col("distribution_count"))
-        .withColumn("status", status_of(F.col("anomaly_count"), F.col("total_records")))
-    )
+def incremental_scan(
+    stream: DataFrame, root: str, checkpoint: str, key: Sequence[str] = (), compact_every: int = 8
+) -> None:
+    """Absorb newly arrived rows, batch by batch, into the :class:`ScanState` below ``root``."""
+    state = ScanState(stream.sparkSession, root, stream.schema, key, compact_every)
+    run_batches(stream, state.absorb, checkpoint)
 
 
 def paths(spark: SparkSession, name: str, *parts: str) -> list[str]:

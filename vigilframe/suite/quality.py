@@ -51,8 +51,8 @@ def _counts(table: str, columns: list[str]) -> str:
     )
 
 
-def _scan_sql(table: str, columns: list[str], texts: list[str], key: list[str]) -> str:
-    """SQL: one roll-up row for ``table``; these tables declare no NOT NULL columns."""
+def _scan_sql(table: str, columns: list[str], texts: list[str], key: list[str], not_null: tuple[str, ...] = ()) -> str:
+    """SQL: one roll-up row for ``table``."""
     distinct = f"count(DISTINCT {key[0]})" if len(key) == 1 else f"count(DISTINCT ({', '.join(key)}))"
     rare = (
         f"(SELECT count(*) FROM ({_counts(table, texts)}) c "
@@ -68,7 +68,7 @@ def _scan_sql(table: str, columns: list[str], texts: list[str], key: list[str])
       FROM (SELECT *, null_count + duplicate_count + distribution_count AS anomaly_count FROM (
         SELECT '{table.strip('{}')}' AS table_name,
           (SELECT count(*) FROM {table}) AS total_records,
-          CAST((SELECT sum(score) FROM ({PROFILE} FROM ({_null_rows(table, columns)}) n) p) AS BIGINT)
+          CAST((SELECT sum(score) FROM ({PROFILE} FROM ({_null_rows(table, columns, not_null)}) n) p) AS BIGINT)
             AS null_count,
           (SELECT count(*) - {distinct} FROM {table}) AS duplicate_count,
           CAST({rare} AS BIGINT) AS distribution_count))"""

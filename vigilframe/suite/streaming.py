@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilframe.fixtures import TEXT_COLUMNS
+from vigilframe.fixtures import PRIMARY_KEYS, TABLE_COLUMNS, TEXT_COLUMNS
 from vigilframe.streaming import jobs as J
 from vigilframe.suite.base import query
-from vigilframe.suite.quality import _counts
+from vigilframe.suite.quality import _counts, _scan_sql
 
 HOURLY = """SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start,
     CAST(date_trunc('hour', ts) AS TIMESTAMP) + INTERVAL '1' HOUR AS window_end, count(*) AS n,
@@ -37,7 +37,9 @@ _LIMITS = {"view": (">", 5.0), "error": (">=", 4.0), "purchase": ("<", 2.0), "cl
 
 def _run_history(t):
     history, anomalies, checkpoint = J.paths(t.spark, "tick", "history", "anomalies", "checkpoint")
-    J.history_and_anomalies(event_stream(t), _LIMITS, history, anomalies, checkpoint)
+    limits = ", ".join(f"('{k}', '{op}', {v}E0)" for k, (op, v) in _LIMITS.items())
+    settings = t.sql(f"SELECT * FROM (VALUES {limits}) AS s(metric_id, threshold_operator, threshold_value)")
+    J.history_and_anomalies(event_stream(t), settings, history, anomalies, checkpoint)
     return t.spark.read.parquet(history).drop("batch"), t.spark.read.parquet(anomalies).drop("batch")
 
 
@@ -113,13 +115,14 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-def _scanned(t, table: str):
-    """Counters of ``table`` arriving in several files, one per batch."""
-    source, nulls, categories, checkpoint = J.paths(t.spark, table, "in", "nulls", "categories", "checkpoint")
+def _scanned(t, table: str, key: list[str] = [], compact_every: int = 8):  # noqa: B006
+    """State after ``table`` arrived in several files, one per batch."""
+    source, root, checkpoint = J.paths(t.spark, table, "in", "state", "checkpoint")
     df = getattr(t, table)
     df.repartition(4).write.parquet(source)
-    J.incremental_scan(J.file_stream(t.spark, source, df.schema, files_per_batch=1), nulls, categories, checkpoint)
-    return t.spark.read.parquet(nulls), t.spark.read.parquet(categories)
+    stream = J.file_stream(t.spark, source, df.schema, files_per_batch=1)
+    J.incremental_scan(stream, root, checkpoint, key, compact_every)
+    return J.ScanState(t.spark, root, df.schema, key, compact_every)
 
 
 _NULLS = " UNION ALL ".join(
@@ -130,12 +133,12 @@ _NULLS = " UNION ALL ".join(
 
 @query("j6_incremental_null_profile", _NULLS)
 def _(t):
-    return J.merged_nulls(_scanned(t, "fx_nulls")[0])
+    return _scanned(t, "fx_nulls").merged("nulls")
 
 
 @query("j6_incremental_categories", _counts("{orders}", TEXT_COLUMNS["orders"]))
 def _(t):
-    return J.merged_categories(_scanned(t, "orders")[1])
+    return _scanned(t, "orders").merged("categories")
 
 
 @query(
@@ -152,5 +155,72 @@ def _(t):
           FROM ({_NULLS})))""",
 )
 def _(t):
-    nulls, categories = _scanned(t, "fx_nulls")
-    return J.merged_scan(nulls, categories, "fx_nulls")
+    return _scanned(t, "fx_nulls").roll_up("fx_nulls").drop("duplicate_count")
+
+
+@query(
+    "j6_incremental_scan_lineitem",
+    _scan_sql("{lineitem}", TABLE_COLUMNS["lineitem"], TEXT_COLUMNS["lineitem"], PRIMARY_KEYS["lineitem"]),
+)
+def _(t):
+    """Scanned batch by batch, the table gives the row of the full scan."""
+    return _scanned(t, "lineitem", PRIMARY_KEYS["lineitem"], 3).roll_up("lineitem")
+
+
+@query("j6_incremental_scan_repeated_keys", _scan_sql("{fx_null_keys}", ["a", "b"], [], ["a", "b"]))
+def _(t):
+    """Keys that repeat within and across batches, with NULL parts."""
+    return _scanned(t, "fx_null_keys", ["a", "b"], 2).roll_up("fx_null_keys")
+
+
+_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+@query(
+    "j6_incremental_scan_not_null",
+    _scan_sql("{fx_null_events}", _EVENT_COLUMNS, ["event_type"], ["user_id"], ("user_id", "ts")),
+)
+def _(t):
+    """Declared NOT NULL columns score by rows, and NULLs of a one-column key count as surplus."""
+    return _scanned(t, "fx_null_events", ["user_id"]).roll_up("fx_null_events", ["user_id", "ts"])
+
+
+# --- categorical results of a stream ------------------------------------------------------
+
+_DAYS = """SELECT window_start, window_start + INTERVAL '1' DAY AS window_end, label, cnt,
+      CAST(sum(cnt) OVER (PARTITION BY window_start) AS BIGINT) AS run_total
+    FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, CASE WHEN event_id % 250 = 0 THEN 'rare'
+            WHEN event_id % 40 = 1 THEN 'minor' ELSE event_type END AS label, count(*) AS cnt FROM {events} GROUP BY 1, 2)"""
+
+
+def _labelled(events):
+    rare = F.when(F.col("event_id") % 250 == 0, "rare").when(F.col("event_id") % 40 == 1, "minor")
+    return events.withColumn("label", rare.otherwise(F.col("event_type")))
+
+
+def _run_categories(t):
+    results, anomalies, checkpoint = J.paths(t.spark, "shares", "results", "anomalies", "checkpoint")
+    J.categorical_history(_labelled(event_stream(t)), "label", "1 day", results, anomalies, checkpoint)
+    return t.spark.read.parquet(results).drop("batch"), t.spark.read.parquet(anomalies).drop("batch")
+
+
+@query("j2_category_results_batch", _DAYS)
+def _(t):
+    return J.category_shares(J.with_event_time(_labelled(t.events)), "label", "1 day")
+
+
+@query("j2_category_results_stream", f"SELECT * FROM ({_DAYS}) WHERE {CLOSED}")
+def _(t):
+    """Counts per label and totals per day, both aggregated and joined in the stream."""
+    return _run_categories(t)[0]
+
+
+@query(
+    "j2_categorical_anomaly_stream",
+    f"""SELECT window_end AS detected_at, 'threshold_exceeded' AS anomaly_type, 5.0E0 AS threshold_value,
+          CAST(count(*) AS DOUBLE) AS actual_value
+        FROM ({_DAYS}) WHERE {CLOSED} AND cnt >= 1 AND cnt * 20 < run_total GROUP BY window_end""",
+)
+def _(t):
+    """Days with rare categories, found in the stream as T7 finds them in a batch."""
+    return _run_categories(t)[1]
