@@ -69,3 +69,38 @@ def test_nothing_asked_or_stored(spark):
     some = S.build_index(spark.createDataFrame([(1, "a a B")], "doc_id long, text string"))
     assert sorted(map(tuple, some.collect())) == [(1, 3, "a", 2), (1, 3, "b", 1)]
     assert [r["doc_id"] for r in S.KeywordSearch(some, asked, 3).pruned().collect()] == [1]
+
+
+# --- vectors ------------------------------------------------------------------------------
+
+
+def clustered(spark, seed, n, dims=8, clusters=30):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(clusters)]
+    rows = [(i, [x + rng.gauss(0, 0.03) for x in rng.choice(centres)]) for i in range(n)]
+    rows += [(n, None), (n + 1, [0.0] * dims), (n + 2, [float("nan")] + [1.0] * (dims - 1)), (n + 3, [1.0] * 3), (n + 4, [2.0] * 3)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("k", [1, 60])
+def test_grouped_vectors_give_all_neighbours(spark, k, monkeypatch):
+    vectors = clustered(spark, 3, 600)
+    asked = vectors.where("vec_id % 4 = 0 or vec_id >= 600").withColumnRenamed("vec_id", "query_id")
+    search = S.VectorSearch(vectors, asked, k, "vec_id", "embedding")
+    want = sorted(map(tuple, search.scanned().collect()))
+    assert sorted(map(tuple, search.grouped(search.pivot_count()).collect())) == want
+    monkeypatch.setattr(S, "ROWS_PER_TASK", 20)
+    assert sorted(map(tuple, search.grouped(5).collect())) == want
+    monkeypatch.setattr(S, "QUERIES_PER_PIVOT", 0)
+    rows = S.vector_search(vectors, asked, k).collect()
+    assert len(rows) == len(want) and {r["query_id"] for r in rows} == {*range(0, 600, 4), 603, 604}
+
+
+def test_most_groups_are_skipped(spark):
+    vectors = clustered(spark, 4, 1500)
+    asked = vectors.where("vec_id < 300").withColumnRenamed("vec_id", "query_id")
+    search = S.VectorSearch(vectors, asked, 3, "vec_id", "embedding")
+    search.deal(40)
+    _, rest = search.plan()
+    compared = rest.agg(F.sum("n")).first()[0] + search.bounds.count()
+    assert compared < 0.25 * 300 * 1500

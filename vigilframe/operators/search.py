@@ -7,8 +7,8 @@ when it serves several searches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -341,6 +341,147 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return means.groupBy(key).agg(F.transform(items, lambda i: i["_m"]).alias(vector))
 
 
+# Stored vectors are grouped around this many of them at most; they travel with the plan.
+PIVOTS_MOST = 256
+# Grouping compares every stored vector with every pivot: it pays for this many times more queries than pivots.
+QUERIES_PER_PIVOT = 4
+# Angles are exact to far less than this.
+ANGLE_SLACK = 1e-6
+
+
+class VectorSearch:
+    """Exact cosine top ``k`` of many query vectors over stored ones.
+
+    Few queries travel with the plan and meet every stored vector where it lies. Many
+    queries meet groups instead: stored vectors are dealt to the nearest of a bounded number of
+    pivots, and each group knows the least and largest angle to its pivot. A query's angle
+    to a pivot then bounds its angle to every member (triangle inequality), so a group whose best
+    possible cosine stays below the query's k-th best so far is skipped. What remains is one
+    join on the group, both sides partitioned, large groups salted by their known size. Either
+    way gives the same rows. Vectors that are NULL, zero or not finite have no cosine, nor have pairs of different length.
+    """
+
+    def __init__(
+        self, vectors: DataFrame, queries: DataFrame, k: int, doc_id: str, vector: str, block_bytes: int = 4 << 20
+    ):
+        self.k, self.block_bytes = k, block_bytes
+        self.asked = queries.select("query_id", F.col(vector).alias("_qv"))
+        # Each distinct query vector is searched once.
+        self.queries = written(
+            self.asked.select("_qv")
+            .distinct()
+            .withColumns({"_q": F.monotonically_increasing_id(), "_qn": norm(F.col("_qv"))})
+            .where(_has_direction(F.col("_qn"))),
+            "query-vectors",
+        )
+        self.stored = (
+            vectors.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_v"))
+            .withColumn("_n", norm(F.col("_v")))
+            .where(_has_direction(F.col("_n")))
+        )
+        self.score = F.round(
+            F.try_divide(dot(F.col("_v"), F.col("_qv")), F.col("_n") * F.col("_qn")), DIGITS
+        ).alias("score")
+
+    def results(self) -> DataFrame:
+        pivots = self.pivot_count()
+        count, size = self.queries.agg(F.count(F.lit(1)), F.sum(F.size("_qv") * 8 + 32)).first()
+        few = count <= QUERIES_PER_PIVOT * pivots and (size or 0) <= self.block_bytes
+        found = self.scanned() if few else self.grouped(pivots)
+        return self.asked.join(self.queries.select("_qv", "_q"), "_qv").join(found, "_q").drop("_q", "_qv")
+
+    def pivot_count(self) -> int:
+        """About the square root of the stored vectors, as far as the pivots' bytes allow."""
+        count, longest = self.stored.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+        fitting = self.block_bytes // ((longest or 1) * 8 + 32)
+        return max(1, min(PIVOTS_MOST, fitting, math.ceil(math.sqrt(count))))
+
+    def _best(self, scored: DataFrame) -> DataFrame:
+        return top_k(scored.withColumnRenamed("_q", "query_id"), self.k).withColumnRenamed("query_id", "_q")
+
+    def scanned(self) -> DataFrame:
+        """Every stored vector against all queries, of which there are a bounded number."""
+        together = self.queries.select(F.struct("_q", "_qv", "_qn").alias("q")).agg(F.collect_list("q"))
+        pairs = self.stored.withColumn("_x", F.explode(together.scalar())).select("doc_id", "_v", "_n", "_x.*")
+        return self._best(pairs.select("doc_id", "_q", self.score).where("score is not null"))
+
+    # --- groups -------------------------------------------------------------------------
+
+    def deal(self, pivots: int) -> None:
+        """Groups of stored vectors (written), their sizes and angles, and every query's bound per group."""
+        by_length = Window.partitionBy("_d").orderBy(F.xxhash64("_v"), "doc_id")
+        chosen = written(
+            self.stored.withColumn("_d", F.size("_v"))
+            .withColumn("_g", F.row_number().over(by_length))
+            .where(F.col("_g") <= pivots)
+            .select("_d", "_g", F.col("_v").alias("_p"), F.col("_n").alias("_pn")),
+            "pivots",
+        )
+        all_pivots = chosen.select(F.struct("_d", "_g", "_p", "_pn").alias("p")).agg(F.collect_list("p")).scalar()
+
+        def angle(vector: str, length: str, p: Column) -> Column:
+            cosine = dot(F.col(vector), p["_p"]) / (F.col(length) * p["_pn"])
+            return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+        same_length = lambda vector: F.filter("_all", lambda p: p["_d"] == F.size(vector))
+        near = F.array_min(
+            F.transform(same_length("_v"), lambda p: F.struct(angle("_v", "_n", p).alias("a"), p["_g"].alias("g")))
+        )
+        dealt = (
+            self.stored.withColumn("_all", all_pivots)
+            .withColumn("_near", near)
+            .select("doc_id", "_v", "_n", F.size("_v").alias("_d"), F.col("_near.g").alias("_g"), F.col("_near.a").alias("_a"))
+        )
+        self.members = written(dealt, "vector-groups")
+        self.groups = written(
+            self.members.groupBy("_d", "_g").agg(
+                F.count(F.lit(1)).alias("n"), F.min("_a").alias("low"), F.max("_a").alias("high")
+            ),
+            "group-angles",
+        )
+        angles = self.queries.withColumn("_all", all_pivots).select(
+            "_q",
+            F.size("_qv").alias("_d"),
+            F.inline(F.transform(same_length("_qv"), lambda p: F.struct(p["_g"].alias("_g"), angle("_qv", "_qn", p).alias("_qa")))),
+        )
+        # No member is nearer to the query than the gap between the angles to the pivot.
+        gap = F.greatest(F.lit(0.0), F.col("_qa") - F.col("high"), F.col("low") - F.col("_qa")) - ANGLE_SLACK
+        bounded = angles.join(self.groups, ["_d", "_g"]).withColumn("most", F.cos(F.greatest(F.lit(0.0), gap)) + MARGIN)
+        self.bounds = written(bounded.select("_q", "_d", "_g", "n", "_qa", "most"), "query-bounds")
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """Scores of all members of the groups in (``_q``, ``_d``, ``_g``)."""
+        asked = pairs.select("_q", "_d", "_g").join(self.queries, "_q")
+        sized = self.groups.select("_d", "_g", "n")
+        largest = self.groups.agg(F.max("n")).first()[0] or 0
+        if largest > ROWS_PER_TASK:
+            met = lookup_join(self.members, asked, ["_d", "_g"], ["doc_id"], "inner", rows="n", sized=sized)
+        else:
+            met = self.members.join(asked, ["_d", "_g"])
+        return met.select("doc_id", "_q", self.score).where("score is not null")
+
+    def plan(self) -> tuple[DataFrame, DataFrame]:
+        """(scores of every query's nearest groups, (query, group) pairs that can still matter besides)."""
+        # Nearest groups first, until they hold k vectors.
+        order = Window.partitionBy("_q").orderBy("_qa", "_g")
+        ranked = self.bounds.withColumn("_before", F.sum("n").over(order) - F.col("n"))
+        ranked = written(ranked.withColumn("_first", F.col("_before") < self.k), "ranked-groups")
+        first = written(self._best(self._compared(ranked.where("_first"))), "first-neighbours")
+        least = first.groupBy("_q").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("_k"))
+        least = least.where(F.col("_k") == self.k).drop("_k")
+        rest = ranked.where("not _first").join(least, "_q", "left")
+        return first, rest.where(F.coalesce(F.col("most") >= F.col("least"), F.lit(True)))
+
+    def grouped(self, pivots: int) -> DataFrame:
+        self.deal(pivots)
+        first, rest = self.plan()
+        return self._best(first.drop("rank").unionByName(self._compared(rest)))
+
+
+def _has_direction(length: Column) -> Column:
+    return F.coalesce((length > 0) & ~F.isnan(length) & (length < float("inf")), F.lit(False))
+
+
 def vector_search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -349,39 +490,11 @@ def vector_search(
     vector: str = "embedding",
     block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """Exact cosine top-k for any number of query vectors.
+    """Exact cosine top ``k`` for any number of query vectors; see :class:`VectorSearch`.
 
-    Each distinct query vector is searched once, and its answer goes to all queries that
-    share it. Query vectors travel with the plan in blocks of about ``block_bytes``; a
-    larger query set takes more passes over the stored vectors. Those stay where they
-    are; each map task keeps its own best ``k``. Pairs without a cosine (NULL, zero, or
-    vectors of another length) have no rank; ``dimension_check`` finds such vectors.
+    Vectors that travel with the plan, be they queries or pivots, take ``block_bytes`` at most.
     """
-    asked = queries.select("query_id", F.col(vector).alias("_qv"))
-    distinct = written(
-        asked.select("_qv").distinct().withColumn("_q", F.monotonically_increasing_id()), "query-vectors"
-    )
-    size = distinct.agg(F.sum(F.greatest(F.size("_qv"), F.lit(0)) * 8 + 32)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    # The length of a stored vector is computed once, below the pairing with a block.
-    measured = vectors.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_v")).withColumn(
-        "_n", norm(F.col("_v"))
-    )
-    cosine = F.try_divide(dot(F.col("_v"), F.col("_q.v")), F.col("_n") * F.col("_q.n"))
-    found = []
-    for block in range(blocks):
-        batch = (
-            distinct.where(F.pmod("_q", F.lit(blocks)) == block)
-            .select(F.struct("_q", F.col("_qv").alias("v"), norm(F.col("_qv")).alias("n")).alias("q"))
-            .agg(F.collect_list("q").alias("qs"))
-        )
-        scored = (
-            measured.select("doc_id", "_v", "_n", F.explode(batch.scalar()).alias("_q"))
-            .select("doc_id", F.col("_q._q").alias("query_id"), F.round(cosine, DIGITS).alias("score"))
-            .where(F.col("score").isNotNull())
-        )
-        found.append(top_k(scored, k).withColumnRenamed("query_id", "_q"))
-    return asked.join(distinct, "_qv").join(reduce(DataFrame.unionByName, found), "_q").drop("_q", "_qv")
+    return VectorSearch(vectors, queries, k, doc_id, vector, block_bytes).results()
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = 10) -> DataFrame:
