@@ -69,6 +69,21 @@ def test_exact_percentiles(df, data, accuracy):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-9)
 
 
+@pytest.mark.parametrize("bracket,limit", [(0.0, 10**6), (3.0, 10)])
+def test_percentiles_of_one_key(spark, bracket, limit, monkeypatch):
+    """Brackets too narrow for the sketch, and more values in a bracket than a task should hold."""
+    monkeypatch.setattr(skew, "BRACKET", bracket)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", limit)
+    rng = np.random.default_rng(11)
+    values = np.concatenate([rng.lognormal(0, 8, 5000), -rng.lognormal(0, 8, 2000), np.zeros(500)])
+    rows = [(None if i % 9 else 1, float(v)) for i, v in enumerate(rng.permutation(values))]
+    df = spark.createDataFrame(rows, "key int, v double").repartition(6)
+    got = {r["key"]: list(r)[1:] for r in skew.exact_percentiles(df, ["key"], "v", [0.01, 0.25, 0.5, 0.997], 60).collect()}
+    for key in (None, 1):
+        want = np.quantile([v for k, v in rows if k == key], [0.01, 0.25, 0.5, 0.997])
+        np.testing.assert_allclose(got[key], want, rtol=1e-12)
+
+
 def test_percentiles_of_tiny_and_constant_groups(spark):
     rows = [(n, float(i)) for n in range(1, 12) for i in range(n)] + [(99, 5.0)] * 500
     df = spark.createDataFrame(rows, "key int, v double")

@@ -322,6 +322,10 @@ def previous_rows_stats(
     )
 
 
+# Brackets reach this many times the sketch's rank error to either side.
+BRACKET = 3.0
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], accuracy: int = 10000
 ) -> DataFrame:
@@ -330,10 +334,12 @@ def exact_percentiles(
     A mergeable sketch gives a narrow bracket around each percentile. Rows
     outside all brackets are only counted per gap between brackets (map-side
     combined); rows inside one, about ``6 / accuracy`` of the key and
-    percentile, are ranked exactly. Output: keys plus ``p0, p1, ...`` in the
-    order of ``fractions``.
+    percentile, are counted per distinct value. Those counts are ranked per key or, where a
+    key has more of them than a task should hold, over ranges of (key, value). Should a
+    sketch err beyond its bracket, all distinct values of that key are ranked instead.
+    Output: keys plus ``p0, p1, ...`` in the order of ``fractions``.
     """
-    margin = 3.0 / accuracy
+    margin = BRACKET / accuracy
     points: list[float] = []
     for p in fractions:
         points += [max(p - margin, 0.0), min(p + margin, 1.0)]
@@ -346,41 +352,54 @@ def exact_percentiles(
     highs = [F.col("_q")[2 * i + 1] for i in range(len(fractions))]
     inside = reduce(or_, [F.col("_v").between(lo, hi) for lo, hi in zip(lows, highs)])
     gap = reduce(add, [(F.col("_v") > hi).cast("int") for hi in highs])
-    counted = (
-        lookup_join(rows, sketch, keys, ["_v"], "inner", rows="_n")
-        .groupBy(
-            *keys, "_n", F.when(inside, F.col("_v")).alias("_at"), F.when(~inside, gap).alias("_gap")
-        )
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    )
-    # Groups do not overlap: ordered by their smallest value, counts add up to ranks.
-    ranked = counted.withColumn(
-        "_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_min")) - 1
-    ).withColumn("_start", F.col("_end") - F.col("_c") + 1)
-
-    def value_at(rank: Column) -> Column:
-        known = (
-            F.when(F.col("_min") == F.col("_max"), F.col("_min"))
-            .when(rank == F.col("_start"), F.col("_min"))
-            .when(rank == F.col("_end"), F.col("_max"))
-            .otherwise(F.raise_error(F.lit("percentile bracket missed; raise accuracy")).cast("double"))
-        )
-        return F.max(F.when((F.col("_start") <= rank) & (rank <= F.col("_end")), known))
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_n") - 1)
-
-    ends = ranked.groupBy(*keys, "_n").agg(
-        *[value_at(F.floor(position(p))).alias(f"_lo{i}") for i, p in enumerate(fractions)],
-        *[value_at(F.ceil(position(p))).alias(f"_hi{i}") for i, p in enumerate(fractions)],
+    sized = lookup_join(rows, sketch, keys, ["_v"], "inner", rows="_n")
+    ends = written(
+        _values_at_ranks(sized, keys, F.when(inside, F.col("_v")), F.when(~inside, gap), fractions), "percentiles"
     )
+    missed = ends.where("_missed").select(*keys)
+    if not missed.isEmpty():
+        again = null_safe_join(rows, missed.withColumn("_again", F.lit(True)), keys, "inner").drop("_again")
+        again = lookup_join(again, sketch.drop("_q"), keys, ["_v"], "inner", rows="_n")
+        whole = _values_at_ranks(again, keys, F.col("_v"), F.lit(None).cast("int"), fractions)
+        ends = ends.where("not _missed").unionByName(whole)
+    position = [F.lit(float(p)) * (F.col("_n") - 1) for p in fractions]
     return ends.select(
         *keys,
         *[
-            (
-                F.col(f"_lo{i}")
-                + (position(p) - F.floor(position(p))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-            ).alias(f"p{i}")
-            for i, p in enumerate(fractions)
+            (F.col(f"_lo{i}") + (at - F.floor(at)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"p{i}")
+            for i, at in enumerate(position)
         ],
     )
+
+
+def _values_at_ranks(
+    rows: DataFrame, keys: Sequence[str], exact: Column, gap: Column, fractions: Sequence[float]
+) -> DataFrame:
+    """Per key the values at the ranks below and above each fraction, ``_missed`` where one lies inside a gap.
+
+    ``rows`` carry the rows of their key as ``_n``; each is counted under its value ``exact``, or else its ``gap``.
+    """
+    counted = (
+        rows.groupBy(*keys, "_n", exact.alias("_at"), gap.alias("_gap"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
+    counted = written(counted, "value-counts")
+    # Groups do not overlap: ordered by their smallest value, counts add up to ranks.
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"))
+    if (sizes.agg(F.max("_s")).first()[0] or 0) > ROWS_PER_TASK:
+        running = scan_ranges(cut_ranges(counted, keys, ["_min"]), keys, ["_min"], {"_upto": ("sum", "_c")})
+    else:
+        running = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_min")))
+    ranked = running.withColumn("_end", F.col("_upto") - 1).withColumn("_start", F.col("_upto") - F.col("_c"))
+    known = (
+        lambda rank: F.when((F.col("_min") == F.col("_max")) | (rank == F.col("_start")), F.col("_min"))
+        .when(rank == F.col("_end"), F.col("_max"))
+    )
+    values, unknown = [], []
+    for i, p in enumerate(fractions):
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        for name, rank in ((f"_lo{i}", F.floor(at)), (f"_hi{i}", F.ceil(at))):
+            here = (F.col("_start") <= rank) & (rank <= F.col("_end"))
+            values.append(F.max(F.when(here, known(rank))).alias(name))
+            unknown.append(F.max(here & known(rank).isNull()))
+    return ranked.groupBy(*keys, "_n").agg(*values, reduce(or_, unknown).alias("_missed"))
