@@ -6,7 +6,6 @@ moves one row per key and a hot key costs nothing extra.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,32 +64,31 @@ def category_structure(region, nation):
 def hierarchy(nodes: DataFrame) -> DataFrame:
     """Depth and path of every node of a parent-child table (id, parent_id, name).
 
-    One join per level until a level is empty; each level is written once, so none is
-    computed again for the next. A node no root leads to has neither depth nor path:
-    its parent is absent, or it hangs on a cycle. A node listed under several parents
-    has a row for each path.
+    Every row holds a stretch of path, from its node up to just below ``_top``. Each round joins
+    it to the stretches of ``_top`` itself, which doubles its length, so the rounds grow with
+    the logarithm of the depth. Stretches that would meet a node twice go, so a cycle ends
+    by itself. A node no root leads to has neither depth nor path: its parent is absent, or it
+    hangs on a cycle. A node listed under several parents has a row for each path.
     """
-    level = nodes.where(F.col("parent_id").isNull()).select(
-        "id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("id").alias("_seen")
+    rows = nodes.select(
+        "id", F.col("parent_id").alias("_top"), F.array("id").alias("_seen"), F.array("name").alias("_names")
     )
-    edges = nodes.where(F.col("parent_id").isNotNull())
-    out = []
-    while not out or not level.isEmpty():
-        level = written(level, "level")
-        out.append(level)
-        up = level.select(F.col("id").alias("parent_id"), "depth", "path", "_seen")
-        level = (
-            edges.join(up, "parent_id")
-            .where(~F.array_contains("_seen", F.col("id")))
+    rows = written(rows, "paths")
+    while not (unfinished := rows.where("_top is not null")).isEmpty():
+        above = rows.select(
+            F.col("id").alias("_top"), F.col("_top").alias("_next"), F.col("_seen").alias("_before"), F.col("_names").alias("_named")
+        )
+        longer = (
+            unfinished.join(above, "_top")
+            .where(~F.arrays_overlap("_seen", "_before"))
             .select(
-                "id",
-                (F.col("depth") + 1).alias("depth"),
-                F.concat_ws("/", "path", "name").alias("path"),
-                F.array_append("_seen", F.col("id")).alias("_seen"),
+                "id", F.col("_next").alias("_top"), F.concat("_before", "_seen").alias("_seen"), F.concat("_named", "_names").alias("_names")
             )
         )
-    found = reduce(DataFrame.unionByName, out).drop("_seen")
-    lost = edges.join(found, "id", "left_anti").select(
+        rows = written(rows.where("_top is null").unionByName(longer), "paths")
+    path = F.when(F.size("_seen") == 1, F.col("_names")[0]).otherwise(F.array_join("_names", "/"))
+    found = rows.select("id", (F.size("_seen") - 1).alias("depth"), path.alias("path"))
+    lost = nodes.where("parent_id is not null").join(found, "id", "left_anti").select(
         "id", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("path")
     )
     return found.unionByName(lost)
