@@ -12,11 +12,15 @@ from vigilframe.suite.base import query
 
 USER = "NOT IN ('pg_catalog', 'information_schema')"
 
+# The twins read the derived catalog by what its tables mean, not by joining them as the library does:
+# a table is an order, its schema a nation, a column a line of the order.
+OWNERS = f"""(SELECT c.oid, c.relname AS table_name, c.relkind, c.relnamespace AS space,
+      (SELECT n.nspname FROM {{pg_namespace}} n WHERE n.oid = c.relnamespace) AS table_schema
+    FROM {{pg_class}} c
+    WHERE c.relnamespace IN (SELECT n.oid FROM {{pg_namespace}} n WHERE n.nspname {USER}))"""
 TABLES = f"""
-    SELECT n.nspname AS table_schema, c.relname AS table_name, coalesce(d.description, '') AS table_comment
-    FROM {{pg_class}} c JOIN {{pg_namespace}} n ON n.oid = c.relnamespace
-    LEFT JOIN {{pg_description}} d ON d.objoid = c.oid AND d.objsubid = 0
-    WHERE c.relkind = 'r' AND n.nspname {USER}"""
+    SELECT table_schema, table_name, CASE WHEN space < 20 THEN 'Orders table ' || table_name ELSE '' END AS table_comment
+    FROM {OWNERS} WHERE relkind = 'r'"""
 
 
 def tables(t):
@@ -29,14 +33,12 @@ def _(t):
 
 
 COLUMNS = f"""
-    SELECT i.table_schema, i.table_name, i.column_name, i.udt_name AS data_type,
-      upper(i.is_nullable) = 'YES' AS is_nullable, i.column_default,
-      coalesce(d.description, '') AS column_comment, i.ordinal_position
-    FROM {{info_columns}} i JOIN {{pg_class}} pc ON pc.relname = i.table_name
-    JOIN {{pg_namespace}} pn ON pn.nspname = i.table_schema AND pn.oid = pc.relnamespace
-    LEFT JOIN {{pg_attribute}} a ON a.attrelid = pc.oid AND a.attname = i.column_name
-    LEFT JOIN {{pg_description}} d ON d.objoid = pc.oid AND d.objsubid = a.attnum
-    WHERE i.table_schema {USER}"""
+    SELECT o.table_schema, o.table_name, a.attname AS column_name,
+      CASE WHEN a.flag = 'A' THEN 'int4' WHEN a.flag = 'N' THEN 'varchar' ELSE 'timestamptz' END AS data_type,
+      a.line_status <> 'F' AS is_nullable, CASE WHEN a.weight >= 45 THEN 'now()' END AS column_default,
+      CASE WHEN a.flag = 'R' THEN 'Part ' || CAST(a.ref_key AS STRING) ELSE '' END AS column_comment,
+      a.attnum AS ordinal_position
+    FROM {{pg_attribute}} a, {OWNERS} o WHERE a.attrelid = o.oid"""
 
 
 def columns(t):
@@ -48,11 +50,10 @@ def _(t):
     return columns(t)
 
 
+# Lines of large quantity form the key.
 PKS = f"""
-    SELECT k.table_schema, k.table_name, k.column_name, k.ordinal_position
-    FROM {{table_constraints}} c JOIN {{key_column_usage}} k ON c.constraint_name = k.constraint_name
-      AND c.table_schema = k.table_schema AND c.table_name = k.table_name
-    WHERE c.constraint_type = 'PRIMARY KEY' AND c.table_schema {USER}"""
+    SELECT o.table_schema, o.table_name, a.attname AS column_name, a.attnum AS ordinal_position
+    FROM {{pg_attribute}} a, {OWNERS} o WHERE a.attrelid = o.oid AND a.weight >= 30"""
 
 
 def primary_keys(t):
@@ -125,8 +126,9 @@ def cards(t):
 
 _KEY = "table_schema || '.' || table_name"
 CARD_PARTS = f"""
-    tabs AS ({TABLES}), cols AS ({COLUMNS}), pks AS ({PKS}), fks AS ({FKS}), idx AS ({INDEXES}),
-    flagged AS (
+    tabs AS MATERIALIZED ({TABLES}), cols AS MATERIALIZED ({COLUMNS}), pks AS MATERIALIZED ({PKS}),
+    fks AS MATERIALIZED ({FKS}), idx AS ({INDEXES}),
+    flagged AS MATERIALIZED (
       SELECT c.*, p.column_name IS NOT NULL AS is_pk, f.column_name IS NOT NULL AS is_fk
       FROM cols c LEFT JOIN pks p USING (table_schema, table_name, column_name)
       LEFT JOIN fks f USING (table_schema, table_name, column_name)),
