@@ -214,6 +214,12 @@ DERIVED: dict[str, str] = {
                CASE WHEN event_type IN ('error', 'signup') THEN NULL
                     WHEN event_type = 'click' AND value < 1 THEN NULL ELSE value END AS result_value
         FROM {{events}}""",
+    # Some runs report a text instead of a number.
+    "fx_alarm_history": """
+        SELECT tenant_id, metric_id, history_id, executed_at,
+               CASE WHEN result_value > 30 THEN '이상' ELSE result_raw END AS result_raw,
+               CASE WHEN result_value > 30 THEN NULL ELSE result_value END AS result_value
+        FROM {fx_history}""",
     "fx_anomalies": f"""
         SELECT {_tenant('user_id')} AS tenant_id,
                'a' || CAST(event_id AS STRING) AS anomaly_id,

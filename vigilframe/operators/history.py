@@ -35,20 +35,24 @@ def newest(history: DataFrame, n: int = 24, keys: Sequence[str] = KEYS) -> DataF
     return newest_per_key(history, keys, [F.desc("executed_at"), F.desc("history_id")], n, "run_no")
 
 
-def latest_and_previous(history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def latest_and_previous(
+    history: DataFrame, keys: Sequence[str] = KEYS, raw_text: str | None = None
+) -> DataFrame:
     """Latest and previous value per metric with the change between them.
 
-    A missing latest or previous value is not skipped: the change is NULL then.
+    ``raw_text`` names the column of unread results; the latest is kept as ``latest_raw``. A missing latest or previous value is not skipped: the change is NULL then.
     """
     two = newest(history, 2, keys)
 
     def pick(n: int, col: str) -> Column:
         return F.max(F.when(F.col("run_no") == n, F.col(col)))
 
+    raw = [pick(1, text).alias("latest_raw") for text in ([raw_text] if raw_text else [])]
     paired = two.groupBy(*keys).agg(
         pick(1, "executed_at").alias("latest_executed_at"),
         pick(1, "result_value").alias("latest_value"),
         pick(2, "result_value").alias("previous_value"),
+        *raw,
     )
     return paired.withColumn(
         "change_rate", percent_change(F.col("latest_value"), F.col("previous_value"))

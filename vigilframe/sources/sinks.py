@@ -47,6 +47,11 @@ def card_index(cards: DataFrame) -> DataFrame:
     return cards.select("id", "name", "schema", "table", F.size("columns").alias("num_columns"))
 
 
+def write_card_index(cards: DataFrame, path: str) -> None:
+    """The summary as JSON lines beside the cards."""
+    card_index(cards).write.mode("overwrite").json(path)
+
+
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Latest-wins merge: per key the row with the highest version; on a tie the update."""
     rest = [c for c in base.columns if c not in keys]

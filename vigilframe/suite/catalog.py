@@ -205,10 +205,12 @@ def _(t):
           CAST(num_columns AS INT) AS num_columns FROM card""",
 )
 def _(t):
-    """Cards written as JSON, read back (A5), and summarised."""
-    path = new_table_path(t.spark, "cards")
-    sinks.write_cards(cards(t), path)
-    index = sinks.card_index(readers.cards(t.spark, path))
+    """Cards written as JSON and read back (A5); their summary written beside them and read back."""
+    root = new_table_path(t.spark, "cards")
+    sinks.write_cards(cards(t), f"{root}/cards")
+    stored = readers.cards(t.spark, f"{root}/cards")
+    sinks.write_card_index(stored, f"{root}/index")
+    index = t.spark.read.schema(sinks.card_index(stored).schema).json(f"{root}/index")
     return index.withColumn("num_columns", F.greatest("num_columns", F.lit(0)))
 
 

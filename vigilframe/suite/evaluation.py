@@ -289,6 +289,24 @@ def _(t):
     )
 
 
+@query(
+    "t12_change_alert_raw",
+    """SELECT tenant_id, metric_id, CASE WHEN raw1 = '이상' THEN 'error' WHEN round((v1 - v2) / nullif(v2, 0) * 100, 1) < -20
+          OR round((v1 - v2) / nullif(v2, 0) * 100, 1) > 50 THEN 'warning' ELSE 'normal' END AS alert
+       FROM (SELECT tenant_id, metric_id, max(result_raw) FILTER (WHERE rn = 1) AS raw1,
+               max(result_value) FILTER (WHERE rn = 1) AS v1, max(result_value) FILTER (WHERE rn = 2) AS v2
+             FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_id
+                     ORDER BY executed_at DESC, history_id DESC) AS rn FROM {fx_alarm_history})
+             GROUP BY tenant_id, metric_id)""",
+)
+def _(t):
+    """Alerts from the results as they were read: the alarm text is an error whatever the change."""
+    pairs = latest_and_previous(t.fx_alarm_history, raw_text="result_raw")
+    return pairs.select(
+        "tenant_id", "metric_id", E.change_alert(F.col("change_rate"), F.col("latest_raw")).alias("alert")
+    )
+
+
 @query(
     "t14_latest_category_share",
     """WITH cats AS (SELECT tenant_id, metric_id, history_id, executed_at,

@@ -144,6 +144,25 @@ def _(t):
     )
 
 
+@query(
+    "d5_duplicate_documents",
+    """SELECT text, lang, source, n_chars, count(*) AS finding_count FROM {documents}
+       GROUP BY text, lang, source, n_chars HAVING count(*) > 1""",
+)
+def _(t):
+    """Documents equal in every column but their id."""
+    return quality.duplicate_row_groups(t.documents.drop("doc_id"))
+
+
+@query(
+    "d5_duplicate_rows_whole",
+    "SELECT a, b, count(*) AS finding_count FROM {fx_null_keys} GROUP BY a, b HAVING count(*) > 1",
+)
+def _(t):
+    """All columns of a table, NULLs in any of them."""
+    return quality.duplicate_row_groups(t.fx_null_keys)
+
+
 for _table in ("lineitem", "orders", "part", "events", "documents"):
 
     def _register(table=_table):

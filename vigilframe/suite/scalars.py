@@ -136,6 +136,16 @@ def _(t):
     )
 
 
+@query(
+    "h5_marked_text",
+    """SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_extract(text, 'the([^\n]*)', 1), '|'),
+         lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM {documents}""",
+)
+def _(t):
+    """What follows the first marker on its line, searched in the whole texts."""
+    return t.documents.select("doc_id", F.array_join(scalars.marked_list(F.col("text"), "the"), "|").alias("items"))
+
+
 @query(
     "h6_contains_append",
     """SELECT doc_id, contains(text, 'the') AS has_term,
@@ -230,6 +240,23 @@ def _(t):
     ).where(F.col("meaning").isNotNull())
 
 
+@query(
+    "h17_map_entries",
+    """SELECT x.name, x.column_name, x.meaning, len(x.names) AS entries
+       FROM (SELECT name, column_name, meaning, list(column_name) OVER (PARTITION BY name) AS names FROM {context_columns}) x
+       JOIN {context_tables} t ON t.name = x.name""",
+)
+def _(t):
+    """Every name of every table's map, looked up in it."""
+    known = context(t).where(F.col("column_meanings").isNotNull())
+    found = known.select(
+        "name", "column_meanings", F.explode(F.map_keys("column_meanings")).alias("column_name"),
+        F.size("column_meanings").cast("bigint").alias("entries"),
+    )
+    meaning = F.try_element_at("column_meanings", F.col("column_name"))
+    return found.select("name", "column_name", meaning.alias("meaning"), "entries")
+
+
 @query(
     "h19_truthy_default",
     """SELECT page_id, CASE WHEN nullif(regexp_extract(url, 'ref=([a-z]*)', 1), '') IS NOT NULL
