@@ -14,6 +14,7 @@ import os
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ MIN_CHUNK = 64
 # A worker keeps ids of this many bytes of chunks, oldest out first, and of the words of
 # two generations of this size. What was dropped is encoded again when it is met again.
 CHUNK_STORE = 24 << 20
-WORD_STORE = 100_000
+WORD_STORE = 1_000_000
 # The white space that bytes.split() knows; no token spans it.
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -84,8 +85,9 @@ class Encoder:
         # Ids that end a run of letters or signs, in vocabularies that mark it.
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.ends = np.array([n.endswith("</w>") for n in names], bool)
-        self.words: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        # Ids of a word as packed 32-bit integers, so those of many words are joined in one step.
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.chunks: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.held = 0
 
@@ -110,30 +112,38 @@ class Encoder:
 
     def _encode(self, fresh: list[bytes]) -> None:
         """Ids of words, by the library."""
-        simple = [w for w in fresh if _ONE_RUN.fullmatch(w)] if self.ends.any() else []
-        rest = [w for w in fresh if not _ONE_RUN.fullmatch(w)] if simple else fresh
-        for i in range(0, len(simple), CALL_WORDS):
-            part = simple[i : i + CALL_WORDS]
-            ids = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        simple, rest = [], fresh
+        if self.ends.any():
+            rest, match = [], _ONE_RUN.fullmatch
+            for w in fresh:
+                (simple if match(w) else rest).append(w)
+        # Words of one run are encoded many at a time; the ids that end a run part them again.
+        parts = [simple[i : i + CALL_WORDS] for i in range(0, len(simple), CALL_WORDS)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, found):
+            ids = np.array(encoding.ids, np.uint32)
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(part):
-                self.words.update((w, ids[a:b]) for w, a, b in zip(part, [0, *stops], stops))
+                packed = ids.tobytes()
+                self.words.update((w, packed[a:b]) for w, a, b in zip(part, [0, *stops], stops))
             else:
                 rest = rest + part
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        self.words.update(zip(rest, (e.ids for e in found)))
+        self.words.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(rest, found))
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of a stretch of text; ASCII white space separates words and has no tokens."""
-        words = split(data)
+        return self._ids(split(data)).tolist()
+
+    def _ids(self, words: list[bytes]) -> np.ndarray:
         try:
-            return [i for w in words for i in self.words[w]]
+            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
         except KeyError:
             self._learn(set(words))
-            return [i for w in words for i in self.words[w]]
+            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
 
-    def _store(self, chunk: bytes) -> np.ndarray:
-        ids = np.array(self.piece(chunk), np.uint32)
+    def _store(self, chunk: bytes, words: list[bytes]) -> np.ndarray:
+        ids = self._ids(words)
         self.chunks[chunk] = ids
         self.held += len(chunk) + ids.nbytes
         while self.held > CHUNK_STORE:
@@ -145,14 +155,15 @@ class Encoder:
         """Ids of each text."""
         ends = [cuts(t) for t in texts]
         parts = [[t[a:b] for a, b in zip([0, *e], e)] for t, e in zip(texts, ends)]
-        fresh = {c for p in parts for c in p if c not in self.chunks}
-        self._learn({w for c in fresh for w in split(c)})
+        fresh = {c: split(c) for c in {c for p in parts for c in p if c not in self.chunks}}
+        self._learn(set(chain.from_iterable(fresh.values())))
         for text, chunks, stops in zip(texts, parts, ends):
             out, begin = [], 0
             for chunk, stop in zip(chunks, stops):
                 ids = self.chunks.get(chunk)
                 if ids is None:
-                    ids = self._store(chunk)
+                    # A chunk that was held may have been dropped meanwhile.
+                    ids = self._store(chunk, fresh.get(chunk) or split(chunk))
                 else:
                     self.chunks.move_to_end(chunk)
                 self._join(text, out, ids, begin, stop)
