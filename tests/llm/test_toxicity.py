@@ -97,3 +97,25 @@ def test_held_out_ranking(spark):
     assert auc(rows["score"].to_numpy(), rows["toxic"].to_numpy()) > 0.7
     clean = rows[rows["toxic"] == 0]
     assert clean["predicted"].mean() < 0.02
+
+
+def test_terms_left_out_are_in_no_strong_pair(spark, monkeypatch):
+    """The bound drops most terms, and no pair that the whole test finds."""
+    rng = np.random.default_rng(12)
+    n = 4000
+    lists = [np.unique(rng.integers(0, 40_000, rng.integers(5, 40))) for _ in range(n)]
+    one, two = rng.random(n) < 0.3, rng.random(n) < 0.3
+    held = [[t for t, h in ((40_001, a), (40_002, b)) if h] for a, b in zip(one, two)]
+    lists = [np.append(x, h).astype(np.int64) for x, h in zip(lists, held)]
+    labels = (one == two).astype(float)
+    terms, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+    kept = []
+    rule = T.may_pair
+    monkeypatch.setattr(T, "may_pair", lambda *a: kept.append(rule(*a)) or kept[-1])
+    some = T.strong_pairs(spark, terms, counts, labels)
+    monkeypatch.setattr(T, "may_pair", lambda numbers, *a: np.ones(numbers.max() + 1, bool))
+    every = T.strong_pairs(spark, terms, counts, labels)
+    assert kept[0].mean() < 0.5
+    assert (40_001, 40_002) in set(zip(every["a"], every["b"]))
+    order = ["a", "b"]
+    assert some.sort_values(order).to_numpy().tolist() == every.sort_values(order).to_numpy().tolist()

@@ -163,11 +163,33 @@ def pair_sums(first: int, last: int, n_terms: int, terms, counts, postings, boun
     return [x.reshape(last - first, n_terms) for x in sums]
 
 
+def may_pair(numbers: np.ndarray, text: np.ndarray, residual: np.ndarray, variance: np.ndarray, limit: float) -> np.ndarray:
+    """False for every term of which no pair can score above ``limit``; exact, never an estimate.
+
+    A pair's score is below sqrt(3 |T|). Its T is the residuals' sum over the shared texts, at most the
+    absolute residuals of either term, less the shared variance times what each term does alone. The
+    shared variance is at most the smaller one of the two terms: for its own part that gives the term's
+    own residual sum, for the other's the largest residual sum among terms of less
+    variance, or its own variance times the largest such shift among terms of more.
+    """
+    own = np.bincount(numbers, variance[text])
+    sums = np.abs(np.bincount(numbers, residual[text]))
+    order = np.argsort(own, kind="stable")
+    lesser = np.maximum.accumulate(sums[order])
+    greater = np.maximum.accumulate((sums / own)[order][::-1])[::-1]
+    other = np.empty(len(own))
+    other[order] = np.maximum(lesser, own[order] * np.append(greater[1:], 0.0))
+    most = np.bincount(numbers, np.abs(residual[text])) + sums + other
+    # A little slack for rounding keeps what lies at the limit.
+    return 3 * most * (1 + 1e-9) >= limit * limit
+
+
 def strong_pairs(spark: SparkSession, terms: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
     """(a, b, strength): all pairs of terms that shift the logit beyond what the terms do alone.
 
-    Every pair of every row is counted, by ranges of terms in the workers. A pair counts
-    if Bernstein's bound on its residuals' sum leaves no such pair by chance.
+    A pair counts if Bernstein's bound on its residuals' sum leaves no such pair by chance.
+    Terms whose support rules that out (``may_pair``) are left out; every pair of the others in
+    every row is counted, by ranges of terms in the workers.
     """
     known, numbers = np.unique(terms, return_inverse=True)
     if not len(known):
@@ -176,13 +198,20 @@ def strong_pairs(spark: SparkSession, terms: np.ndarray, counts: np.ndarray, lab
     n_terms = len(known)
     text = np.repeat(np.arange(len(counts)), counts)
     alone = np.bincount(numbers, residual[text]) / np.bincount(numbers, variance[text])
+    limit = np.sqrt(2 * np.log(max(2, n_terms * (n_terms - 1) / 2))) + 0.5
+    able = may_pair(numbers, text, residual, variance, limit)
+    here = able[numbers]
+    counts = np.bincount(text[here], minlength=len(counts))
+    numbers = (np.cumsum(able) - 1)[numbers[here]]
+    known, alone, n_terms = known[able], alone[able], int(able.sum())
+    if not n_terms:
+        return pd.DataFrame({"a": [], "b": [], "strength": []}).astype("int64")
     bounds = np.append(0, np.cumsum(np.bincount(numbers, minlength=n_terms)))
     postings = np.argsort(numbers, kind="stable").astype(np.int32)
     shared = spark.sparkContext.broadcast(
         (numbers.astype(np.int32), counts, postings, bounds, [residual, variance], alone)
     )
     step = max(1, PAIR_CELLS // n_terms)
-    limit = np.sqrt(2 * np.log(max(2, n_terms * (n_terms - 1) / 2))) + 0.5
 
     def test(batches):
         numbers, counts, postings, bounds, values, alone = shared.value
