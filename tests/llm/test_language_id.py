@@ -78,6 +78,55 @@ def test_edges(edges, clashing, nothing):
     assert {r["lang_pred"] for r in lid.predict(edges, None, ["doc_id"]).collect()} == {"und"}
 
 
+def random_words(rng, letters, words, length):
+    return " ".join("".join(rng.choice(list(letters), length)) for _ in range(words))
+
+
+def test_gibberish_goes_and_texts_with_keys_stay(spark):
+    """Random strings go, labelled or not, copied or not; short clean texts that hold keys or numbers stay."""
+    documents = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    lower, alnum = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = [random_words(rng, alnum, 1, 400) for _ in range(50)]
+    noise += [random_words(rng, lower, 1, 60) for _ in range(20)] + [random_words(rng, lower, 12, 5) for _ in range(20)]
+    clean = [r["text"] for r in documents.where("lang = 'en'").limit(60).collect()]
+    short = [" ".join(t.split()[:4]) for t in clean if t]
+    keyed = [f"{t} token = {random_words(rng, alnum + '0123456789' * 5, 1, 40)}7" for t in short]
+    base = documents.select("doc_id", "text", "lang")
+    rows = [(10**6 + i, t, "en" if i % 2 else None) for i, t in enumerate(noise)]
+    rows += [(r[0] + 10**3, *r[1:]) for r in rows] + [(2 * 10**6 + i, t, "en") for i, t in enumerate(keyed)]
+    kept = {r["doc_id"] for r in lid.accepted(base.union(spark.createDataFrame(rows, base.schema))).collect()}
+    assert not [i for i in range(len(noise)) if {10**6 + i, 10**6 + i + 1000} & kept]
+    assert all(2 * 10**6 + i in kept for i in range(len(keyed)))
+    lettered = {r["doc_id"] for r in base.where(base["text"].rlike(r"\p{L}")).collect()}
+    assert lettered <= kept
+
+
+def test_counts_of_shared_paths(spark):
+    rows = [("aaaab", "x"), ("aaaab", "x"), ("aaaac", "x"), ("aaaac", "y"), ("", "x"), (None, "x"), ("aaaac", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = {(r["lang"], r["gram"].to_bytes(4, "big").strip(b"\0").decode()): r["n"] for r in lid.count_paths(docs).collect()}
+    assert got["x", "aaaa"] == 3 and got["x", "aaab"] == 2 and got["y", "aaac"] == 1 and got["x", "a"] == 3
+    shared = {(r["lang"], r["gram"].to_bytes(4, "big").strip(b"\0").decode()): r["n"] for r in lid.count_paths(docs, True).collect()}
+    assert shared == {("x", k): 3 for k in ("a", "aa", "aaa", "aaaa")}
+
+
+def test_limits(spark):
+    schema = "lang string, lang_pred string, bits_per_byte double"
+    rows = [("a", "a", 2.0 + i / 100) for i in range(100)] + [("b", "b", 9.0)] * 4 + [("b", "a", 16.0), (None, "a", 16.0)] * 99
+    got = lid.clean_limits(spark.createDataFrame(rows, schema))
+    assert got["a"] == pytest.approx(2.5 + 4, abs=0.05) and "b" not in got and got["und"] < 8
+    assert lid.clean_limits(spark.createDataFrame(rows[:4], schema)) == {}
+
+
+def test_codes_are_left_out():
+    assert lid.without_codes(b"see key=ab12 now") == b"see  now"
+    assert lid.without_codes("été9 à é7".encode()) == "été à é".encode()
+    assert lid.without_codes(b"ab12 99") == b"ab12 99"
+    assert lid.without_codes(b"") == b""
+    assert len(lid.without_codes(b"a" * 2_000_000)) == 2_000_000
+
+
 def test_held_out_accuracy(spark, documents):
     found = QUERIES["op4_language_id"](spark, DATA).join(documents.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r["held_out"]]

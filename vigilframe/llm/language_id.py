@@ -12,8 +12,12 @@ training texts, as sorted arrays: about 16 bytes per path on the driver and each
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +25,19 @@ from vigilframe.llm.common import id_bucket, keeps_columns, query, small_batches
 
 ORDER = 3
 UNKNOWN = "und"
-# A text that costs more bits a byte than this under every language is like none of them:
-# twice the cost of plain bytes, so that short texts holding keys or numbers stay.
-MAX_BITS = 16.0
+# Of this many parts of the texts, by their hash, one is kept out of the trees of ``accepted``
+# and shows what clean texts cost.
+PARTS = 10
+# A text is like no language if it costs this many times the upper spread of its language
+# (median to third quartile, LEAST_SPREAD bits a byte at least) over the median, and beyond
+# that EVIDENCE bits as a whole, so that a few odd bytes never decide.
+SPREADS, LEAST_SPREAD, EVIDENCE = 8, 0.5, 64
+# Languages with fewer texts kept out share the limit of all texts; where all are fewer, nothing
+# is known about clean texts and none is judged by its cost.
+LEAST_TEXTS = 5
+# Runs of printable ASCII that hold a digit: keys, numbers, addresses.
+_CODES = re.compile(rb"(?<![!-~])(?=[!-/:-~]*+[0-9])[!-~]++")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,25 +52,40 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], lengths
 
 
-def count_paths(docs: DataFrame) -> DataFrame:
-    """Four-gram counts per language over all texts; each task sums before the shuffle."""
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Distinct four-grams, their counts, and the least and largest checksum of the texts that hold them."""
+    grams, lengths = _grams(texts)
+    sums = np.fromiter((zlib.crc32(t) for t in texts), np.uint64, len(texts))
+    # One sort orders four-grams and, within each, the texts.
+    keyed = np.sort((grams.astype(np.uint64) << np.uint64(32)) | np.repeat(sums, lengths))
+    grams = keyed >> np.uint64(32)
+    first = np.flatnonzero(np.diff(grams, prepend=np.uint64(2**63)))
+    last = np.append(first[1:], len(keyed)) - 1
+    text = keyed & np.uint64(2**32 - 1)
+    return grams[first].astype(np.int64), last - first + 1, text[first].astype(np.int64), text[last].astype(np.int64)
+
+
+def count_paths(docs: DataFrame, shared: bool = False) -> DataFrame:
+    """Four-gram counts per language over all texts; each task sums before the shuffle.
+
+    ``shared`` leaves out what only one text holds, however often that text is there
+    (texts are told apart by their CRC-32).
+    """
 
     def count(batches):
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                found, counts = [], []
                 for _, group in text_groups([t.encode() for t in part["text"]], 4 << 20):
-                    grams, n = np.unique(_grams(group)[0], return_counts=True)
-                    found.append(grams)
-                    counts.append(n)
-                grams, where = np.unique(np.concatenate(found), return_inverse=True)
-                n = np.bincount(where, np.concatenate(counts)).astype(np.int64)
-                if len(grams):
-                    yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n})
+                    gram, n, low, high = _counted(group)
+                    yield pd.DataFrame({"lang": lang, "gram": gram, "n": n, "low": low, "high": high})
 
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    counted = rows.mapInPandas(count, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInPandas(count, "lang string, gram long, n long, low long, high long")
+    sums = [F.sum("n").alias("n")]
+    if not shared:
+        return counted.groupBy("lang", "gram").agg(*sums)
+    sums += [F.min("low").alias("low"), F.max("high").alias("high")]
+    return counted.groupBy("lang", "gram").agg(*sums).where("low < high").drop("low", "high")
 
 
 class _Tree:
@@ -121,24 +150,35 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame) -> ContextTrees | None:
+def train(docs: DataFrame, shared: bool = False) -> ContextTrees | None:
     """Trees learned from all rows with text and language; None if there are none.
 
-    The distinct four-grams of each language come to the driver with their counts, all of them.
+    The distinct four-grams of each language come to the driver with their counts, all of them
+    or those that two texts of the language share.
     """
     small_batches(docs.sparkSession)
-    paths = count_paths(docs).toPandas()
+    paths = count_paths(docs, shared).toPandas()
     if paths.empty:
         return None
     return ContextTrees(sorted(paths["lang"].unique()), paths)
 
 
-def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> DataFrame:
-    """``lang_pred``, ``score`` and ``bits_per_byte`` of every whole text, with the columns ``keep``.
+def without_codes(text: bytes) -> bytes:
+    """``text`` without words that hold a digit, or as it is if no letter would be left."""
+    left = _CODES.sub(b"", text)
+    return left if _LETTER.search(left.decode()) else text
+
 
+def predict(
+    docs: DataFrame, trees: ContextTrees | Broadcast | None, keep: list[str], codes: bool = True
+) -> DataFrame:
+    """``lang_pred``, ``score``, ``bits_per_byte`` and ``judged_bytes`` of every text, with the columns ``keep``.
+
+    Whole texts are judged, or what ``without_codes`` leaves of them unless ``codes``.
     ``score`` is the share of the best language if code lengths are read as
     likelihoods. NULL texts and texts without a letter are ``und`` with score 0, as is
-    all if nothing was learned. Ties go to the first language by name.
+    all if nothing was learned. Ties go to the first language by name. Texts of any length
+    are judged whole; repeated rows each get their row; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -146,21 +186,23 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
     kept = "text" in keep
     inputs = docs.select(*keep, has_letter.alias("_letters") if kept else F.when(has_letter, F.col("text")).alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    schema = ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([*fields, "lang_pred string, score double, bits_per_byte double, judged_bytes long"])
 
     if trees is None:
         # Nothing was learned.
         none = F.lit(None).cast("double")
         return inputs.drop("_text", "_letters").withColumns(
-            {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none}
+            {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": none, "judged_bytes": none.cast("long")}
         )
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = trees if isinstance(trees, Broadcast) else docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches):
         model = shared.value
         for batch in batches:
             found = batch["text"].where(batch.pop("_letters"), None) if kept else batch.pop("_text")
             texts = [t.encode() if t is not None else b"" for t in found]
+            if not codes:
+                texts = [without_codes(t) for t in texts]
             bits = model.bits(texts)
             best = bits.argmin(1) if len(bits) else np.zeros(0, int)
             least = bits.min(1, keepdims=True) if len(bits) else bits
@@ -171,22 +213,60 @@ def predict(docs: DataFrame, trees: ContextTrees | None, keep: list[str]) -> Dat
                 lang_pred=[UNKNOWN if e else model.langs[b] for e, b in zip(empty, best)],
                 score=np.where(empty, 0.0, share),
                 bits_per_byte=np.where(empty, np.nan, least[:, 0] / size) if len(bits) else [],
+                judged_bytes=[len(t) for t in texts],
             )
 
     return inputs.mapInPandas(score, schema)
 
 
+def clean_limits(judged: DataFrame) -> dict[str, float]:
+    """Bits a byte that a text of each language may cost, from judged texts; under ``UNKNOWN`` for others.
+
+    Only texts found to be of the language they are labelled with count. Quantiles are mergeable sketches over all rows; one row per language comes back.
+    """
+    cost = F.percentile_approx("bits_per_byte", [0.5, 0.75], 10_000)
+    found = (
+        judged.where(F.col("lang_pred") == F.col("lang"))
+        .rollup("lang_pred")
+        .agg(cost.alias("q"), F.count("bits_per_byte").alias("n"))
+        .collect()
+    )
+    limits = {
+        r["lang_pred"] or UNKNOWN: r["q"][0] + SPREADS * max(r["q"][1] - r["q"][0], LEAST_SPREAD)
+        for r in found
+        if r["n"] >= LEAST_TEXTS
+    }
+    return limits
+
+
 @keeps_columns("doc_id", "text", "lang")
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is no language: no letter, or over ``MAX_BITS`` a byte.
-
-    The trees are learned from all rows with text and ``lang``. If nothing could be
-    learned, only rows without a letter go.
+    """``docs`` without the rows whose text is no language.
+
+    Those are texts without a letter (NULL and empty ones too) and texts that cost far more
+    than clean texts of the language they are most like. Words that hold a digit are left
+    out, so keys and numbers in a clean text cost nothing; a text of nothing else is judged
+    as it is. The trees are learned from all rows with text and ``lang`` but one part in
+    ``PARTS`` by the text's hash, which sets the limit per language (``clean_limits``); copies
+    are in one part. Paths of one text alone are left out, so that no text is cheap because it
+    was learned itself. If nothing could be learned or fewer than ``LEAST_TEXTS`` texts were kept
+    out, only rows without a letter go.
+    Repeated rows share their fate; texts of any length are judged whole.
     """
-    judged = predict(docs, train(docs), docs.columns)
+    held = F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0
+    trees = train(docs.where(~held), shared=True)
+    limits = {}
+    if trees is not None:
+        trees = docs.sparkSession.sparkContext.broadcast(trees)
+        limits = clean_limits(predict(docs.where(held), trees, ["lang"], codes=False))
+    judged = predict(docs, trees, docs.columns, codes=False)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    cost = F.coalesce(F.nanvl("bits_per_byte", F.lit(0.0)), F.lit(0.0))
-    return judged.where(has_letter & (cost <= MAX_BITS))
+    if not limits:
+        return judged.where(has_letter)
+    own = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+    limit = F.coalesce(F.try_element_at(own, F.col("lang_pred")), F.lit(limits[UNKNOWN]))
+    excess = F.coalesce(F.nanvl("bits_per_byte", F.lit(0.0)) - limit, F.lit(0.0)) * F.col("judged_bytes")
+    return judged.where(has_letter & (F.coalesce(excess, F.lit(0.0)) <= EVIDENCE))
 
 
 @query("op4_language_id")
@@ -195,4 +275,4 @@ def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", id_bucket("doc_id", 3) == 1)
     trees = train(docs.where("not held_out"))
-    return predict(docs.drop("lang"), trees, ["doc_id", "held_out"])
+    return predict(docs.drop("lang"), trees, ["doc_id", "held_out"]).drop("judged_bytes")
