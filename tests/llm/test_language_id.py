@@ -107,7 +107,7 @@ def test_counts_of_shared_paths(spark):
     docs = spark.createDataFrame(rows, "text string, lang string")
     got = {(r["lang"], r["gram"].to_bytes(4, "big").strip(b"\0").decode()): r["n"] for r in lid.count_paths(docs).collect()}
     assert got["x", "aaaa"] == 3 and got["x", "aaab"] == 2 and got["y", "aaac"] == 1 and got["x", "a"] == 3
-    shared = {(r["lang"], r["gram"].to_bytes(4, "big").strip(b"\0").decode()): r["n"] for r in lid.count_paths(docs, True).collect()}
+    shared = {(r["lang"], r["gram"].to_bytes(4, "big").strip(b"\0").decode()): r["n"] for r in lid.count_paths(docs, plain=True).collect()}
     assert shared == {("x", k): 3 for k in ("a", "aa", "aaa", "aaaa")}
 
 
@@ -119,12 +119,12 @@ def test_limits(spark):
     assert lid.clean_limits(spark.createDataFrame(rows[:4], schema)) == {}
 
 
-def test_codes_are_left_out():
-    assert lid.without_codes(b"see key=ab12 now") == b"see  now"
-    assert lid.without_codes("été9 à é7".encode()) == "été à é".encode()
-    assert lid.without_codes(b"ab12 99") == b"ab12 99"
-    assert lid.without_codes(b"") == b""
-    assert len(lid.without_codes(b"a" * 2_000_000)) == 2_000_000
+def test_letters():
+    assert lid.letters("See key=ab12 NOW!! (été9)") == "see now été"
+    assert lid.letters("ÉTÉ\u00a09 à%%% é7") == "été à é"
+    assert lid.letters("Ab12 99") == "ab12 99"
+    assert lid.letters("") == ""
+    assert len(lid.letters("a" * 2_000_000)) == 2_000_000
 
 
 def test_held_out_accuracy(spark, documents):

@@ -36,8 +36,8 @@ SPREADS, LEAST_SPREAD, EVIDENCE = 8, 0.5, 64
 # is known about clean texts and none is judged by its cost.
 LEAST_TEXTS = 5
 # Runs of printable ASCII that hold a digit: keys, numbers, addresses.
-_CODES = re.compile(rb"(?<![!-~])(?=[!-/:-~]*+[0-9])[!-~]++")
-_LETTER = re.compile(r"[^\W\d_]")
+_CODES = re.compile(r"(?<![!-~])(?=[!-/:-~]*+[0-9])[!-~]++")
+_NO_LETTERS = re.compile(r"[\W\d_]++")
 
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +52,15 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], lengths
 
 
+def letters(text: str) -> str:
+    """Lower-case words of ``text`` without marks and without words that hold a digit.
+
+    A text of nothing else stays as it is, in lower case.
+    """
+    left = _NO_LETTERS.sub(" ", _CODES.sub(" ", text)).strip()
+    return (left or text).lower()
+
+
 def _counted(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Distinct four-grams, their counts, and the least and largest checksum of the texts that hold them."""
     grams, lengths = _grams(texts)
@@ -65,24 +74,24 @@ def _counted(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return grams[first].astype(np.int64), last - first + 1, text[first].astype(np.int64), text[last].astype(np.int64)
 
 
-def count_paths(docs: DataFrame, shared: bool = False) -> DataFrame:
+def count_paths(docs: DataFrame, plain: bool = False) -> DataFrame:
     """Four-gram counts per language over all texts; each task sums before the shuffle.
 
-    ``shared`` leaves out what only one text holds, however often that text is there
-    (texts are told apart by their CRC-32).
+    ``plain`` counts the letters of texts and leaves out what only one text holds, however
+    often that text is there (texts are told apart by their CRC-32).
     """
 
     def count(batches):
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                for _, group in text_groups([t.encode() for t in part["text"]], 4 << 20):
+                for _, group in text_groups([(letters(t) if plain else t).encode() for t in part["text"]], 4 << 20):
                     gram, n, low, high = _counted(group)
                     yield pd.DataFrame({"lang": lang, "gram": gram, "n": n, "low": low, "high": high})
 
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
     counted = rows.mapInPandas(count, "lang string, gram long, n long, low long, high long")
     sums = [F.sum("n").alias("n")]
-    if not shared:
+    if not plain:
         return counted.groupBy("lang", "gram").agg(*sums)
     sums += [F.min("low").alias("low"), F.max("high").alias("high")]
     return counted.groupBy("lang", "gram").agg(*sums).where("low < high").drop("low", "high")
@@ -150,31 +159,25 @@ class ContextTrees:
         return out
 
 
-def train(docs: DataFrame, shared: bool = False) -> ContextTrees | None:
+def train(docs: DataFrame, plain: bool = False) -> ContextTrees | None:
     """Trees learned from all rows with text and language; None if there are none.
 
     The distinct four-grams of each language come to the driver with their counts, all of them
-    or those that two texts of the language share.
+    or, if ``plain``, those of letters that two texts of the language share.
     """
     small_batches(docs.sparkSession)
-    paths = count_paths(docs, shared).toPandas()
+    paths = count_paths(docs, plain).toPandas()
     if paths.empty:
         return None
     return ContextTrees(sorted(paths["lang"].unique()), paths)
 
 
-def without_codes(text: bytes) -> bytes:
-    """``text`` without words that hold a digit, or as it is if no letter would be left."""
-    left = _CODES.sub(b"", text)
-    return left if _LETTER.search(left.decode()) else text
-
-
 def predict(
-    docs: DataFrame, trees: ContextTrees | Broadcast | None, keep: list[str], codes: bool = True
+    docs: DataFrame, trees: ContextTrees | Broadcast | None, keep: list[str], plain: bool = False
 ) -> DataFrame:
     """``lang_pred``, ``score``, ``bits_per_byte`` and ``judged_bytes`` of every text, with the columns ``keep``.
 
-    Whole texts are judged, or what ``without_codes`` leaves of them unless ``codes``.
+    Whole texts are judged, or what ``letters`` leaves of them if ``plain``.
     ``score`` is the share of the best language if code lengths are read as
     likelihoods. NULL texts and texts without a letter are ``und`` with score 0, as is
     all if nothing was learned. Ties go to the first language by name. Texts of any length
@@ -200,9 +203,7 @@ def predict(
         model = shared.value
         for batch in batches:
             found = batch["text"].where(batch.pop("_letters"), None) if kept else batch.pop("_text")
-            texts = [t.encode() if t is not None else b"" for t in found]
-            if not codes:
-                texts = [without_codes(t) for t in texts]
+            texts = [(letters(t) if plain else t).encode() if t is not None else b"" for t in found]
             bits = model.bits(texts)
             best = bits.argmin(1) if len(bits) else np.zeros(0, int)
             least = bits.min(1, keepdims=True) if len(bits) else bits
@@ -244,9 +245,9 @@ def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is no language.
 
     Those are texts without a letter (NULL and empty ones too) and texts that cost far more
-    than clean texts of the language they are most like. Words that hold a digit are left
-    out, so keys and numbers in a clean text cost nothing; a text of nothing else is judged
-    as it is. The trees are learned from all rows with text and ``lang`` but one part in
+    than clean texts of the language they are most like. Case, marks and words that hold a
+    digit are left out, so shouting, keys and numbers in a clean text cost nothing; a text of
+    nothing else is judged as it is. The trees are learned from all rows with text and ``lang`` but one part in
     ``PARTS`` by the text's hash, which sets the limit per language (``clean_limits``); copies
     are in one part. Paths of one text alone are left out, so that no text is cheap because it
     was learned itself. If nothing could be learned or fewer than ``LEAST_TEXTS`` texts were kept
@@ -254,12 +255,12 @@ def accepted(docs: DataFrame) -> DataFrame:
     Repeated rows share their fate; texts of any length are judged whole.
     """
     held = F.pmod(F.xxhash64("text"), F.lit(PARTS)) == 0
-    trees = train(docs.where(~held), shared=True)
+    trees = train(docs.where(~held), plain=True)
     limits = {}
     if trees is not None:
         trees = docs.sparkSession.sparkContext.broadcast(trees)
-        limits = clean_limits(predict(docs.where(held), trees, ["lang"], codes=False))
-    judged = predict(docs, trees, docs.columns, codes=False)
+        limits = clean_limits(predict(docs.where(held), trees, ["lang"], plain=True))
+    judged = predict(docs, trees, docs.columns, plain=True)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if not limits:
         return judged.where(has_letter)
