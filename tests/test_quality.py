@@ -154,3 +154,28 @@ def test_stale_limit_is_strict(spark):
     ).select("tenant_id", "metric_id", F.col("at").cast("timestamp_ntz").alias("executed_at"))
     got = {r["metric_id"] for r in stale_metrics(metrics, history, ntz("2024-01-01 12:00:00")).collect()}
     assert got == {"b", "c"}
+
+
+@pytest.mark.parametrize(("top", "others", "nulls"), [(89, 11, 0), (90, 10, 0), (90, 0, 10), (89, 0, 11), (100, 0, 0), (0, 100, 0), (0, 0, 5)])
+def test_dominant_shares_equal_dominant_values(spark, top, others, nulls):
+    rows = [("x" * 200,)] * top + [(f"v{i}",) for i in range(others)] + [(None,)] * nulls
+    df = spark.createDataFrame(rows, "c string")
+    full, got = Q.dominant_values(df).first(), Q.dominant_shares(df).first()
+    assert got["total_records"] == len(rows) and got["null_count"] == nulls
+    held = top * 10 >= len(rows) * 9
+    assert (got["dominant_value"], got["dominant_count"]) == (("x" * 200, top) if held else (None, None))
+    assert got["is_dominant"] == full["is_dominant"]
+
+
+def test_dominant_shares_shuffle_no_tail(spark):
+    """Rows shuffled do not grow with the number of distinct values; empty tables give no row."""
+    from vigilframe.session import new_table_path
+
+    path = new_table_path(spark, "shares")
+    unique = spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("c"))
+    unique.withColumn("d", F.when(F.col("c") < "f", "most").otherwise(F.col("c"))).write.parquet(path)
+    got = Q.dominant_shares(spark.read.parquet(path))
+    assert {r["column_name"]: r["dominant_value"] for r in got.collect()} == {"c": None, "d": "most"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(column_name" in plan
+    assert Q.dominant_shares(spark.createDataFrame([], "c string")).count() == 0

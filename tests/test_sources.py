@@ -169,3 +169,26 @@ def test_vector_search_takes_any_number_of_queries(spark):
     for q, vector in enumerate(kinds):
         want = sorted(stock, key=lambda r: -cosine(r[1], vector))[:2]
         assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i, _ in want]
+
+
+def test_statistics_come_from_footers(spark):
+    from pyspark.sql import functions as F
+
+    from vigilframe.session import new_table_path
+    from vigilframe.sources import readers
+
+    full, empty = new_table_path(spark, "full"), new_table_path(spark, "empty")
+    rows = spark.range(5, 1000).select(F.col("id").alias("a"), F.when(F.col("id") > 7, F.expr("date '2024-01-01' + int(id)")).alias("d"))
+    rows.repartition(3).write.parquet(full)
+    rows.limit(0).write.parquet(empty)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    got = readers.footer_statistics(spark, {"full": full, "empty": empty}, {"full": ["a", "d"], "empty": ["a"]})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("COUNT(*)") == 2 and "MIN(a)" in plan and "MAX(d)" in plan
+    assert "PushedAggregation: []" not in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        ("empty", 0, "a", None, None),
+        ("full", 995, "a", "5", "999"),
+        ("full", 995, "d", "2024-01-09", "2026-09-26"),
+    ]

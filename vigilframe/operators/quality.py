@@ -9,6 +9,8 @@ columns only) for all category counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,6 +235,50 @@ def dominant_values(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return per_column.withColumn("is_dominant", flag)
 
 
+def dominant_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The value with at least 90 % of all rows per text column, or NULL; flagged if others exist.
+
+    A value that most rows hold also owns the majority of every bit of the values' hashes. So
+    one pass with 64 counts per column names the only possible value by its hash, and mostly
+    rules it out; a second pass counts the rows with that hash value by value. Unlike
+    ``dominant_values``, no distinct value but those of one hash per column is shuffled.
+    Columns of an empty table get no row.
+    """
+    columns = list(text_columns(df) if columns is None else columns)
+    long = df.select(*columns).unpivot([], columns, "column_name", "value")
+    long = long.withColumn("_h", F.when(F.col("value").isNotNull(), F.xxhash64("value")))
+    ones = [F.coalesce(F.sum(F.getbit("_h", F.lit(i)).cast("bigint")), F.lit(0)).alias(f"_b{i}") for i in range(64)]
+    stats = long.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("total_records"), F.count("_h").alias("_n"), *ones
+    )
+    bits = [F.col(f"_b{i}") for i in range(64)]
+    possible = reduce(
+        and_, [F.greatest(b, F.col("_n") - b) * 10 >= F.col("total_records") * 9 for b in bits]
+    )
+    majority = F.concat(*[F.when(b * 2 > F.col("_n"), "1").otherwise("0") for b in reversed(bits)])
+    candidates = stats.where(possible).select("column_name", majority.alias("_bits"))
+    as_bits = F.lpad(F.bin("_h"), 64, "0")
+    # At most one row per column of the table.
+    found = (
+        long.where("_h is not null")
+        .join(F.broadcast(candidates), "column_name")
+        .where(as_bits == F.col("_bits"))
+        .groupBy("column_name", "value")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .groupBy("column_name")
+        .agg(F.max_by("value", F.struct("cnt", "value")).alias("_v"), F.max("cnt").alias("_c"))
+    )
+    held = F.col("_c") * 10 >= F.col("total_records") * 9
+    return stats.join(F.broadcast(found), "column_name", "left").select(
+        "column_name",
+        "total_records",
+        (F.col("total_records") - F.col("_n")).alias("null_count"),
+        F.when(held, F.col("_v")).alias("dominant_value"),
+        F.when(held, F.col("_c")).alias("dominant_count"),
+        F.coalesce(held & (F.col("_c") < F.col("total_records")), F.lit(False)).alias("is_dominant"),
+    )
+
+
 def distribution_details(df: DataFrame, columns: Sequence[str] | None = None, rarest: int = 10) -> DataFrame:
     """The rarest values per column, kept where their share is below 5 %."""
     total = row_count(df).scalar()

@@ -154,6 +154,36 @@ def database_catalog(spark: SparkSession, url: str, user: str, password: str) ->
     return {name: reader.option("query", sql).load() for name, sql in CATALOG_QUERIES.items()}
 
 
+def footer_statistics(
+    spark: SparkSession, paths: Mapping[str, str], columns: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """(table_name, row_count, column_name, min_value, max_value) of Parquet tables.
+
+    ``columns`` are integers or dates, whose extremes the file footers hold: no data page is
+    read. The aggregates are pushed into the scan in a session of their own, so the caller's
+    settings stay. An empty table has 0 rows and NULL extremes.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    out = None
+    for name, path in paths.items():
+        parts = [(F.min(c), F.max(c)) for c in columns[name]]
+        row = own.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), *[e for pair in parts for e in pair])
+        ends = row.columns[1:]
+        spread = ", ".join(
+            f"'{c}', string(`{ends[2 * i]}`), string(`{ends[2 * i + 1]}`)" for i, c in enumerate(columns[name])
+        )
+        row = row.select(
+            F.lit(name).alias("table_name"),
+            # Where no file holds a row, the sum of the pushed counts is NULL.
+            F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"),
+            F.expr(f"stack({len(parts)}, {spread}) as (column_name, min_value, max_value)"),
+        )
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 def lake_catalog(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],

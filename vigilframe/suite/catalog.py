@@ -362,3 +362,36 @@ def _(t):
 )
 def _(t):
     return C.common_queries(documents(t)).select("id", F.array_join("common_queries", "|").alias("common_queries"))
+
+
+# Whole-number columns of the given tables.
+NUMBERS = {
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "events": ["event_id", "user_id"],
+    "documents": ["doc_id", "n_chars"],
+    "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
+@query(
+    "a4_table_statistics",
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS row_count, '{c}' AS column_name, "
+        f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM {table}"
+        for table, columns in NUMBERS.items()
+        for c in columns
+    ),
+)
+def _(t):
+    paths = {name: f"{t.folder}/{name}.parquet" for name in NUMBERS}
+    return readers.footer_statistics(t.spark, paths, NUMBERS)

@@ -211,6 +211,30 @@ def _(t):
     return quality.dominant_values(t.fx_nulls)
 
 
+def _shares(table: str, columns: list[str]) -> str:
+    return f"""
+      SELECT column_name, total_records, null_count,
+        CASE WHEN top_count * 10 >= total_records * 9 THEN top_value END AS dominant_value,
+        CASE WHEN top_count * 10 >= total_records * 9 THEN top_count END AS dominant_count,
+        is_dominant
+      FROM ({_dominant(table, columns)}) d"""
+
+
+for _table, _columns in {
+    "fx_skew": ["k"], "fx_nulls": ["n50", "n8", "n3", "n05"],
+    "documents": TEXT_COLUMNS["documents"], "orders": TEXT_COLUMNS["orders"],
+}.items():
+
+    def _register(table=_table, columns=list(_columns)):
+        name = f"{{{table}}}" if table.startswith("fx_") else table
+
+        @query(f"d8_dominant_shares_{table.removeprefix('fx_')}", _shares(name, columns))
+        def _(t):
+            return quality.dominant_shares(getattr(t, table), columns)
+
+    _register()
+
+
 for _table in ("lineitem", "orders", "documents", "events"):
 
     def _register_scan(table=_table):
