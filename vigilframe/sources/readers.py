@@ -176,8 +176,9 @@ def footer_statistics(
         )
         row = row.select(
             F.lit(name).alias("table_name"),
-            # Where no file holds a row, the sum of the pushed counts is NULL.
-            F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"),
+            # Where no file holds a row, the sum of the pushed counts is NULL, though a count is
+            # planned as never NULL; ``nullif`` keeps the planner from dropping the default.
+            F.coalesce(F.nullif("row_count", F.lit(-1)), F.lit(0).cast("bigint")).alias("row_count"),
             F.expr(f"stack({len(parts)}, {spread}) as (column_name, min_value, max_value)"),
         )
         out = row if out is None else out.unionAll(row)
