@@ -179,3 +179,12 @@ def test_dominant_shares_shuffle_no_tail(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(column_name" in plan
     assert Q.dominant_shares(spark.createDataFrame([], "c string")).count() == 0
+
+
+def test_a_large_group_of_equal_rows_is_counted_where_it_lies(spark, monkeypatch):
+    """A row repeated more often than a task should hold is not dealt by its hash; other groups are as before."""
+    monkeypatch.setattr(Q, "ROWS_PER_TASK", 50)
+    rows = [(None, None)] * 300 + [(1, None)] * 51 + [(None, 2)] * 50 + [(i, i) for i in range(40)] + [(7, 7), (8, None)]
+    found = Q.duplicate_row_groups(spark.createDataFrame(rows, "a long, b int"))
+    assert {tuple(r) for r in found.collect()} == {(None, None, 300), (1, None, 51), (None, 2, 50), (7, 7, 2)}
+    assert found.count() == 4

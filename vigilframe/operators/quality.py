@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from vigilframe.functions import messages as msg
 from vigilframe.functions.scalars import filled
+from vigilframe.plans.skew import ROWS_PER_TASK
+from vigilframe.session import written
 
 COUNTERS = ["total_records", "null_count", "duplicate_count", "distribution_count"]
 LONG_TEXT = 64
@@ -151,16 +153,18 @@ def duplicate_row_groups(df: DataFrame) -> DataFrame:
 
     The first shuffle carries one 64-bit hash per row, combined map-side; whole
     rows are moved only for hashes seen twice or more, and equal hashes of
-    different rows are told apart by grouping on all columns.
+    different rows are told apart by grouping on all columns. Rows of a hash seen more often
+    than a task should hold are not dealt by it but counted where they lie; such hashes are
+    few by their size, so their list is broadcast.
     """
     hashed = df.withColumn("_h", F.xxhash64(*df.columns))
     repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    return (
-        hashed.join(repeated.select("_h"), "_h", "left_semi")
-        .groupBy(*df.columns)
-        .agg(F.count(F.lit(1)).alias("finding_count"))
-        .where(F.col("finding_count") > 1)
-    )
+    repeated = written(repeated, "repeated-hashes")
+    hot = F.broadcast(repeated.where(F.col("_n") > ROWS_PER_TASK).select("_h"))
+    rest = repeated.where(F.col("_n") <= ROWS_PER_TASK).select("_h")
+    counted = lambda rows: rows.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("finding_count"))
+    few = counted(hashed.join(hot, "_h", "left_anti").join(rest, "_h", "left_semi"))
+    return few.unionByName(counted(hashed.join(hot, "_h", "left_semi"))).where(F.col("finding_count") > 1)
 
 
 def duplicate_rows(df: DataFrame, top: int = 5) -> DataFrame:
