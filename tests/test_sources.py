@@ -192,3 +192,30 @@ def test_statistics_come_from_footers(spark):
         ("full", 995, "a", "5", "999"),
         ("full", 995, "d", "2024-01-09", "2026-09-26"),
     ]
+
+
+def test_columns_meet_their_comments_by_table(spark):
+    """Columns are dealt by their table only; those without attribute or comment stay, repeated ones stay repeated."""
+    schema = "table_schema string, table_name string, column_name string, udt_name string, is_nullable string, column_default string, ordinal_position int"
+    info = spark.createDataFrame([("s", "t", c, "int4", "NO", None, i) for i, c in enumerate("abbcd")] + [("pg_catalog", "t", "a", "int4", "NO", None, 1)], schema)
+    classes = spark.createDataFrame([(1, "t", 9, "r"), (2, "u", 9, "r")], "oid long, relname string, relnamespace int, relkind string")
+    spaces = spark.createDataFrame([(9, "s"), (8, "pg_catalog")], "oid int, nspname string")
+    attributes = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "c", 4), (2, "a", 1), (None, "a", 1)], "attrelid long, attname string, attnum int")
+    comments = spark.createDataFrame([(1, 1, "A"), (1, 3, "C"), (1, 3, "C2"), (2, 1, "other"), (None, 1, "x")], "objoid long, objsubid int, description string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.columns(info, classes, spaces, attributes, comments)
+        got = sorted((r["column_name"], r["column_comment"]) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("a", "A"), ("b", ""), ("b", ""), ("c", ""), ("c", "C"), ("c", "C2"), ("d", "")]
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not any("column_name" in x or "attnum" in x for x in dealt)
+
+
+def test_cards_are_stored_compressed(spark, cards, tmp_path):
+    sinks.write_cards(cards, str(tmp_path / "cards"))
+    sinks.write_card_index(cards, str(tmp_path / "index"))
+    for part in ("cards", "index"):
+        assert {p.suffix for p in (tmp_path / part).glob("part-*")} == {".gz"}
