@@ -2,12 +2,14 @@
 
 import random
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 from vigilframe.operators import quality
 from vigilframe.session import new_table_path
 from vigilframe.streaming.scan_state import ScanState
+from vigilframe.suite import streaming
 
 
 @pytest.mark.parametrize("key,not_null,every", [(["a", "b"], [], 2), (["a"], ["b"], 3), ([], ["a"], 100)])
@@ -51,3 +53,22 @@ def test_nothing_absorbed(spark):
     assert state.merged("nulls").count() == 0 and state.merged("keys").count() == 0
     state.absorb(df, 0)
     assert state.roll_up("t").first()["total_records"] == 0
+
+
+def test_a_batch_of_many_rows_arrives_in_several_files(spark, monkeypatch):
+    """Four batches whatever the size, but no task reads or writes a whole batch of a large table."""
+    monkeypatch.setattr(streaming, "ROWS_PER_TASK", 50)
+    seen, paths = [], streaming.J.paths
+
+    def recorded(*a):
+        seen.append(paths(*a))
+        return seen[-1]
+
+    monkeypatch.setattr(streaming.J, "paths", recorded)
+    table = spark.range(400).selectExpr("id", "IF(id % 2 = 0, 'x', NULL) AS t")
+    state = streaming._scanned(SimpleNamespace(spark=spark, table=table), "table", ["id"])
+    rows = [spark.read.parquet(str(f)).count() for f in Path(seen[0][0]).glob("part-*")]
+    assert sum(rows) == 400 and len(rows) == 8 and max(rows) <= 60
+    assert len(state._numbers("nulls", "batch")) == 4
+    counted = {r["column_name"]: (r["total_records"], r["null_count"]) for r in state.merged("nulls").collect()}
+    assert counted == {"id": (400, 0), "t": (400, 200)} and state.merged("keys").count() == 400

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilframe.fixtures import PRIMARY_KEYS, TABLE_COLUMNS, TEXT_COLUMNS
+from vigilframe.plans.skew import ROWS_PER_TASK
 from vigilframe.streaming import jobs as J
 from vigilframe.suite.base import query
 from vigilframe.suite.quality import _counts, _scan_sql
@@ -116,11 +117,12 @@ def _(t):
 
 
 def _scanned(t, table: str, key: list[str] = [], compact_every: int = 8):  # noqa: B006
-    """State after ``table`` arrived in several files, one per batch."""
+    """State after ``table`` arrived in four batches, of so many files each that a task holds a bounded part."""
     source, root, checkpoint = J.paths(t.spark, table, "in", "state", "checkpoint")
     df = getattr(t, table)
-    df.repartition(4).write.parquet(source)
-    stream = J.file_stream(t.spark, source, df.schema, files_per_batch=1)
+    files = -(-df.count() // (4 * ROWS_PER_TASK)) or 1
+    df.repartition(4 * files).write.parquet(source)
+    stream = J.file_stream(t.spark, source, df.schema, files_per_batch=files)
     J.incremental_scan(stream, root, checkpoint, key, compact_every)
     return J.ScanState(t.spark, root, df.schema, key, compact_every)
 
