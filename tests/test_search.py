@@ -61,6 +61,53 @@ def test_blocks_of_short_queries_are_skipped(spark):
     assert sorted(map(tuple, search.pruned().collect())) == want
 
 
+def dealt_equals_all_scores(index, asked, k):
+    want = sorted(map(tuple, S.top_k(S.keyword_scores(index, asked), k).collect()), key=str)
+    assert sorted(map(tuple, S.KeywordSearch(index, asked, k).dealt().collect()), key=str) == want
+    return want
+
+
+@pytest.mark.parametrize("seed,length,k", [(1, 3, 3), (2, 40, 10), (3, 12, 1), (4, 12, 400)])
+def test_dealt_results_equal_all_scores(spark, seed, length, k, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 1500)
+    monkeypatch.setattr(S, "CHUNK_TERMS", 60)
+    monkeypatch.setattr(S, "GROUP", 4)
+    index, asked = corpus(spark, seed, 400, 2000, 25, length)
+    dealt_equals_all_scores(index, asked, k)
+    texts = index.groupBy(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "doc_len", "term").agg(F.sum("tf").alias("tf"))
+    dealt_equals_all_scores(written(texts, "index"), asked.select(F.struct("query_id").alias("query_id"), "text"), k)
+
+
+@pytest.mark.parametrize("group", [1, 64])
+def test_dealt_ties_repeats_and_nulls(spark, monkeypatch, group):
+    """Many copies of one text, repeated and unknown ids on both sides, a word in more rows than there are ids."""
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 100)
+    monkeypatch.setattr(S, "CHUNK_TERMS", 2)
+    monkeypatch.setattr(S, "GROUP", group)
+    texts = [(d % 90, "same words here") for d in range(300)] + [(None, "same word"), (None, "rare same"), (200, "rare")]
+    index = written(S.build_index(spark.createDataFrame(texts, "doc_id long, text string")), "index")
+    asked = [(1, "same words"), (1, "same"), (2, "rare same"), (None, "rare"), (3, "absent"), (4, None), (5, "same")]
+    rows = dealt_equals_all_scores(index, spark.createDataFrame(asked, "query_id long, text string"), 7)
+    assert min(r[2] for r in rows) < 0 and {r[0] for r in rows} == {1, 2, 5, None}
+
+
+def test_nothing_asked_or_stored_is_dealt(spark):
+    index = S.build_index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, text string")
+    assert S.KeywordSearch(index, asked, 3).dealt().count() == 0
+
+
+def test_large_search_shuffles_no_row_per_query_and_posting(spark, monkeypatch):
+    """Every query asks for a word of every document: only the best of each block leave its task."""
+    monkeypatch.setattr(S, "SCAN_ALL", 0)
+    texts = [(d, "common " * (1 + d % 9) + f"w{d}") for d in range(500)]
+    index = written(S.build_index(spark.createDataFrame(texts, "doc_id long, text string")), "index")
+    asked = spark.createDataFrame([(q, f"common w{q}") for q in range(40)], "query_id long, text string")
+    monkeypatch.setattr(S.KeywordSearch, "pruned", lambda self: pytest.fail("a row per query and posting"))
+    monkeypatch.setattr(S.KeywordSearch, "scanned", lambda self: pytest.fail("a row per query and posting"))
+    assert S.keyword_search(index, asked, 3).count() == 40 * 3
+
+
 def test_nothing_asked_or_stored(spark):
     index = S.build_index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, text string")
