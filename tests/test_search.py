@@ -91,6 +91,25 @@ def test_dealt_ties_repeats_and_nulls(spark, monkeypatch, group):
     assert min(r[2] for r in rows) < 0 and {r[0] for r in rows} == {1, 2, 5, None}
 
 
+def test_table_search_moves_no_card_text_and_no_row_per_question(spark, monkeypatch, tmp_path):
+    from vigilframe.suite import search as queries
+    from vigilframe.suite.base import QUERIES
+
+    cards = [(f"c{i}", f"Revenue of {'france' if i % 7 == 0 else 'peru'} orders " * (1 + i % 3)) for i in range(60)]
+    stored = spark.createDataFrame(cards, "id string, content string")
+    nations = spark.createDataFrame([(n, name) for n, name in enumerate(["FRANCE", "PERU"])], "n_nationkey int, n_name string")
+    nations.write.parquet(f"{tmp_path}/nation.parquet")
+    spreads = []
+    build = S.build_index
+    monkeypatch.setattr(S, "build_index", lambda *a: spreads.append(a[3]) or build(*a))
+    monkeypatch.setattr(S, "SCAN_ALL", 0)
+    monkeypatch.setattr(S.KeywordSearch, "pruned", lambda self: pytest.fail("a row per question and posting"))
+    monkeypatch.setattr(queries, "documents", lambda t: stored)
+    found = QUERIES["i4_table_search"](spark, str(tmp_path)).collect()
+    assert spreads == [False] and sorted((r["query_id"], r["rank"]) for r in found) == [(f"q{q}", r) for q in (0, 1) for r in range(1, 6)]
+    assert all(int(r["doc_id"][1:]) % 7 == 0 for r in found if r["query_id"] == "q0")
+
+
 def test_nothing_asked_or_stored_is_dealt(spark):
     index = S.build_index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, text string")
