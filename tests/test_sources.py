@@ -219,3 +219,71 @@ def test_cards_are_stored_compressed(spark, cards, tmp_path):
     sinks.write_card_index(cards, str(tmp_path / "index"))
     for part in ("cards", "index"):
         assert {p.suffix for p in (tmp_path / part).glob("part-*")} == {".gz"}
+
+
+def test_cards_meet_in_one_grouping(spark):
+    """Parts are grouped once and joined never; a repeated table has a card each, one without a name has no parts."""
+    tabs = spark.createDataFrame([("s", "t", "x"), ("s", "t", "y"), ("s", "u", None), ("s", None, "z")], "table_schema string, table_name string, table_comment string")
+    cols = spark.createDataFrame(
+        [("s", "t", "b", "int4", True, None, "", 2), ("s", "t", "a", "int4", False, None, "A", 1), ("s", None, "n", "int4", True, None, "", 1), ("s", "gone", "g", "int4", True, None, "", 1)],
+        "table_schema string, table_name string, column_name string, data_type string, is_nullable boolean, column_default string, column_comment string, ordinal_position int",
+    )
+    pks = cols.where("ordinal_position = 1").select(*C.TABLE, "column_name", "ordinal_position")
+    fks = spark.createDataFrame([("s", "t", "b", "s.u", "id", "fk")], "table_schema string, table_name string, column_name string, referenced_table string, referenced_column string, constraint_name string")
+    idx = spark.createDataFrame([("s", "t", "ix", ["b", "a"], True)], "table_schema string, table_name string, indexname string, columns array<string>, is_unique boolean")
+    found = C.cards(tabs, cols, pks, fks, idx)
+    full = ([("a", True, False, "A"), ("b", False, True, None)], ["a"], [("b", "s.u", "id", "fk")], [("ix", ["b", "a"], True)])
+    got = {
+        (r["name"], r["description"]): (
+            r["columns"] and [(c["name"], c["is_primary_key"], c["is_foreign_key"], c["description"]) for c in r["columns"]],
+            r["primary_key"], r["foreign_keys"] and [tuple(f) for f in r["foreign_keys"]],
+            r["indexes"] and [tuple(i) for i in r["indexes"]],
+        )
+        for r in found.collect()
+    }
+    empty = (None, [], None, None)
+    assert got == {("s.t", "x"): full, ("s.t", "y"): full, ("s.u", None): empty, ("s", "z"): empty}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nested_parts_hold_the_rows_of_the_operators(spark):
+    """A row per table, its rows nested, with repeated and missing parts."""
+    constraints = spark.createDataFrame([("k", "s", "t", "PRIMARY KEY"), ("k", "s", "t", "PRIMARY KEY"), ("f", "s", "t", "FOREIGN KEY")], "constraint_name string, table_schema string, table_name string, constraint_type string")
+    usage = spark.createDataFrame([("k", "s", "t", "a", 1), ("k", "s", "t", "b", 2), ("f", "s", "t", "c", 1), ("k", "s", None, "d", 1)], "constraint_name string, table_schema string, table_name string, column_name string, ordinal_position int")
+    flat = C.primary_keys(constraints, usage)
+    nested = C.primary_keys(constraints, usage, nested=True)
+    assert sorted(map(tuple, flat.collect())) == [("s", "t", c, i) for c, i in (("a", 1), ("a", 1), ("b", 2), ("b", 2))]
+    assert nested.count() == 1
+    assert sorted(map(tuple, nested.select(*C.TABLE, F.inline("_rows")).collect())) == sorted(map(tuple, flat.collect()))
+
+    classes = spark.createDataFrame([(1, "t", 9, "r")], "oid long, relname string, relnamespace int, relkind string")
+    spaces = spark.createDataFrame([(9, "s")], "oid int, nspname string")
+    attributes = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "attrelid long, attname string, attnum int")
+    index = spark.createDataFrame([("ix", 1, None, [2, 1, 7]), ("ix", 1, True, [1]), ("no", 1, False, [7]), (None, 1, None, [1])], "indexname string, indrelid long, indisunique boolean, indkey array<int>")
+    flat = C.index_columns(index, classes, spaces, attributes)
+    assert sorted(map(tuple, flat.collect()), key=str) == sorted([("s", "t", "ix", ["a", "b", "a"], True), ("s", "t", None, ["a"], None)], key=str)
+    assert C.index_columns(index, classes, spaces, attributes, nested=True).count() == 1
+
+
+def test_kept_catalog_tables_are_joined_where_they_lie(spark, tmp_path):
+    """Columns and tables of a kept catalog lie in buckets of the table's id: no shuffle brings them together."""
+    source = Lake(spark, "/root/testdata/sf0.001")
+    orders = [(1, 5, "1-URGENT"), (2, 6, "2-HIGH"), (2, 6, "2-HIGH"), (None, 7, "2-HIGH")]
+    lines = [(1, 1), (1, 2), (2, 1), (2, 1), (3, 1), (None, 1)]
+    for name, rows, schema in (
+        ("orders", orders, "o_orderkey long, o_custkey long, o_orderpriority string"),
+        ("lineitem", [(*r, "A", 7, 50.0, "F") for r in lines], "l_orderkey long, l_linenumber int, l_returnflag string, l_partkey long, l_quantity double, l_linestatus string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    source.nation.write.parquet(str(tmp_path / "nation.parquet"))
+    plain = Lake(spark, str(tmp_path))
+    kept = Lake(spark, str(tmp_path)).keep("pg_class", "pg_attribute")
+    for name in ("pg_class", "pg_attribute", "index_keys", "info_columns"):
+        expected, got = (sorted(map(tuple, getattr(lake, name).collect()), key=str) for lake in (plain, kept))
+        assert got == expected and got
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.index_keys._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

@@ -284,7 +284,7 @@ _SAMPLE_KEY = "table_schema || '.' || table_name"
                   FROM ({FKS})) WHERE rn <= 2 GROUP BY 1) USING (id)""",
 )
 def _(t):
-    t.keep("pg_attribute")
+    t.keep("pg_class", "pg_attribute")
     keys = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name")))
     links = F.sort_array(F.collect_list(F.struct(F.col("column_name").alias("column"), "referenced_table", "referenced_column")))
     pks = primary_keys(t).groupBy(*C.TABLE).agg(F.transform(keys, lambda k: k["column_name"]).alias("pk"))
