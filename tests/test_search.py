@@ -1,10 +1,12 @@
 """Keyword search that leaves out postings, against scoring every posting."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from vigilframe import session
 from vigilframe.operators import search as S
 from vigilframe.session import written
 
@@ -127,6 +129,46 @@ def test_large_search_shuffles_no_row_per_query_and_posting(spark, monkeypatch):
     assert S.keyword_search(index, asked, 3).count() == 40 * 3
 
 
+def test_chunks_come_in_rounds(spark, monkeypatch):
+    """Many chunks: a round deals the postings once per chunk of its own, not once per chunk of all."""
+    monkeypatch.setattr(S, "BLOCK_POSTINGS", 1500)
+    monkeypatch.setattr(S, "CHUNK_TERMS", 20)
+    monkeypatch.setattr(S, "GROUP", 4)
+    index, asked = corpus(spark, 6, 300, 500, 40, 12)
+    asked = asked.unionByName(spark.createDataFrame([(None, "w1 w2"), (3, "w1 w40")], asked.schema))
+    want = dealt_equals_all_scores(index, asked, 3)
+    kept, dealt = type(index).repartition, []
+    monkeypatch.setattr(type(index), "repartition", lambda self, n, *by: dealt.append((n, self.count())) or kept(self, n, *by))
+    monkeypatch.setattr(S, "PAIRS_AT_ONCE", 1)
+    search = S.KeywordSearch(index, asked, 3)
+    found = search.dealt()
+    assert sorted(map(tuple, found.collect()), key=str) == want
+    postings, queries = [n for _, n in dealt[::2]], [n for _, n in dealt[1::2]]
+    assert len(postings) > 5 and len(set(postings)) == 1 and postings[0] <= index.count()
+    blocks = dealt[0][0] // 2
+    assert sum(queries) == blocks * search.weighted.count()
+
+
+def shuffles(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+def eventually(test):
+    for _ in range(100):
+        if test():
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_written_tables_leave_no_shuffle(spark):
+    rows = spark.range(1000).repartition(3, "id")
+    before, setting = shuffles(spark), spark.conf.get(session.DROPS_SHUFFLES, None)
+    tables = [written(rows, "some"), session.written_in_buckets(rows, "some", "id")]
+    assert eventually(lambda: shuffles(spark) <= before)
+    assert [t.count() for t in tables] == [1000, 1000] and spark.conf.get(session.DROPS_SHUFFLES, None) == setting
+
+
 def test_nothing_asked_or_stored(spark):
     index = S.build_index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, text string")
