@@ -112,6 +112,20 @@ def test_table_search_moves_no_card_text_and_no_row_per_question(spark, monkeypa
     assert all(int(r["doc_id"][1:]) % 7 == 0 for r in found if r["query_id"] == "q0")
 
 
+def test_table_search_writes_cards_before_they_are_dealt_by_name(spark, monkeypatch):
+    """So what cards are made from is off the disk when whole cards are shuffled; other queries over cards do not write them."""
+    from vigilframe.suite import catalog
+    from vigilframe.suite.base import QUERIES
+
+    names = []
+    monkeypatch.setattr(catalog, "written", lambda df, name: names.append((name, "table" in df.columns)) or written(df, name))
+    found = QUERIES["i4_table_search"](spark, "/root/testdata/sf0.001")
+    assert names == [("cards", True)]
+    assert found.count() == 25 * 5
+    QUERIES["c11_column_meanings"](spark, "/root/testdata/sf0.001")
+    assert len(names) == 1
+
+
 def test_nothing_asked_or_stored_is_dealt(spark):
     index = S.build_index(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
     asked = spark.createDataFrame([(1, "a b"), (2, None)], "query_id long, text string")
